@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 
 from brindle.llm.words import parts
 
-#: The sample: so many texts of each label at most. Features kept, and how many toxic texts must have one.
+#: The sample: so many texts of each label at most. Features kept, and how many and what share of the toxic texts must have one.
 MAX_TOXIC, MAX_CLEAN = 2000, 4000
-MAX_FEATURES, MIN_TEXTS = 4000, 5
+MAX_FEATURES, MIN_TEXTS, MIN_SHARE = 4000, 5, 0.01
 GRADES = 3
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6)
@@ -75,12 +75,12 @@ class Ordinal:
 
 
 def select_features(toxic: list[str], clean: list[str]) -> list[str]:
-    """Features of MIN_TEXTS toxic texts or more whose share there is ten times that among clean texts; the most telling ones."""
+    """Features of MIN_TEXTS and of MIN_SHARE of the toxic texts or more whose share there is ten times that among clean texts; the most telling ones."""
     of = lambda text: {f for w in distinct_words(text) for f in features(w)}
     counts: Counter[str] = Counter()
     for text in toxic:
         counts.update(of(text))
-    counts = Counter({f: c for f, c in counts.items() if c >= MIN_TEXTS})
+    counts = Counter({f: c for f, c in counts.items() if c >= max(MIN_TEXTS, MIN_SHARE * len(toxic))})
     other: Counter[str] = Counter()
     for text in clean:
         other.update(f for f in of(text) if f in counts)
