@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm import ann, decontam, language, licences, packing, secrets, toxicity
+from brindle.llm import ann, decontam, language, licences, packing, pii, secrets, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify_held_out(table(spark, sf_dir, "documents"))
 
 
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_digest(table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.grade_all(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -42,7 +46,7 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op3_toxicity, op4_secret_scan, op5_licence_scan, op6_best_fit_packing, op9_decontamination, op10_nearest_neighbours)}
+    return {f.__name__: f for f in (op1_language_id, op2_personal_data, op3_toxicity, op4_secret_scan, op5_licence_scan, op6_best_fit_packing, op9_decontamination, op10_nearest_neighbours)}
 
 
 def oracle_sql() -> dict[str, str]:
