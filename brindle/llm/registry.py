@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm import ann, decontam, language, licences, packing, pii, secrets, toxicity
+from brindle.llm import ann, decontam, jaccard, language, licences, packing, pii, secrets, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link_digest(table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -46,11 +50,11 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_personal_data, op3_toxicity, op4_secret_scan, op5_licence_scan, op6_best_fit_packing, op9_decontamination, op10_nearest_neighbours)}
+    return {f.__name__: f for f in (op1_language_id, op2_personal_data, op3_toxicity, op4_secret_scan, op5_licence_scan, op6_best_fit_packing, op7_jaccard_join, op9_decontamination, op10_nearest_neighbours)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_decontamination": OP9}
+    return {"op7_jaccard_join": OP7, "op9_decontamination": OP9}
 
 
 OP9 = r"""
@@ -68,3 +72,16 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
        sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM doc LEFT JOIN words USING (doc_id) LEFT JOIN names USING (doc_id)
 """
+
+OP7 = r"""
+WITH RECURSIVE doc AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(w[p : p + least(len(w), 4) - 1], ' ') AS s
+       FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(len(w), 4) + 2)) AS p FROM doc WHERE len(w) > 0)),
+size AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM pairs JOIN size a ON x = a.doc_id JOIN size b ON y = b.doc_id WHERE 100 * c >= 85 * (a.n + b.n - c)),
+ends AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
+reach AS (SELECT x AS a, y AS b FROM ends UNION SELECT r.a, e.y FROM reach r JOIN ends e ON r.b = e.x)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, least(doc_id, coalesce(m, doc_id)) AS component_id
+FROM doc LEFT JOIN size USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS m FROM reach GROUP BY a) USING (doc_id)
+"""
