@@ -137,7 +137,7 @@ def _route(forest: Forest, chunks: int, visit: float):
 
 def _rank(k: int):
     def run(key, rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        out = {"query": [], "rep": [], "score": []}
+        query, found = [], []
         if len(rows) and len(asked):
             x, q = np.stack(rows["vec"].to_numpy()), np.stack(asked["vec"].to_numpy())
             rep, leaf = rows["rep"].to_numpy(), rows["leaf"].to_numpy()
@@ -148,12 +148,12 @@ def _rank(k: int):
             for at in range(0, len(q), 512):
                 score = np.where(wanted[at : at + 512][:, leaf - subtree], q[at : at + 512] @ x.T, -np.inf)
                 best = np.argpartition(-score, min(k, score.shape[1] - 1), 1)[:, : k + 1]
-                value = np.take_along_axis(score, best, 1)
-                row, col = np.nonzero(value > -np.inf)
-                out["query"].append(asked["query"].to_numpy()[at : at + 512][row])
-                out["rep"].append(rep[best[row, col]])
-                out["score"].append(value[row, col])
-        return pd.DataFrame({c: np.concatenate(v) if v else np.zeros(0, float if c == "score" else np.int64) for c, v in out.items()})
+                there = np.take_along_axis(score, best, 1) > -np.inf
+                # once more, so that a pair's product is the same bits whatever block it was found in
+                exact = (q[at : at + 512][:, None, :] * x[best]).sum(2)
+                query += asked["query"].to_numpy()[at : at + 512].tolist()
+                found += [[{"score": float(s), "rep": int(r)} for s, r in zip(v[t], rep[b][t], strict=True)] for v, b, t in zip(exact, best, there, strict=True)]
+        return pd.DataFrame({"query": np.array(query, np.int64), "found": found})
 
     return run
 
@@ -173,9 +173,9 @@ def nearest(vectors: DataFrame, queries: str, k: int = 20, visit: float = VISIT,
     asked = own.join(found, "vec").select(F.col("vec_id").alias("query_id"), F.col("rep").alias("query")).distinct()
     placed = found.select("rep", "vec").mapInArrow(_place(forest, chunks), "tree int, part long, leaf long, rep long, vec array<double>")
     routed = found.join(asked.select(F.col("query").alias("rep")).distinct(), "rep", "left_semi").select("rep", "vec").mapInArrow(_route(forest, chunks, visit), "tree int, part long, query long, vec array<double>, leaves array<long>")
-    scored = placed.groupBy("tree", "part").cogroup(routed.groupBy("tree", "part")).applyInPandas(_rank(k), "query long, rep long, score double")
-    near = scored.groupBy("query", "rep").agg(F.max("score").alias("score"))
-    near = near.withColumn("at", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "rep"))).filter(F.col("at") <= k + 1)
+    scored = placed.groupBy("tree", "part").cogroup(routed.groupBy("tree", "part")).applyInPandas(_rank(k), "query long, found array<struct<score:double,rep:long>>")
+    best = F.sort_array(F.array_distinct(F.flatten(F.collect_list("found"))), asc=False)
+    near = scored.groupBy("query").agg(F.slice(best, 1, k + 1).alias("found")).select("query", F.explode("found").alias("x")).select("query", "x.rep", "x.score")
     near = near.join(found.select("rep", "ids"), "rep").groupBy("query").agg(F.collect_list(F.struct("score", "ids")).alias("near"))
     flat = asked.join(near, "query").select("query_id", F.explode("near").alias("x")).select("query_id", "x.score", F.explode("x.ids").alias("vec_id")).filter("vec_id <> query_id")
     ranked = flat.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
