@@ -14,8 +14,8 @@ shuffled, and the texts only to take the lines out, unless few enough documents
 
 Words are runs of other than white space, lower-cased. Lines end at a line feed. Lines with
 fewer than ``min_words`` distinct words stay. A null text stays null and an empty one empty.
-Rows that repeat a doc_id are taken as one document read again: what goes from it goes from all
-of them where the line is the same. A null doc_id comes before all others.
+Rows equal in doc_id and text are one document read again and lose the same lines; rows that
+share a doc_id only are different documents. A null doc_id comes before all others.
 """
 
 from __future__ import annotations
@@ -47,38 +47,91 @@ def rarity(docs: DataFrame) -> Column:
     return F.from_json(F.lit(f"[{literal}]"), "array<bigint>")
 
 
-def ordered_words(line: Column, counts: Column) -> Column:
-    """A line's distinct words as longs, the rarest first: the count of the word's bucket above bits of its hash."""
-    hashes = F.transform(F.array_remove(F.split(line, " "), ""), lambda w: F.xxhash64(w))
+def hashed(line: Column) -> Column:
+    """The hashes of a line's words, repeats included."""
+    return F.transform(F.array_remove(F.split(line, " "), ""), lambda w: F.xxhash64(w))
+
+
+def ordered(hashes: Column, counts: Column) -> Column:
+    """Distinct words as longs, the rarest first: the count of the word's bucket above bits of its hash."""
     rank = lambda h: F.shiftleft(counts[h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")], HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
     return F.sort_array(F.array_distinct(F.transform(hashes, rank)))
 
 
+def parity(words: Column) -> Column:
+    """64 bits, each the parity of how many words fall on it: sets differ in at least as many words as their parities in bits."""
+    bit = lambda w: F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(F.lit(63)).cast("int"))
+    return F.aggregate(words, F.lit(0).cast("long"), lambda a, w: a.bitwiseXOR(bit(w)))
+
+
 def needed(a: Column, b: Column, num: int, den: int) -> Column:
+    """The least overlap at which sets of sizes a and b reach num / den."""
     return F.ceil((a + b) * num / (num + den) - 1e-9)
 
 
+def small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def later_lines(docs: DataFrame, num: int = 80, den: int = 100, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, gone: array<struct<line, digest>> of the lines (from 0) to be removed, for each document that loses any."""
+    """doc_id, text_hash, gone: the numbers (from 0) of the lines to be removed, for each row of ``docs`` (doc_id, text) that loses any."""
     shared_folder(docs.sparkSession)
-    docs = docs.select("doc_id", "text").filter("text is not null and text <> ''")
-    counts = rarity(docs)
-    t = num / den
-    lines = docs.select("doc_id", F.posexplode(F.split(plain("text"), "\n")).alias("line", "body")).filter("body <> ''")
-    sets = lines.select("doc_id", "line", ordered_words(F.col("body"), counts).alias("own")).filter(F.size("own") >= min_words)
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"), "text").filter("text is not null and text <> ''")
+    counts, t = rarity(docs), num / den
+    hashes = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split(plain("text"), "\n")).alias("line", "body")).filter("body <> ''").select(F.struct("doc_id", "text_hash", "line").alias("pos"), hashed(F.col("body")).alias("hs"))
+    sets = hashes.filter(F.size("hs") >= min_words).select("pos", F.array_min("hs").alias("low"), F.array_max("hs").alias("high"), ordered(F.col("hs"), counts).alias("own"))
     n = F.size("own")
-    known = sets.select(
-        "doc_id", "line", F.xxhash64("own").alias("digest"), n.alias("n"),
-        F.aggregate("own", F.lit(0).cast("long"), lambda a, w: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(F.lit(63)).cast("int")))).alias("parity"),
-        F.slice("own", F.lit(1), (n - F.ceil(n * t - 1e-9) + 1).cast("int")).alias("prefix"),
-    ).checkpoint()
-    classes = known.groupBy("digest").agg(F.min(F.struct("doc_id", "line", "n", "parity", "prefix")).alias("f")).select("digest", "f.*").checkpoint()
-    posts = classes.select("digest", "doc_id", "line", "n", "parity", F.posexplode("prefix").alias("at", "w"))
-    x, y = posts.alias("x"), posts.alias("y")
-    need = needed(F.col("x.n"), F.col("y.n"), num, den)
-    earlier = F.struct("x.doc_id", "x.line") < F.struct("y.doc_id", "y.line")
+    known = sets.filter(n >= min_words).select("pos", F.xxhash64("own").alias("digest"), n.alias("n"), "low", "high", parity(F.col("own")).alias("parity"), F.slice("own", F.lit(1), (n - F.ceil(n * t - 1e-9) + 1).cast("int")).alias("prefix")).checkpoint()
+    classes = known.groupBy("digest").agg(F.min(F.struct("pos", "n", "low", "high", "parity", "prefix")).alias("f")).select("digest", "f.*").checkpoint()
+
+    def may_match(x: str, y: str) -> Column:
+        """x is earlier, sizes allow the threshold, and parities don't rule it out."""
+        c = lambda side, name: F.col(f"{side}.{name}")
+        differ = F.bit_count(c(x, "parity").bitwiseXOR(c(y, "parity")))
+        return (c(x, "pos") < c(y, "pos")) & (F.least(c(x, "n"), c(y, "n")) * den >= F.greatest(c(x, "n"), c(y, "n")) * num) & (differ <= c(x, "n") + c(y, "n") - 2 * needed(c(x, "n"), c(y, "n"), num, den))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """digest of each class b that is similar to its partner a, by their whole sets read again from the texts."""
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
+        where = classes.join(small(ids), "digest", "left_semi").groupBy("pos.doc_id", "pos.text_hash").agg(F.collect_list("pos.line").alias("lines")).withColumnsRenamed({"doc_id": "id", "text_hash": "hash"})
+        found = docs.join(small(where), (F.col("doc_id") == F.col("id")) & (F.xxhash64("text") == F.col("hash")))
+        bodies = found.select(F.split(plain("text"), "\n").alias("all"), F.explode("lines").alias("line")).select(F.col("all")[F.col("line")].alias("body"))
+        whole = bodies.select(ordered(hashed(F.col("body")), counts).alias("own")).select(F.xxhash64("own").alias("digest"), "own").dropDuplicates(["digest"])
+        x, y = (whole.select(F.col("digest").alias(c), F.col("own").alias(f"own_{c}")) for c in "ab")
+        need = needed(F.size("own_a"), F.size("own_b"), num, den)
+        return pairs.join(x, "a").join(y, "b").filter(F.size(F.array_intersect("own_a", "own_b")) >= need).select(F.col("b").alias("digest")).distinct()
+
+    # Most later classes match the first of those with the same least, or greatest, hash: no list of a token is needed for them.
+    slim = classes.select("digest", "pos", "n", "parity", "low", "high")
+    stars = []
+    for sign in ("low", "high"):
+        hubs = slim.groupBy(sign).agg(F.min(F.struct("pos", "digest", "n", "parity")).alias("h"), F.count("*").alias("m")).filter("m > 1").select(sign, "h.*")
+        stars.append(slim.alias("y").join(hubs.alias("x"), sign).filter(may_match("x", "y")).select(F.col("x.digest").alias("a"), F.col("y.digest").alias("b")))
+    first = verified(stars[0].unionByName(stars[1]).distinct().checkpoint()).checkpoint()
+    # The rest meet in the lists of their prefix tokens.
+    posts = lambda df: df.select("digest", "pos", "n", "parity", F.posexplode("prefix").alias("at", "w"))
+    open_ = classes.join(small(first), "digest", "left_anti")
     room = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
-    differ = F.bit_count(F.col("x.parity").bitwiseXOR(F.col("y.parity")))
-    met = x.join(y, (F.col("x.w") == F.col("y.w")) & earlier & (F.least("x.n", "y.n") * den >= F.greatest("x.n", "y.n") * num) & (room >= need) & (differ <= F.col("x.n") + F.col("y.n") - 2 * need))
-    pairs = met.select(F.col("x.digest").alias("a"), F.col("y.digest").alias("b")).distinct().checkpoint()
-    return known, classes, posts, met, pairs
+    met = posts(classes).alias("x").join(posts(open_).alias("y"), (F.col("x.w") == F.col("y.w")) & (room >= needed(F.col("x.n"), F.col("y.n"), num, den)) & may_match("x", "y"))
+    second = verified(met.select(F.col("x.digest").alias("a"), F.col("y.digest").alias("b")).distinct().checkpoint())
+    similar = first.unionByName(second).distinct().withColumn("similar", F.lit(True))
+    verdict = classes.select("digest", F.col("pos").alias("kept")).join(similar, "digest", "left")
+    gone = known.select("digest", "pos").join(verdict, "digest").filter(F.col("similar") | (F.col("pos") != F.col("kept")))
+    return gone.groupBy("pos.doc_id", "pos.text_hash").agg(F.sort_array(F.collect_set("pos.line")).alias("gone")).checkpoint()
+
+
+def dedup_lines(docs: DataFrame, num: int = 80, den: int = 100, min_words: int = MIN_WORDS) -> DataFrame:
+    """``docs`` with their text less the lines that an earlier one matches, and gone_lines (numbers, from 0); a column of this name is replaced."""
+    docs = docs.drop("gone_lines")
+    gone = later_lines(docs, num, den, min_words).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("gone").alias("gone_lines"))
+    joined = docs.join(small(gone), (F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))) == F.col("__id")) & (F.xxhash64("text") == F.col("__hash")), "left")
+    all_ = F.split("text", "\n")
+    rest = F.transform(F.array_except(F.sequence(F.lit(0), F.size(all_) - 1), "gone_lines"), lambda i: all_[i])
+    text = F.when(F.col("gone_lines").isNull(), F.col("text")).otherwise(F.array_join(rest, "\n"))
+    return joined.withColumn("text", text).withColumn("gone_lines", F.coalesce("gone_lines", F.array().cast("array<int>"))).drop("__id", "__hash")
+
+
+def dedup_digest(docs: DataFrame) -> DataFrame:
+    """doc_id, n_gone, gone_lines (comma-joined) and text_sha256 (of what stays; empty for null) of each document."""
+    done = dedup_lines(docs.select("doc_id", "text"))
+    return done.select("doc_id", F.size("gone_lines").cast("long").alias("n_gone"), F.array_join(F.col("gone_lines").cast("array<string>"), ",").alias("gone_lines"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
