@@ -9,9 +9,9 @@
    has matches nothing, so a set's other tokens bound its overlap with any; sets bound below t
    are done. The rest have prefixes in order of rarity, and sets that share a prefix token are
    candidates.
-4. Each list of a token has a hub, the set with the largest share of shared tokens. All of the
+4. Each list of a token has a hub, the set whose tokens stand in the most sets. All of the
    list are compared to it first. Then the pairs of a list that no common hub has joined are
-   compared, where sizes and bounds allow the threshold. Pairs inside what a hub has joined need
+   compared, where sizes and the token's places in the two orders allow the threshold. Pairs inside what a hub has joined need
    no comparison to find components.
 
 Only the group structure is shuffled; counts are made before each shuffle, so a token that a
@@ -88,13 +88,13 @@ def link(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFram
     groups = heads.filter("n > 0").groupBy("key", "n").agg(F.min("doc_id").alias("least_id"))
 
     # 2: sets of which enough smallest hashes stand in another document's
-    posts = heads.filter("n > 0").select("doc_id", "n", F.explode("head").alias("h"))
+    posts = heads.filter("n > 0").select("doc_id", F.explode("head").alias("h"))
     common = posts.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1").select("h")
     n, size = F.col("n"), lambda x: F.least(x, F.ceil(x * share) + 1)
     other = F.floor(n / t + 1e-9)
     least = F.least(F.ceil(n * t - 1e-9) - (n - size(n)), needed(n, other, num, den) - (other - size(other)) - 2)
-    close = posts.join(common, "h").groupBy("doc_id", "n").agg(F.count("*").alias("s")).filter(F.col("s") >= F.greatest(least, F.lit(1)))
-    wanted = groups.join(close.select(F.col("doc_id").alias("least_id"), "n"), ["least_id", "n"], "left_semi").checkpoint()
+    close = posts.join(common, "h").groupBy(F.col("doc_id").alias("least_id")).agg(F.count("*").alias("s"))
+    wanted = groups.join(close, "least_id").filter(F.col("s") >= F.greatest(least, F.lit(1))).select("key", "n", "least_id").checkpoint()
     few = wanted.count() <= BROADCAST_ROWS
     ids = wanted.select(F.col("least_id").alias("doc_id")).distinct()
     texts = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
@@ -105,15 +105,16 @@ def link(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFram
     sets = sets.checkpoint().withColumn("id", F.monotonically_increasing_id())
     tokens = sets.select("id", F.explode("tokens").alias("h"))
     counts = tokens.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
-    shared = tokens.join(counts, "h").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("own"))
-    rest = shared.join(sets.select("id", "key", "n"), "id").select("key", "n", F.size("own").cast("long").alias("e"), F.transform("own", lambda x: x.h).alias("own"))
+    shared = tokens.join(counts, "h").repartition("id").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("own"))
+    rest = shared.join(sets.select("id", "key", "n"), "id").select("key", "n", F.size("own").cast("long").alias("e"), (F.aggregate("own", F.lit(0).cast("long"), lambda a, x: a + x.df) / F.col("n")).alias("central"), F.transform("own", lambda x: x.h).alias("own"))
     rest = rest.filter(F.col("e") >= F.ceil(F.col("n") * t - 1e-9)).checkpoint()
-    listed = rest.select("key", "n", "e", F.explode(F.slice("own", F.lit(1), (F.col("e") - F.ceil(F.col("n") * t - 1e-9) + 1).cast("int"))).alias("h"))
+    listed = rest.select("key", "n", "e", "central", F.posexplode(F.slice("own", F.lit(1), (F.col("e") - F.ceil(F.col("n") * t - 1e-9) + 1).cast("int"))).alias("at", "h"))
 
     # 4: everything against the hub of its lists, then what no hub has joined
     def fits(a: str, b: str) -> Column:
         need = needed(F.col(f"{a}.n"), F.col(f"{b}.n"), num, den)
-        return (F.col(f"{a}.key") != F.col(f"{b}.key")) & (F.least(f"{a}.e", f"{b}.e") >= need)
+        room = F.least(F.col(f"{a}.e") - F.col(f"{a}.at"), F.col(f"{b}.e") - F.col(f"{b}.at"))  # if this is the first token that both have
+        return (F.col(f"{a}.key") != F.col(f"{b}.key")) & (room >= need)
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -121,11 +122,10 @@ def link(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFram
         both = F.size(F.array_intersect("own_a", "own_b"))
         return pairs.join(x, "a").join(y, "b").filter(both >= needed(F.col("n_a"), F.col("n_b"), num, den)).select("a", "b")
 
-    hubs = listed.groupBy("h").agg(F.max(F.struct((F.col("e") / F.col("n")).alias("share"), "key", "n", "e")).alias("hub"), F.count("*").alias("m")).filter("m > 1").select("h", "hub.*")
+    hubs = listed.groupBy("h").agg(F.max(F.struct("central", "key", "n", "e", "at")).alias("hub"), F.count("*").alias("m")).filter("m > 1").select("h", "hub.*")
     stars = listed.alias("x").join(hubs.alias("y"), "h").filter(fits("x", "y"))
     stars = verified(stars.select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))).checkpoint()
-    ends = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    label = ends.groupBy(F.col("a").alias("key")).agg(F.max("b").alias("other")).select("key", F.greatest("key", "other").alias("label"))
+    label = components(stars).withColumnRenamed("node", "key")
     named = listed.join(label, "key", "left").withColumn("label", F.coalesce("label", "key"))
     mixed = named.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("h")
     named = named.join(mixed, "h", "left_semi")
