@@ -20,12 +20,14 @@ share a doc_id only are different documents. A null doc_id comes before all othe
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.store import shared_folder
+from brindle.llm.store import stored
 
-MIN_WORDS, BUCKETS, HASH_BITS = 3, 1 << 16, 44
+MIN_WORDS, BUCKETS, HASH_BITS = 3, 1 << 13, 44
 #: Documents up to which a list of line numbers for each is broadcast to the texts.
 BROADCAST_ROWS = 500_000
 
@@ -37,24 +39,22 @@ def plain(text: str | Column) -> Column:
 
 
 def rarity(docs: DataFrame) -> Column:
-    """An array of BUCKETS counts, of all words whose hash falls into each."""
+    """An array of BUCKETS levels, four to each doubling of how many words of all texts have their hash in the bucket."""
     words = docs.select(F.explode(F.split(F.translate(plain("text"), "\n", " "), " ")).alias("w"))
     counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")).agg(F.count("*").alias("c")).collect()  # BUCKETS rows at most
-    dense = [0] * BUCKETS
-    for r in counts:
-        dense[r["b"]] = min(r["c"], (1 << (62 - HASH_BITS)) - 1)
-    literal = ",".join(map(str, dense))
-    return F.from_json(F.lit(f"[{literal}]"), "array<bigint>")
+    levels = dict.fromkeys(range(BUCKETS), 0) | {r["b"]: int(4 * math.log2(r["c"])) for r in counts}
+    return F.from_json(F.lit(f"[{','.join(map(str, levels.values()))}]"), "array<smallint>")
 
 
 def hashed(line: Column) -> Column:
     """The hashes of a line's words, repeats included."""
-    return F.transform(F.array_remove(F.split(line, " "), ""), lambda w: F.xxhash64(w))
+    return F.array_remove(F.transform(F.split(line, " "), lambda w: F.xxhash64(w)), F.xxhash64(F.lit("")))
 
 
 def ordered(hashes: Column, counts: Column) -> Column:
-    """Distinct words as longs, the rarest first: the count of the word's bucket above bits of its hash."""
-    rank = lambda h: F.shiftleft(counts[h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")], HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
+    """Distinct words as longs, the rarest first: the level of the word's bucket above bits of its hash."""
+    level = lambda h: F.coalesce(counts[h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")].cast("long"), F.lit(0).cast("long"))
+    rank = lambda h: F.shiftleft(level(h), HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
     return F.sort_array(F.array_distinct(F.transform(hashes, rank)))
 
 
@@ -74,15 +74,21 @@ def small(df: DataFrame) -> DataFrame:
 
 
 def later_lines(docs: DataFrame, num: int = 80, den: int = 100, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, text_hash, gone: the numbers (from 0) of the lines to be removed, for each row of ``docs`` (doc_id, text) that loses any."""
-    shared_folder(docs.sparkSession)
+    """doc_id, text_hash, hashed, gone: the numbers (from 0) of the lines to be removed, for each row of ``docs`` (doc_id, text) that loses any.
+
+    text_hash counts, and is that of the text, only where ``hashed``: where some doc_id stands on several rows.
+    """
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"), "text").filter("text is not null and text <> ''")
     counts, t = rarity(docs), num / den
-    hashes = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split(plain("text"), "\n")).alias("line", "body")).filter("body <> ''").select(F.struct("doc_id", "text_hash", "line").alias("pos"), hashed(F.col("body")).alias("hs"))
-    sets = hashes.filter(F.size("hs") >= min_words).select("pos", F.array_min("hs").alias("low"), F.array_max("hs").alias("high"), ordered(F.col("hs"), counts).alias("own"))
+    twice = docs.groupBy("doc_id").count().filter("count > 1").limit(1).count()
+    docs = docs.withColumn("text_hash", F.xxhash64("text") if twice else F.lit(0).cast("long"))  # tells rows of one doc_id apart
+    lines = docs.select("doc_id", "text_hash", F.posexplode(F.split(plain("text"), "\n")).alias("line", "body")).filter("body <> ''")
+    hashes = lines.select(F.struct("doc_id", "text_hash", "line").alias("pos"), hashed(F.col("body")).alias("hs")).filter(F.size("hs") >= min_words)
     n = F.size("own")
-    known = sets.filter(n >= min_words).select("pos", F.xxhash64("own").alias("digest"), n.alias("n"), "low", "high", parity(F.col("own")).alias("parity"), F.slice("own", F.lit(1), (n - F.ceil(n * t - 1e-9) + 1).cast("int")).alias("prefix")).checkpoint()
-    classes = known.groupBy("digest").agg(F.min(F.struct("pos", "n", "low", "high", "parity", "prefix")).alias("f")).select("digest", "f.*").checkpoint()
+    sets = hashes.select("pos", ordered(F.col("hs"), counts).alias("own")).filter(n >= min_words)
+    known = stored(sets.select("pos", F.xxhash64("own").alias("digest"), n.alias("n"), parity(F.col("own")).alias("parity"), F.slice("own", F.lit(1), (n - F.ceil(n * t - 1e-9) + 1).cast("int")).alias("prefix")))
+    # A class is known by its first position from here on.
+    classes = stored(known.groupBy("digest").agg(F.min(F.struct("pos", "n", "parity", "prefix")).alias("f")).select("digest", "f.*"))
 
     def may_match(x: str, y: str) -> Column:
         """x is earlier, sizes allow the threshold, and parities don't rule it out."""
@@ -91,44 +97,44 @@ def later_lines(docs: DataFrame, num: int = 80, den: int = 100, min_words: int =
         return (c(x, "pos") < c(y, "pos")) & (F.least(c(x, "n"), c(y, "n")) * den >= F.greatest(c(x, "n"), c(y, "n")) * num) & (differ <= c(x, "n") + c(y, "n") - 2 * needed(c(x, "n"), c(y, "n"), num, den))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """digest of each class b that is similar to its partner a, by their whole sets read again from the texts."""
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
-        where = classes.join(small(ids), "digest", "left_semi").groupBy("pos.doc_id", "pos.text_hash").agg(F.collect_list("pos.line").alias("lines")).withColumnsRenamed({"doc_id": "id", "text_hash": "hash"})
-        found = docs.join(small(where), (F.col("doc_id") == F.col("id")) & (F.xxhash64("text") == F.col("hash")))
-        bodies = found.select(F.split(plain("text"), "\n").alias("all"), F.explode("lines").alias("line")).select(F.col("all")[F.col("line")].alias("body"))
-        whole = bodies.select(ordered(hashed(F.col("body")), counts).alias("own")).select(F.xxhash64("own").alias("digest"), "own").dropDuplicates(["digest"])
-        x, y = (whole.select(F.col("digest").alias(c), F.col("own").alias(f"own_{c}")) for c in "ab")
+        """pos of each class b that is similar to its partner a, by their whole sets read again from the texts."""
+        where = pairs.select(F.explode(F.array("a", "b")).alias("pos")).distinct().groupBy("pos.doc_id", "pos.text_hash").agg(F.collect_list("pos.line").alias("wanted"))
+        found = docs.join(small(where), ["doc_id", "text_hash"]).select("doc_id", "text_hash", F.split(plain("text"), "\n").alias("all"), F.explode("wanted").alias("line"))
+        whole = found.select(F.struct("doc_id", "text_hash", "line").alias("pos"), ordered(hashed(F.col("all")[F.col("line")]), counts).alias("own"))
+        x, y = (whole.select(F.col("pos").alias(c), F.col("own").alias(f"own_{c}")) for c in "ab")
         need = needed(F.size("own_a"), F.size("own_b"), num, den)
-        return pairs.join(x, "a").join(y, "b").filter(F.size(F.array_intersect("own_a", "own_b")) >= need).select(F.col("b").alias("digest")).distinct()
+        return pairs.join(x, "a").join(y, "b").filter(F.size(F.array_intersect("own_a", "own_b")) >= need).select(F.col("b").alias("pos")).distinct()
 
-    # Most later classes match the first of those with the same least, or greatest, hash: no list of a token is needed for them.
-    slim = classes.select("digest", "pos", "n", "parity", "low", "high")
+    # Most later classes match the first of those with the same least, or greatest, hash in the prefix: no list of a token is needed for them.
     stars = []
-    for sign in ("low", "high"):
-        hubs = slim.groupBy(sign).agg(F.min(F.struct("pos", "digest", "n", "parity")).alias("h"), F.count("*").alias("m")).filter("m > 1").select(sign, "h.*")
-        stars.append(slim.alias("y").join(hubs.alias("x"), sign).filter(may_match("x", "y")).select(F.col("x.digest").alias("a"), F.col("y.digest").alias("b")))
-    first = verified(stars[0].unionByName(stars[1]).distinct().checkpoint()).checkpoint()
-    # The rest meet in the lists of their prefix tokens.
-    posts = lambda df: df.select("digest", "pos", "n", "parity", F.posexplode("prefix").alias("at", "w"))
-    open_ = classes.join(small(first), "digest", "left_anti")
+    for pick in (F.array_min, F.array_max):
+        slim = classes.select("pos", "n", "parity", pick(F.transform("prefix", lambda w: w.bitwiseAND(F.lit((1 << HASH_BITS) - 1)))).alias("key"))
+        hubs = slim.groupBy("key").agg(F.min(F.struct("pos", "n", "parity")).alias("h"), F.count("*").alias("m")).filter("m > 1").select("key", "h.*")
+        stars.append(slim.alias("y").join(hubs.alias("x"), "key").filter(may_match("x", "y")).select(F.col("x.pos").alias("a"), F.col("y.pos").alias("b")))
+    first = stored(verified(stored(stars[0].unionByName(stars[1]).distinct())))
+    # The rest meet in the lists of their prefix tokens, every open class with all earlier ones.
+    done = first.withColumn("done", F.lit(True))
+    posts = classes.join(small(done), "pos", "left").select("pos", "n", "parity", F.col("done").isNull().alias("open"), F.posexplode("prefix").alias("at", "w"))
     room = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
-    met = posts(classes).alias("x").join(posts(open_).alias("y"), (F.col("x.w") == F.col("y.w")) & (room >= needed(F.col("x.n"), F.col("y.n"), num, den)) & may_match("x", "y"))
-    second = verified(met.select(F.col("x.digest").alias("a"), F.col("y.digest").alias("b")).distinct().checkpoint())
+    open_ = F.col("y.open") | (F.col("x.n") < 0)  # names both sides, so that one exchange of the posts serves both
+    met = posts.alias("x").join(posts.alias("y"), (F.col("x.w") == F.col("y.w")) & open_ & (room >= needed(F.col("x.n"), F.col("y.n"), num, den)) & may_match("x", "y"))
+    second = verified(stored(met.select(F.col("x.pos").alias("a"), F.col("y.pos").alias("b")).distinct()))
     similar = first.unionByName(second).distinct().withColumn("similar", F.lit(True))
-    verdict = classes.select("digest", F.col("pos").alias("kept")).join(similar, "digest", "left")
+    verdict = classes.select("digest", F.col("pos").alias("kept")).join(small(similar), F.col("kept") == F.col("pos"), "left").select("digest", "kept", "similar")
     gone = known.select("digest", "pos").join(verdict, "digest").filter(F.col("similar") | (F.col("pos") != F.col("kept")))
-    return gone.groupBy("pos.doc_id", "pos.text_hash").agg(F.sort_array(F.collect_set("pos.line")).alias("gone")).checkpoint()
+    found = gone.groupBy("pos.doc_id", "pos.text_hash").agg(F.sort_array(F.collect_set("pos.line")).alias("gone"))
+    return stored(found).withColumn("hashed", F.lit(bool(twice)))
 
 
 def dedup_lines(docs: DataFrame, num: int = 80, den: int = 100, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with their text less the lines that an earlier one matches, and gone_lines (numbers, from 0); a column of this name is replaced."""
     docs = docs.drop("gone_lines")
-    gone = later_lines(docs, num, den, min_words).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("gone").alias("gone_lines"))
-    joined = docs.join(small(gone), (F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))) == F.col("__id")) & (F.xxhash64("text") == F.col("__hash")), "left")
+    gone = later_lines(docs, num, den, min_words).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("hashed").alias("__hashed"), F.col("gone").alias("gone_lines"))
+    joined = docs.join(small(gone), (F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))) == F.col("__id")) & (~F.col("__hashed") | (F.xxhash64("text") == F.col("__hash"))), "left")
     all_ = F.split("text", "\n")
     rest = F.transform(F.array_except(F.sequence(F.lit(0), F.size(all_) - 1), "gone_lines"), lambda i: all_[i])
     text = F.when(F.col("gone_lines").isNull(), F.col("text")).otherwise(F.array_join(rest, "\n"))
-    return joined.withColumn("text", text).withColumn("gone_lines", F.coalesce("gone_lines", F.array().cast("array<int>"))).drop("__id", "__hash")
+    return joined.withColumn("text", text).withColumn("gone_lines", F.coalesce("gone_lines", F.array().cast("array<int>"))).drop("__id", "__hash", "__hashed")
 
 
 def dedup_digest(docs: DataFrame) -> DataFrame:
