@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from brindle.llm import ann, decontam, jaccard, language, licences, lines, packing, pii, secrets, toxicity
 
 
@@ -54,7 +55,7 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_personal_data, op3_toxicity, op4_secret_scan, op5_licence_scan, op6_best_fit_packing, op7_jaccard_join, op8_line_dedup, op9_decontamination, op10_nearest_neighbours)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_language_id, op2_personal_data, op3_toxicity, op4_secret_scan, op5_licence_scan, op6_best_fit_packing, op7_jaccard_join, op8_line_dedup, op9_decontamination, op10_nearest_neighbours)}
 
 
 def oracle_sql() -> dict[str, str]:
