@@ -1,9 +1,14 @@
-"""Named queries over the driver's tables and the SQL that states the same."""
+"""All named queries."""
+
+from __future__ import annotations
+
+from brindle.plans import corpus, streams, tables, vectors  # noqa: F401  each registers its own
+from brindle.plans.base import QUERIES
 
 
 def queries():
-    return {}
+    return {name: q.build for name, q in QUERIES.items()}
 
 
 def oracle_sql():
-    return {}
+    return {name: q.sql for name, q in QUERIES.items() if q.sql}
