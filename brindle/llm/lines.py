@@ -85,8 +85,10 @@ def later_lines(docs: DataFrame, num: int = 80, den: int = 100, min_words: int =
     lines = docs.select("doc_id", "text_hash", F.posexplode(F.split(plain("text"), "\n")).alias("line", "body")).filter("body <> ''")
     hashes = lines.select(F.struct("doc_id", "text_hash", "line").alias("pos"), hashed(F.col("body")).alias("hs")).filter(F.size("hs") >= min_words)
     n = F.size("own")
+    # Of prefix tokens 32 bits are kept: two that fall together give a candidate more, never one less.
+    short = lambda w: (w.bitwiseAND(F.lit((1 << 32) - 1)) - F.lit(1 << 31)).cast("int")
     sets = hashes.select("pos", ordered(F.col("hs"), counts).alias("own")).filter(n >= min_words)
-    known = stored(sets.select("pos", F.xxhash64("own").alias("digest"), n.alias("n"), parity(F.col("own")).alias("parity"), F.slice("own", F.lit(1), (n - F.ceil(n * t - 1e-9) + 1).cast("int")).alias("prefix")))
+    known = stored(sets.select("pos", F.xxhash64("own").alias("digest"), n.alias("n"), parity(F.col("own")).alias("parity"), F.transform(F.slice("own", F.lit(1), (n - F.ceil(n * t - 1e-9) + 1).cast("int")), short).alias("prefix")))
     # A class is known by its first position from here on.
     classes = stored(known.groupBy("digest").agg(F.min(F.struct("pos", "n", "parity", "prefix")).alias("f")).select("digest", "f.*"))
 
@@ -108,7 +110,7 @@ def later_lines(docs: DataFrame, num: int = 80, den: int = 100, min_words: int =
     # Most later classes match the first of those with the same least, or greatest, hash in the prefix: no list of a token is needed for them.
     stars = []
     for pick in (F.array_min, F.array_max):
-        slim = classes.select("pos", "n", "parity", pick(F.transform("prefix", lambda w: w.bitwiseAND(F.lit((1 << HASH_BITS) - 1)))).alias("key"))
+        slim = classes.select("pos", "n", "parity", pick("prefix").alias("key"))
         hubs = slim.groupBy("key").agg(F.min(F.struct("pos", "n", "parity")).alias("h"), F.count("*").alias("m")).filter("m > 1").select("key", "h.*")
         stars.append(slim.alias("y").join(hubs.alias("x"), "key").filter(may_match("x", "y")).select(F.col("x.pos").alias("a"), F.col("y.pos").alias("b")))
     first = stored(verified(stored(stars[0].unionByName(stars[1]).distinct())))
