@@ -56,7 +56,7 @@ def _heads(k: int, share: float):
             p = np.minimum(n, np.ceil(share * n).astype(np.int64) + 1)
             start = np.concatenate(([0], np.cumsum(p)))
             take = np.arange(start[-1]) + np.repeat(first[:-1] - start[:-1], p)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(key), pa.array(n, pa.int64()), lists(start, h[take].view(np.int64), pa.int64())], ["doc_id", "key", "n", "head"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(key), pa.array(n, pa.int64()), lists(start, h[take].view(np.int64), pa.int64())], ["doc_id", "text_hash", "key", "n", "head"])
 
     return run
 
@@ -76,15 +76,15 @@ def needed(a: Column, b: Column, num: int, den: int) -> Column:
 
 
 def link(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
-    """doc_id, n (set size), component (smallest doc_id reachable by links) of each row of ``docs`` (doc_id, text).
+    """doc_id, text_hash (Spark's xxhash64), n (set size), component (smallest doc_id reachable by links), label (a number of the component, unique where doc_ids aren't; null without words) of each row of ``docs`` (doc_id, text).
 
     Two documents link when den * |A and B| >= num * |A or B|.
     """
     spark, t = docs.sparkSession, num / den
     shared_folder(spark)
     share = 1 - t + SLACK
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    heads = docs.mapInArrow(_heads(k, share), "doc_id long, key long, n long, head array<long>").checkpoint()
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    heads = docs.mapInArrow(_heads(k, share), "doc_id long, text_hash long, key long, n long, head array<long>").checkpoint()
     groups = heads.filter("n > 0").groupBy("key", "n").agg(F.min("doc_id").alias("least_id"))
 
     # 2: sets of which enough smallest hashes stand in another document's
@@ -134,9 +134,9 @@ def link(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFram
     found = components(links)
     named_groups = groups.join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
     least_ids = named_groups.groupBy("label").agg(F.min("least_id").alias("component"))
-    by_key = named_groups.join(least_ids, "label").select("key", "n", "component")
-    out = heads.select("doc_id", "key", "n").join(by_key, ["key", "n"], "left")
-    return out.select("doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
+    by_key = named_groups.join(least_ids, "label").select("key", "n", "component", "label")
+    out = heads.select("doc_id", "text_hash", "key", "n").join(by_key, ["key", "n"], "left")
+    return out.select("doc_id", "text_hash", "n", F.coalesce("component", "doc_id").alias("component"), "label")
 
 
 def link_digest(docs: DataFrame) -> DataFrame:
@@ -145,12 +145,14 @@ def link_digest(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """``docs`` with one document of each component, that of the smallest doc_id; documents without words all stay."""
-    linked = link(docs, k, num, den).checkpoint()
-    gone = linked.filter("n > 0 and not doc_id <=> component").select("doc_id").distinct()
-    kept = docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
-    twice = linked.filter("n > 0").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    """``docs`` with one row of each component, the first by doc_id (null last) and hash of the text; rows without words all stay."""
+    linked = link(docs, k, num, den).filter("n > 0").select("label", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash").alias("row")).checkpoint()
+    first = linked.groupBy("label").agg(F.min("row").alias("kept"))
+    gone = linked.join(first, "label").filter("not row <=> kept").select(F.col("row.doc_id").alias("gone_id"), F.col("row.text_hash").alias("gone_hash")).distinct()
+    same = lambda other: docs["doc_id"].eqNullSafe(other[f"{other.columns[0]}"]) & (F.xxhash64(docs["text"]) == other[other.columns[1]])
+    kept = docs.join(gone, same(gone), "left_anti")
+    twice = linked.groupBy("row").count().filter("count > 1").select(F.col("row.doc_id").alias("twice_id"), F.col("row.text_hash").alias("twice_hash"))
     if not twice.limit(1).count():
         return kept
-    again = kept.join(twice, kept["doc_id"].eqNullSafe(twice["doc_id"]), "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(twice, kept["doc_id"].eqNullSafe(twice["doc_id"]), "left_anti").unionByName(again)
+    again = kept.join(twice, same(twice), "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(twice, same(twice), "left_anti").unionByName(again)
