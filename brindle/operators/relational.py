@@ -10,14 +10,15 @@ from pyspark.sql.types import StructType
 
 from brindle.functions.packages import route_pattern
 from brindle.functions.severity import ORDER
+from brindle.schemas import parsed
 
 #: Rows up to which the small side of a theta join is broadcast; beyond it the join needs a key.
 BROADCAST_ROWS = 100_000
 
 
-def conform(df: DataFrame, schema: StructType) -> DataFrame:
+def conform(df: DataFrame, schema: str | StructType) -> DataFrame:
     """Columns of a schema, in its order; missing ones and values that can't be cast are null."""
-    return df.select(*[(F.col(f.name).try_cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType)).alias(f.name) for f in schema])
+    return df.select(*[(F.col(f.name).try_cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType)).alias(f.name) for f in parsed(schema)])
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -29,7 +29,7 @@ def read_json(spark: SparkSession, folder: str, schema, tool: str) -> DataFrame:
 def as_findings(df: DataFrame) -> DataFrame:
     """Every column of the findings' schema, those that ``df`` lacks as nulls, cast to its types."""
     have = set(df.columns)
-    return df.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in schemas.FINDING])
+    return df.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in schemas.parsed(schemas.FINDING)])
 
 
 def sarif_results(reports: DataFrame, first_run_only: bool = False) -> DataFrame:

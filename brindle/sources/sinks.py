@@ -14,7 +14,7 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def write_typed(df: DataFrame, path: str, schema: StructType) -> None:
+def write_typed(df: DataFrame, path: str, schema: str | StructType) -> None:
     """K3: Parquet of exactly a schema; what can't be cast is null."""
     conform(df, schema).write.mode("overwrite").parquet(path)
 
