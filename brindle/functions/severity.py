@@ -57,9 +57,14 @@ def importance(severity: Column, focus: Column, has_context: Column) -> Column:
 
 
 def update_severity(releases: Column, latest: Column, now: Column) -> Column:
-    """High with two releases missed or one within 180 days, else medium; null without any."""
-    recent = latest >= now - F.expr("interval 180 days")
-    return F.when(releases >= 2, "high").when((releases == 1) & recent, "high").when(releases >= 1, "medium")
+    """High with two security releases missed, or any within 180 days; medium with an older one, low without."""
+    recent = F.coalesce(latest > now - F.expr("interval 180 days"), F.lit(False))
+    return F.when(releases == 0, "low").when((releases >= 2) | recent, "high").otherwise("medium")
+
+
+def update_score(releases: Column) -> Column:
+    """The score that goes with so many security releases missed."""
+    return F.when(releases == 0, 3.0).when(releases >= 2, 7.5).otherwise(5.5)
 
 
 def overall_result(*statuses: Column) -> Column:
