@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from brindle.plans import corpus, streams, tables, vectors  # noqa: F401  each registers its own
+from brindle.plans import corpus, findings, streams, tables, vectors  # noqa: F401  each registers its own
 from brindle.plans.base import QUERIES
 
 
