@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brindle.operators.relational import small
+from brindle.storage import cut
+
 
 def seeded(seed: int, *keys: str) -> Column:
     """A reproducible random order: the hash of a seed and the keys."""
@@ -45,18 +48,31 @@ def after_newest(df: DataFrame, key: str, order: list[Column], keep: int = 5) ->
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter(F.col("rank") > keep)
 
 
-def shards(df: DataFrame, order: list[str], rows_per_shard: int) -> DataFrame:
-    """Contiguous shards of an order, numbered from 0.
+def ranked(df: DataFrame, order: list[str], by: list[str] | None = None) -> DataFrame:
+    """``df`` with rank (from 1) in the order of columns, within groups of ``by`` if given, and group_size.
 
-    Ranks are made of a range partition's own positions and the sizes of the partitions before it,
-    so no window runs over all rows in one task.
+    Rows are range-partitioned and sorted once and numbered there; a rank is that number less the
+    first of its group in the partition, plus what the group has in earlier partitions. So a group
+    with a third of all rows, or a rank over all of them, is the work of many tasks.
     """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
-    sizes = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
-    before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))  # one row a partition
-    place = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
-    ranked = ranged.withColumn("__place", place).join(F.broadcast(before), "__part")
-    return ranked.withColumn("shard", F.floor((F.col("__before") + F.col("__place") - 1) / rows_per_shard).cast("long")).drop("__part", "__place", "__before")
+    by = by or []
+    numbered = cut(df.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order).withColumn("__id", F.monotonically_increasing_id()))
+    part = F.shiftright("__id", 33)
+    groups = [F.col(c).alias(f"__g{i}") for i, c in enumerate(by)]
+    names = [f"__g{i}" for i in range(len(by))]
+    runs = numbered.groupBy(*groups, part.alias("__part")).agg(F.min("__id").alias("__lo"), F.count("*").alias("__n"))  # a row for each group and partition
+    over = Window.partitionBy(*names) if names else Window.partitionBy(F.lit(0))
+    before = runs.select(*names, "__part", "__lo", (F.sum("__n").over(over.orderBy("__part")) - F.col("__n")).alias("__before"), F.sum("__n").over(over).alias("group_size"))
+    same = part == F.col("__part")
+    for i, c in enumerate(by):
+        same &= F.col(c).eqNullSafe(F.col(f"__g{i}"))
+    joined = numbered.join(small(before), same)
+    return joined.withColumn("rank", F.col("__id") - F.col("__lo") + F.col("__before") + 1).drop("__id", "__part", "__lo", "__before", *names)
+
+
+def shards(df: DataFrame, order: list[str], rows_per_shard: int) -> DataFrame:
+    """Contiguous shards of an order, numbered from 0."""
+    return ranked(df, order).withColumn("shard", F.floor((F.col("rank") - 1) / rows_per_shard).cast("long")).drop("rank", "group_size")
 
 
 def by_priority(df: DataFrame, column: str, values: list[str], then: list[Column]) -> DataFrame:

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.functions.chat import replace_terms
-from brindle.operators.ordering import seeded
+from brindle.operators.ordering import ranked, seeded
+from brindle.operators.relational import small
+from brindle.storage import cut
 
 
 def split_of(rank: Column, n: Column, small_rule: bool = True) -> Column:
@@ -21,9 +23,8 @@ def split_of(rank: Column, n: Column, small_rule: bool = True) -> Column:
 
 def stratified_split(df: DataFrame, stratum: str, key: str, seed: int = 42, small_rule: bool = True) -> DataFrame:
     """``df`` with split; sizes are those of the rule, members follow from the hash order."""
-    w = Window.partitionBy(stratum)
-    ranked = df.withColumn("__rank", F.row_number().over(w.orderBy(seeded(seed, key), key))).withColumn("__n", F.count("*").over(w))
-    return ranked.withColumn("split", split_of(F.col("__rank"), F.col("__n"), small_rule)).drop("__rank", "__n")
+    placed = ranked(df.withColumn("__draw", seeded(seed, key)), ["__draw", key], [stratum])
+    return placed.withColumn("split", split_of(F.col("rank"), F.col("group_size"), small_rule)).drop("rank", "group_size", "__draw")
 
 
 def quota(df: DataFrame, group: str, key: str, target: int, seed: int = 42) -> DataFrame:
@@ -32,8 +33,8 @@ def quota(df: DataFrame, group: str, key: str, target: int, seed: int = 42) -> D
     total = sizes.count()
     own = sizes.withColumn("at", F.row_number().over(Window.orderBy(group)))  # one row a group
     own = own.withColumn("quota", F.lit(target // max(total, 1)) + (F.col("at") <= target % max(total, 1)).cast("int")).select(F.col(group).alias("__g"), "quota")
-    ranked = df.withColumn("__rank", F.row_number().over(Window.partitionBy(group).orderBy(seeded(seed, key), key)))
-    return ranked.join(F.broadcast(own), F.col(group).eqNullSafe(F.col("__g"))).filter("__rank <= quota").drop("__g", "quota", "__rank")
+    placed = ranked(df.withColumn("__draw", seeded(seed, key)), ["__draw", key], [group])
+    return placed.join(small(own), F.col(group).eqNullSafe(F.col("__g"))).filter("rank <= quota").drop("__g", "quota", "rank", "group_size", "__draw")
 
 
 def sample(df: DataFrame, key: str, rows: int, seed: int = 42) -> DataFrame:
@@ -66,6 +67,7 @@ def weighted_draws(df: DataFrame, key: str, weight: Column, draws: int, seed: in
     is met with the row whose interval of the total holds it by buckets of that total.
     """
     ranged = df.withColumn("__w", weight.cast("double")).filter("__w > 0").repartitionByRange(key).sortWithinPartitions(key).withColumn("__part", F.spark_partition_id())
+    ranged = cut(ranged)
     sizes = ranged.groupBy("__part").agg(F.sum("__w").alias("__s"))
     before = sizes.select("__part", (F.sum("__s").over(Window.orderBy("__part")) - F.col("__s")).alias("__before"), F.sum("__s").over(Window.partitionBy()).alias("__total"))  # one row a partition
     upto = F.sum("__w").over(Window.partitionBy("__part").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)) + F.col("__before")
