@@ -26,7 +26,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.llm.store import shared_folder
@@ -96,13 +96,24 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
+def element(vectors: DataFrame) -> str:
+    """The type that vectors keep on their way: float as it is, everything else as double."""
+    return "float" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "double"
+
+
+def comparable(column: str, kind: str) -> Column:
+    """A vector whose negative zeros are zeros, so that equal ones are equal."""
+    return F.transform(F.col(column).cast(f"array<{kind}>"), lambda x: x + F.lit(0).cast(kind))
+
+
 def points(vectors: DataFrame, k: int) -> DataFrame:
     """rep (the smallest id), vec, ids (the k + 1 smallest, ascending) of each distinct vector that takes part."""
-    usable = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("vec")).filter(
+    kind = element(vectors)
+    usable = vectors.select("vec_id", F.col("embedding").cast(f"array<{kind}>").alias("vec")).filter(
         "vec_id is not null and vec is not null and size(vec) > 0 and forall(vec, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(vec, x -> x <> 0)"
     )
     width = usable.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), "n").limit(1)
-    usable = usable.join(F.broadcast(width), F.size("vec") == F.col("n"), "left_semi").withColumn("vec", F.transform("vec", lambda x: x + F.lit(0.0)))
+    usable = usable.join(F.broadcast(width), F.size("vec") == F.col("n"), "left_semi").withColumn("vec", comparable("vec", kind))
     first = usable.withColumn("at", F.dense_rank().over(Window.partitionBy("vec").orderBy("vec_id"))).filter(F.col("at") <= k + 1)
     return first.groupBy("vec").agg(F.array_sort(F.collect_set("vec_id")).alias("ids")).select(F.col("ids")[0].alias("rep"), "vec", "ids")
 
@@ -139,7 +150,7 @@ def _rank(k: int):
     def run(key, rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         query, found = [], []
         if len(rows) and len(asked):
-            x, q = np.stack(rows["vec"].to_numpy()), np.stack(asked["vec"].to_numpy())
+            x, q = (np.stack(v.to_numpy()).astype(np.float64) for v in (rows["vec"], asked["vec"]))
             rep, leaf = rows["rep"].to_numpy(), rows["leaf"].to_numpy()
             subtree = leaf.min() >> SUBTREE << SUBTREE
             wanted = np.zeros((len(asked), 2**SUBTREE), bool)
@@ -153,14 +164,14 @@ def _rank(k: int):
                 exact = (q[at : at + 512][:, None, :] * x[best]).sum(2)
                 query += asked["query"].to_numpy()[at : at + 512].tolist()
                 found += [[{"score": float(s), "rep": int(r)} for s, r in zip(v[t], rep[b][t], strict=True)] for v, b, t in zip(exact, best, there, strict=True)]
-        return pd.DataFrame({"query": np.array(query, np.int64), "found": found})
+        return pd.DataFrame({"query": np.array(query, np.int64), "found": pd.Series(found, dtype=object)})
 
     return run
 
 
 def nearest(vectors: DataFrame, queries: str, k: int = 20, visit: float = VISIT, trees: int = TREES, leaf_rows: int = LEAF_ROWS, sample: int = SAMPLE) -> DataFrame:
     """query_id, rank, vec_id, score: for each row of ``vectors`` (vec_id, embedding) that meets the SQL condition ``queries``, its k nearest others found."""
-    spark = vectors.sparkSession
+    spark, kind = vectors.sparkSession, element(vectors)
     shared_folder(spark)
     found = points(vectors, k).checkpoint()
     n = found.count()
@@ -169,10 +180,10 @@ def nearest(vectors: DataFrame, queries: str, k: int = 20, visit: float = VISIT,
     depth = max(0, min(int(np.ceil(np.log2(max(n, 1) / leaf_rows))), int(np.log2(max(len(rows), 1) / LEAST)) if len(rows) else 0))
     forest = grow(rows, depth, trees)
     chunks = max(1, -(-n // (2 ** max(depth - SUBTREE, 0) * GROUP_ROWS)))
-    own = vectors.filter(queries).select("vec_id", F.transform(F.col("embedding").cast("array<double>"), lambda x: x + F.lit(0.0)).alias("vec"))
+    own = vectors.filter(queries).select("vec_id", comparable("embedding", kind).alias("vec"))
     asked = own.join(found, "vec").select(F.col("vec_id").alias("query_id"), F.col("rep").alias("query")).distinct()
-    placed = found.select("rep", "vec").mapInArrow(_place(forest, chunks), "tree int, part long, leaf long, rep long, vec array<double>")
-    routed = found.join(asked.select(F.col("query").alias("rep")).distinct(), "rep", "left_semi").select("rep", "vec").mapInArrow(_route(forest, chunks, visit), "tree int, part long, query long, vec array<double>, leaves array<long>")
+    placed = found.select("rep", "vec").mapInArrow(_place(forest, chunks), f"tree int, part long, leaf long, rep long, vec array<{kind}>")
+    routed = found.join(asked.select(F.col("query").alias("rep")).distinct(), "rep", "left_semi").select("rep", "vec").mapInArrow(_route(forest, chunks, visit), f"tree int, part long, query long, vec array<{kind}>, leaves array<long>")
     scored = placed.groupBy("tree", "part").cogroup(routed.groupBy("tree", "part")).applyInPandas(_rank(k), "query long, found array<struct<score:double,rep:long>>")
     best = F.sort_array(F.array_distinct(F.flatten(F.collect_list("found"))), asc=False)
     near = scored.groupBy("query").agg(F.slice(best, 1, k + 1).alias("found")).select("query", F.explode("found").alias("x")).select("query", "x.rep", "x.score")
