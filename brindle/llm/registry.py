@@ -59,8 +59,44 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_jaccard_join": OP7, "op9_decontamination": OP9}
+    return {"op5_licence_scan": op5_sql(), "op7_jaccard_join": OP7, "op8_line_dedup": OP8, "op9_decontamination": OP9}
+
+
+def op5_sql() -> str:
+    vectors, idf, other = licences.template_vectors()
+    text = lambda v: f"'{v}'" if isinstance(v, str) else repr(v)
+    values = lambda rows: ", ".join("(" + ", ".join(map(text, r)) + ")" for r in rows)
+    return rf"""
+WITH vec(template, licence, word, weight) AS (VALUES {values(vectors)}), idf(word, idf) AS (VALUES {values(sorted(idf.items()))}),
+doc AS (SELECT doc_id, concat_ws('/', source, CAST(CAST(floor(doc_id / 100) AS BIGINT) AS VARCHAR), doc_id || '.txt') AS path, source || '/' || CAST(floor(doc_id / 100) AS BIGINT) AS dir, text FROM documents),
+cue AS (SELECT doc_id, len(regexp_extract_all(lower(text), '{licences.TOKEN}')) AS doc_words, unnest(list_filter(list_transform(string_split(regexp_replace(text, '([.!?;])\s+', '\1' || chr(10), 'g'), chr(10)), lambda s: trim(s)), lambda s: regexp_matches(s, '{licences.CUE}'))) AS sentence FROM doc WHERE regexp_matches(text, '{licences.CUE}')),
+tf AS (SELECT sentence, word, count(*) AS tf FROM (SELECT sentence, unnest(regexp_extract_all(lower(sentence), '{licences.TOKEN}')) AS word FROM (SELECT DISTINCT sentence FROM cue)) GROUP BY ALL),
+w AS (SELECT sentence, word, tf, tf * coalesce(idf, {other!r}) AS w FROM tf LEFT JOIN idf USING (word)),
+norm AS (SELECT sentence, sqrt(sum(w * w)) AS norm, sum(tf) AS words FROM w GROUP BY sentence),
+dot AS (SELECT sentence, template, licence, sum(w * weight) AS dot FROM w JOIN vec USING (word) GROUP BY ALL),
+best AS (SELECT sentence, words, round(dot / norm, 6) AS cosine, licence FROM dot JOIN norm USING (sentence) QUALIFY row_number() OVER (PARTITION BY sentence ORDER BY round(dot / norm, 6) DESC, licence) = 1),
+hit AS (SELECT DISTINCT doc_id, doc_words, sentence, words, licence, cosine FROM cue JOIN best USING (sentence) WHERE cosine >= {licences.THRESHOLD}),
+own AS (SELECT doc_id, max(cosine) AS score, arg_min(licence, (-cosine, licence)) AS licence, sum(words) >= {licences.FILE_SHARE} * max(doc_words) AS is_file, count(*) AS n FROM hit GROUP BY doc_id),
+giver AS (SELECT dir, arg_min(own.licence, (-score, own.licence)) AS dir_licence, max(score) AS dir_score FROM own JOIN doc USING (doc_id) WHERE is_file GROUP BY dir)
+SELECT doc_id, path, coalesce(licence, dir_licence, '') AS licence, CASE WHEN is_file THEN 'file' WHEN licence IS NOT NULL THEN 'header' WHEN dir_licence IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
+ coalesce(score, dir_score, 0.0) AS score, CAST(coalesce(n, 0) AS BIGINT) AS n_sentences FROM doc LEFT JOIN own USING (doc_id) LEFT JOIN giver USING (dir)
+"""
+
 
+OP8 = r"""
+WITH l AS (SELECT doc_id AS d, CAST(i - 1 AS INT) AS line, list_sort(list_distinct(list_filter(string_split(x[i], ' '), lambda w: w <> ''))) AS ws
+           FROM (SELECT doc_id, x, unnest(range(1, len(x) + 1)) AS i FROM (SELECT doc_id, string_split(translate(lower(text), chr(9) || chr(13) || chr(11) || chr(12), '    '), chr(10)) AS x FROM documents WHERE text <> ''))),
+lines AS (SELECT d, line, ws, len(ws) AS n FROM l WHERE len(ws) >= 3),
+class AS (SELECT ws, any_value(n) AS n, min((d, line)) AS first FROM lines GROUP BY ws),
+tok AS (SELECT first, n, unnest(ws) AS w FROM class), df AS (SELECT w, count(*) AS df FROM tok GROUP BY w),
+pre AS (SELECT first, n, w FROM tok JOIN df USING (w) QUALIFY row_number() OVER (PARTITION BY first ORDER BY df, w) <= n - ceil(n * 0.8 - 1e-9) + 1),
+cand AS (SELECT DISTINCT a.first AS a, b.first AS b FROM pre a JOIN pre b ON a.w = b.w AND a.first < b.first AND least(a.n, b.n) * 100 >= greatest(a.n, b.n) * 80),
+alike AS (SELECT DISTINCT b FROM cand JOIN class x ON a = x.first JOIN class y ON b = y.first WHERE 180 * len(list_intersect(x.ws, y.ws)) >= 80 * (x.n + y.n)),
+gone AS (SELECT d AS doc_id, list(line ORDER BY line) AS g FROM lines JOIN class USING (ws) WHERE (d, line) <> first OR first IN (SELECT b FROM alike) GROUP BY d)
+SELECT doc_id, CAST(coalesce(len(g), 0) AS BIGINT) AS n_gone, coalesce(array_to_string(g, ','), '') AS gone_lines,
+ sha256(CASE WHEN g IS NULL THEN coalesce(text, '') ELSE array_to_string(list_filter(string_split(text, chr(10)), lambda x, i: NOT list_contains(g, i - 1)), chr(10)) END) AS text_sha256
+FROM documents LEFT JOIN gone USING (doc_id)
+"""
 
 OP9 = r"""
 WITH doc AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),

@@ -1,30 +1,19 @@
-"""Where intermediate tables go: the shared folder that the cluster names."""
+"""Intermediate tables in the shared folder that the cluster names."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
+from brindle.storage import shared_folder
 
-def shared_folder(spark: SparkSession) -> None:
-    """Let ``checkpoint()`` write to the folder in spark.checkpoint.dir; only where a local session names none, to a new temporary one."""
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isDefined():
-        return
-    folder = context.getConf().get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="brindle-")
-    context.setCheckpointDir(folder)
+__all__ = ["shared_folder", "stored"]
 
 
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: smaller there than a checkpoint, and with no lineage either."""
     spark = df.sparkSession
-    shared_folder(spark)
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -25,9 +25,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that match an earlier one; documents of which nothing is left go, those that held no text before stay."""
+    """Documents without lines that match an earlier one. Those that lost some and keep none of three words or more go: what is left of them are scraps too short to be judged."""
     done = lines.dedup_lines(docs.select(COLUMNS))
-    some = (F.size("gone_lines") == 0) | F.coalesce(F.col("text").rlike(r"\S"), F.lit(False))
+    some = (F.size("gone_lines") == 0) | F.coalesce(F.col("text").rlike(r"\S[^\S\n]+\S+[^\S\n]+\S"), F.lit(False))
     length = F.when(F.size("gone_lines") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return done.filter(some).withColumn("n_chars", length).select(COLUMNS)
 
@@ -60,8 +60,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shared_folder(spark)
-    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}-{name}")
