@@ -151,7 +151,8 @@ def _rank(k: int):
         query, found = [], []
         if len(rows) and len(asked):
             x, q = (np.stack(v.to_numpy()).astype(np.float64) for v in (rows["vec"], asked["vec"]))
-            rep, leaf = rows["rep"].to_numpy(), rows["leaf"].to_numpy()
+            by_rep = np.argsort(rows["rep"].to_numpy())
+            x, rep, leaf = x[by_rep], rows["rep"].to_numpy()[by_rep], rows["leaf"].to_numpy()[by_rep]
             subtree = leaf.min() >> SUBTREE << SUBTREE
             wanted = np.zeros((len(asked), 2**SUBTREE), bool)
             for i, own in enumerate(asked["leaves"]):
@@ -159,11 +160,14 @@ def _rank(k: int):
             for at in range(0, len(q), 512):
                 score = np.where(wanted[at : at + 512][:, leaf - subtree], q[at : at + 512] @ x.T, -np.inf)
                 best = np.argpartition(-score, min(k, score.shape[1] - 1), 1)[:, : k + 1]
+                tied = np.flatnonzero((score >= np.take_along_axis(score, best, 1).min(1, keepdims=True)).sum(1) > best.shape[1])
+                if len(tied):  # of equal ones those with the smallest rep
+                    best[tied] = np.argsort(-score[tied], 1, kind="stable")[:, : k + 1]
                 there = np.take_along_axis(score, best, 1) > -np.inf
                 # once more, so that a pair's product is the same bits whatever block it was found in
                 exact = (q[at : at + 512][:, None, :] * x[best]).sum(2)
                 query += asked["query"].to_numpy()[at : at + 512].tolist()
-                found += [[{"score": float(s), "rep": int(r)} for s, r in zip(v[t], rep[b][t], strict=True)] for v, b, t in zip(exact, best, there, strict=True)]
+                found += [[{"score": float(s), "neg": -int(r)} for s, r in zip(v[t], rep[b][t], strict=True)] for v, b, t in zip(exact, best, there, strict=True)]
         return pd.DataFrame({"query": np.array(query, np.int64), "found": pd.Series(found, dtype=object)})
 
     return run
@@ -184,9 +188,9 @@ def nearest(vectors: DataFrame, queries: str, k: int = 20, visit: float = VISIT,
     asked = own.join(found, "vec").select(F.col("vec_id").alias("query_id"), F.col("rep").alias("query")).distinct()
     placed = found.select("rep", "vec").mapInArrow(_place(forest, chunks), f"tree int, part long, leaf long, rep long, vec array<{kind}>")
     routed = found.join(asked.select(F.col("query").alias("rep")).distinct(), "rep", "left_semi").select("rep", "vec").mapInArrow(_route(forest, chunks, visit), f"tree int, part long, query long, vec array<{kind}>, leaves array<long>")
-    scored = placed.groupBy("tree", "part").cogroup(routed.groupBy("tree", "part")).applyInPandas(_rank(k), "query long, found array<struct<score:double,rep:long>>")
+    scored = placed.groupBy("tree", "part").cogroup(routed.groupBy("tree", "part")).applyInPandas(_rank(k), "query long, found array<struct<score:double,neg:long>>")
     best = F.sort_array(F.array_distinct(F.flatten(F.collect_list("found"))), asc=False)
-    near = scored.groupBy("query").agg(F.slice(best, 1, k + 1).alias("found")).select("query", F.explode("found").alias("x")).select("query", "x.rep", "x.score")
+    near = scored.groupBy("query").agg(F.slice(best, 1, k + 1).alias("found")).select("query", F.explode("found").alias("x")).select("query", (-F.col("x.neg")).alias("rep"), "x.score")
     near = near.join(found.select("rep", "ids"), "rep").groupBy("query").agg(F.collect_list(F.struct("score", "ids")).alias("near"))
     flat = asked.join(near, "query").select("query_id", F.explode("near").alias("x")).select("query_id", "x.score", F.explode("x.ids").alias("vec_id")).filter("vec_id <> query_id")
     ranked = flat.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))

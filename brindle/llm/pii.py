@@ -222,6 +222,16 @@ def examples(seed: int = 5, each: int = 40) -> list[tuple[str, int, int, int, in
     return out
 
 
+_trained: list[Boosted] = []
+
+
+def trained(spark: SparkSession) -> Boosted:
+    """The trees, fitted once in a process: the examples are always the same."""
+    if not _trained:
+        _trained.append(train(spark))
+    return _trained[0]
+
+
 def train(spark: SparkSession) -> Boosted:
     """Fit the trees to the proposals in the examples; the same expressions as on data give the features."""
     rows = examples()
@@ -268,7 +278,7 @@ def redact(docs: DataFrame, model: Boosted, text_col: str = "text") -> DataFrame
 
 def find_digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans."""
-    found = find(docs.select("doc_id", "text"), train(docs.sparkSession)).select("doc_id", "pii_base", "pii_spans")
+    found = find(docs.select("doc_id", "text"), trained(docs.sparkSession)).select("doc_id", "pii_base", "pii_spans")
     names = F.array(*map(F.lit, KINDS))
     joined = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", names[x.kind], x.start, x.end)), ",")
     counts = [F.expr(f"cast(size(filter(pii_base, x -> x.kind = {i})) as long)").alias(f"n_{k}") for i, k in enumerate(KINDS)]

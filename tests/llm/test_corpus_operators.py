@@ -190,6 +190,10 @@ def test_neighbours(spark):
         assert all(s == pytest.approx(score[v], abs=1e-12) for _, v, s in found)
         assert found == sorted(found, key=lambda f: (-f[2], f[1]))
     assert np.mean(recall) >= 0.9
+    grid = spark.createDataFrame([(i, [float(i % 5), 1.0, float(i % 3)]) for i in range(200)], "vec_id long, embedding array<float>")  # ties everywhere
+    found = ann.nearest(grid, "vec_id = 10", k=30, leaf_rows=500).orderBy("rank").collect()
+    want = sorted(((-(i % 5 * (10 % 5) + 1 + i % 3 * (10 % 3)), i) for i in range(200) if i != 10))[:30]
+    assert [(-r["score"], r["vec_id"]) for r in found] == want
     few = ann.nearest(df.filter("vec_id < 3"), "vec_id = 0").collect()
     assert {r["vec_id"] for r in few} == {1, 2}
     assert ann.nearest(df.filter("false"), "true").count() == 0
