@@ -21,6 +21,7 @@ share a doc_id only are different documents. A null doc_id comes before all othe
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,9 +59,9 @@ def ordered(hashes: Column, counts: Column) -> Column:
     return F.sort_array(F.array_distinct(F.transform(hashes, rank)))
 
 
-def parity(words: Column) -> Column:
-    """64 bits, each the parity of how many words fall on it: sets differ in at least as many words as their parities in bits."""
-    bit = lambda w: F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(F.lit(63)).cast("int"))
+def parity(words: Column, half: int) -> Column:
+    """One half of 128 bits, each the parity of how many words fall on it: sets differ in at least as many words as their parities in bits."""
+    bit = lambda w: F.call_function("shiftleft", (F.shiftright(w, 6).bitwiseAND(F.lit(1)) == half).cast("long"), w.bitwiseAND(F.lit(63)).cast("int"))
     return F.aggregate(words, F.lit(0).cast("long"), lambda a, w: a.bitwiseXOR(bit(w)))
 
 
@@ -88,15 +89,15 @@ def later_lines(docs: DataFrame, num: int = 80, den: int = 100, min_words: int =
     # Of prefix tokens 32 bits are kept: two that fall together give a candidate more, never one less.
     short = lambda w: (w.bitwiseAND(F.lit((1 << 32) - 1)) - F.lit(1 << 31)).cast("int")
     sets = hashes.select("pos", ordered(F.col("hs"), counts).alias("own")).filter(n >= min_words)
-    known = stored(sets.select("pos", F.xxhash64("own").alias("digest"), n.alias("n"), parity(F.col("own")).alias("parity"), F.transform(F.slice("own", F.lit(1), (n - F.ceil(n * t - 1e-9) + 1).cast("int")), short).alias("prefix")))
+    known = stored(sets.select("pos", F.xxhash64("own").alias("digest"), n.alias("n"), parity(F.col("own"), 0).alias("parity"), parity(F.col("own"), 1).alias("parity2"), F.transform(F.slice("own", F.lit(1), (n - F.ceil(n * t - 1e-9) + 1).cast("int")), short).alias("prefix")))
     # A class is known by its first position from here on.
-    classes = stored(known.groupBy("digest").agg(F.min(F.struct("pos", "n", "parity", "prefix")).alias("f")).select("digest", "f.*"))
+    classes = stored(known.groupBy("digest").agg(F.min(F.struct("pos", "n", "parity", "parity2", "prefix")).alias("f")).select("digest", "f.*"))
 
     def may_match(x: str, y: str) -> Column:
-        """x is earlier, sizes allow the threshold, and parities don't rule it out."""
+        """Sizes allow the threshold, and parities don't rule it out."""
         c = lambda side, name: F.col(f"{side}.{name}")
-        differ = F.bit_count(c(x, "parity").bitwiseXOR(c(y, "parity")))
-        return (c(x, "pos") < c(y, "pos")) & (F.least(c(x, "n"), c(y, "n")) * den >= F.greatest(c(x, "n"), c(y, "n")) * num) & (differ <= c(x, "n") + c(y, "n") - 2 * needed(c(x, "n"), c(y, "n"), num, den))
+        differ = F.bit_count(c(x, "parity").bitwiseXOR(c(y, "parity"))) + F.bit_count(c(x, "parity2").bitwiseXOR(c(y, "parity2")))
+        return (F.least(c(x, "n"), c(y, "n")) * den >= F.greatest(c(x, "n"), c(y, "n")) * num) & (differ <= c(x, "n") + c(y, "n") - 2 * needed(c(x, "n"), c(y, "n"), num, den))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """pos of each class b that is similar to its partner a, by their whole sets read again from the texts."""
@@ -107,21 +108,27 @@ def later_lines(docs: DataFrame, num: int = 80, den: int = 100, min_words: int =
         need = needed(F.size("own_a"), F.size("own_b"), num, den)
         return pairs.join(x, "a").join(y, "b").filter(F.size(F.array_intersect("own_a", "own_b")) >= need).select(F.col("b").alias("pos")).distinct()
 
-    # Most later classes match the first of those with the same least, or greatest, hash in the prefix: no list of a token is needed for them.
+    # Most later classes match the first of those that share the least token of the prefix in one of three orders of the tokens' bits: no list is needed for them.
     stars = []
-    for pick in (F.array_min, F.array_max):
-        slim = classes.select("pos", "n", "parity", pick("prefix").alias("key"))
-        hubs = slim.groupBy("key").agg(F.min(F.struct("pos", "n", "parity")).alias("h"), F.count("*").alias("m")).filter("m > 1").select("key", "h.*")
-        stars.append(slim.alias("y").join(hubs.alias("x"), "key").filter(may_match("x", "y")).select(F.col("x.pos").alias("a"), F.col("y.pos").alias("b")))
-    first = stored(verified(stored(stars[0].unionByName(stars[1]).distinct())))
+    for bits in (0, 0x2A5A5A5A, 0x55A5C3C3):
+        slim = classes.select("pos", "n", "parity", "parity2", F.expr(f"array_min(transform(prefix, w -> w ^ {bits}))").alias("key"))
+        hubs = slim.groupBy("key").agg(F.min(F.struct("pos", "n", "parity", "parity2")).alias("h"), F.count("*").alias("m")).filter("m > 1").select("key", "h.*")
+        stars.append(slim.alias("y").join(hubs.alias("x"), "key").filter((F.col("x.pos") < F.col("y.pos")) & may_match("x", "y")).select(F.col("x.pos").alias("a"), F.col("y.pos").alias("b")))
+    first = stored(verified(stored(reduce(DataFrame.unionByName, stars).distinct())))
     # The rest meet in the lists of their prefix tokens, every open class with all earlier ones.
     done = first.withColumn("done", F.lit(True))
-    posts = classes.join(small(done), "pos", "left").select("pos", "n", "parity", F.col("done").isNull().alias("open"), F.posexplode("prefix").alias("at", "w"))
+    posts = classes.join(small(done), "pos", "left").select("pos.*", "n", "parity", "parity2", F.col("done").isNull().alias("open"), F.posexplode("prefix").alias("at", "w"))
     room = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
-    open_ = F.col("y.open") | (F.col("x.n") < 0)  # names both sides, so that one exchange of the posts serves both
-    met = posts.alias("x").join(posts.alias("y"), (F.col("x.w") == F.col("y.w")) & open_ & (room >= needed(F.col("x.n"), F.col("y.n"), num, den)) & may_match("x", "y"))
-    second = verified(stored(met.select(F.col("x.pos").alias("a"), F.col("y.pos").alias("b")).distinct()))
-    similar = first.unionByName(second).distinct().withColumn("similar", F.lit(True))
+    place = lambda side: F.struct(*[F.col(f"{side}.{c}") for c in ("doc_id", "text_hash", "line")])
+    # y.open, said in a way that needs the same columns of either side, so that one exchange of the posts serves both.
+    open_ = (F.col("y.open") | (F.col("x.n") < 0)) & (F.col("x.open") | (F.col("y.n") > 0))
+    met = posts.alias("x").join(posts.alias("y"), (F.col("x.w") == F.col("y.w")) & open_ & (place("x") < place("y")) & (room >= needed(F.col("x.n"), F.col("y.n"), num, den)) & may_match("x", "y"))
+    found = met.select(place("x").alias("a"), place("y").alias("b")).distinct()
+    # Of each open class its earliest candidate first, which settles nearly all that have a similar one; then the others' rest.
+    rest = stored(found)
+    second = stored(verified(rest.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")))
+    third = verified(stored(rest.join(small(second), rest["b"] == second["pos"], "left_anti")))
+    similar = first.unionByName(second).unionByName(third).distinct().withColumn("similar", F.lit(True))
     verdict = classes.select("digest", F.col("pos").alias("kept")).join(small(similar), F.col("kept") == F.col("pos"), "left").select("digest", "kept", "similar")
     gone = known.select("digest", "pos").join(verdict, "digest").filter(F.col("similar") | (F.col("pos") != F.col("kept")))
     found = gone.groupBy("pos.doc_id", "pos.text_hash").agg(F.sort_array(F.collect_set("pos.line")).alias("gone"))
