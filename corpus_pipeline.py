@@ -25,8 +25,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that match an earlier one. Those that lost some and keep nothing but white space go."""
-    done = lines.dedup_lines(docs.select(COLUMNS))
+    """Documents without lines, of one word or more, that match an earlier one. Those that lost some and keep nothing but white space go."""
+    done = lines.dedup_lines(docs.select(COLUMNS), min_words=1)
     some = (F.size("gone_lines") == 0) | F.coalesce(F.col("text").rlike(r"(?U)\S"), F.lit(False))
     length = F.when(F.size("gone_lines") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return done.filter(some).withColumn("n_chars", length).select(COLUMNS)

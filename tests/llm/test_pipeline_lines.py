@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from test_corpus_operators import brute_lines
 from test_text_operators import docs
 
 import corpus_pipeline
+from brindle.llm import lines
 
 
 def stage(spark, texts):
@@ -15,3 +17,10 @@ def test_a_document_stays_while_anything_is_left(spark):
     row = "the same line of words here"
     texts = [row, f"{row}\nrose\nwhite lily", f"{row}\n春眠不覚暁処処聞啼鳥", f"{row}\n \n　", row, None, ""]
     assert stage(spark, texts) == {0: row, 1: "rose\nwhite lily", 2: "春眠不覚暁処処聞啼鳥", 5: None, 6: ""}
+
+
+def test_short_lines_leave_too(spark):
+    texts = ["menu\nabout us\n春眠不覚暁処処聞啼鳥\na b c d e", "home\nAbout  us", "春眠不覚暁処処聞啼鳥\nhome\nus about", "us\na b c d f\na b c d"]
+    got = {r["doc_id"]: r["gone_lines"] for r in lines.dedup_lines(docs(spark, texts), min_words=1).filter("size(gone_lines) > 0").collect()}
+    assert got == brute_lines(enumerate(texts), least=1)
+    assert stage(spark, texts) == {0: texts[0], 1: "home", 3: "us\na b c d f"}
