@@ -10,6 +10,8 @@ Vectors of equal content are one point of the index that stands for its 21 small
 can matter to a result of 20), so a vector that a third of the rows share neither fills a leaf
 nor is searched for more than once. Leaves are handed out in subtrees, and a subtree that is
 larger than ``GROUP_ROWS`` is dealt over several groups, each of which the queries visit.
+Queries are dealt by a hash to blocks of about ``GROUP_QUERIES``, and each block has groups of its
+own, so neither side of a group grows with the table.
 
 The share of rows to visit is set for a recall of 0.9 on vectors without structure, which is the
 worst case: there the number of exact products is in proportion to all rows for each query.
@@ -32,8 +34,8 @@ from pyspark.sql import functions as F
 from brindle.llm.store import shared_folder
 
 TREES, LEAF_ROWS, VISIT, SAMPLE = 4, 256, 0.45, 20_000
-#: The least rows of the sample in a leaf, the levels of a subtree, and rows of a group.
-LEAST, SUBTREE, GROUP_ROWS = 8, 4, 8192
+#: The least rows of the sample in a leaf, the levels of a subtree, and rows and queries of a group.
+LEAST, SUBTREE, GROUP_ROWS, GROUP_QUERIES = 8, 4, 8192, 4096
 
 
 @dataclass
@@ -141,7 +143,8 @@ def _route(forest: Forest, chunks: int, visit: float):
                 for (t, sub), own in by.items():
                     for c in range(chunks):
                         tree.append(t), part.append(sub * chunks + c), query.append(i), leaves.append(own)
-            yield pa.RecordBatch.from_arrays([pa.array(tree, pa.int32()), pa.array(part, pa.int64()), batch.column("rep").take(pa.array(query, pa.int64())), batch.column("vec").take(pa.array(query, pa.int64())), pa.array(leaves, pa.list_(pa.int64()))], ["tree", "part", "query", "vec", "leaves"])
+            at = pa.array(query, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(tree, pa.int32()), pa.array(part, pa.int64()), *[batch.column(c).take(at) for c in ("block", "rep", "vec")], pa.array(leaves, pa.list_(pa.int64()))], ["tree", "part", "block", "query", "vec", "leaves"])
 
     return run
 
@@ -173,7 +176,7 @@ def _rank(k: int):
     return run
 
 
-def nearest(vectors: DataFrame, queries: str, k: int = 20, visit: float = VISIT, trees: int = TREES, leaf_rows: int = LEAF_ROWS, sample: int = SAMPLE) -> DataFrame:
+def nearest(vectors: DataFrame, queries: str, k: int = 20, visit: float = VISIT, trees: int = TREES, leaf_rows: int = LEAF_ROWS, sample: int = SAMPLE, group_queries: int = GROUP_QUERIES) -> DataFrame:
     """query_id, rank, vec_id, score: for each row of ``vectors`` (vec_id, embedding) that meets the SQL condition ``queries``, its k nearest others found."""
     spark, kind = vectors.sparkSession, element(vectors)
     shared_folder(spark)
@@ -187,8 +190,13 @@ def nearest(vectors: DataFrame, queries: str, k: int = 20, visit: float = VISIT,
     own = vectors.filter(queries).select("vec_id", comparable("embedding", kind).alias("vec"))
     asked = own.join(found, "vec").select(F.col("vec_id").alias("query_id"), F.col("rep").alias("query")).distinct()
     placed = found.select("rep", "vec").mapInArrow(_place(forest, chunks), f"tree int, part long, leaf long, rep long, vec array<{kind}>")
-    routed = found.join(asked.select(F.col("query").alias("rep")).distinct(), "rep", "left_semi").select("rep", "vec").mapInArrow(_route(forest, chunks, visit), f"tree int, part long, query long, vec array<{kind}>, leaves array<long>")
-    scored = placed.groupBy("tree", "part").cogroup(routed.groupBy("tree", "part")).applyInPandas(_rank(k), "query long, found array<struct<score:double,neg:long>>")
+    reps = asked.select(F.col("query").alias("rep")).distinct()
+    blocks = max(1, -(-reps.count() // group_queries))
+    wanted = found.join(reps, "rep", "left_semi").select("rep", "vec", F.pmod(F.xxhash64(F.lit("block"), "rep"), F.lit(blocks)).alias("block"))
+    routed = wanted.mapInArrow(_route(forest, chunks, visit), f"tree int, part long, block long, query long, vec array<{kind}>, leaves array<long>")
+    placed = placed.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    key = ["tree", "part", "block"]
+    scored = placed.groupBy(*key).cogroup(routed.groupBy(*key)).applyInPandas(_rank(k), "query long, found array<struct<score:double,neg:long>>")
     best = F.sort_array(F.array_distinct(F.flatten(F.collect_list("found"))), asc=False)
     near = scored.groupBy("query").agg(F.slice(best, 1, k + 1).alias("found")).select("query", F.explode("found").alias("x")).select("query", (-F.col("x.neg")).alias("rep"), "x.score")
     near = near.join(found.select("rep", "ids"), "rep").groupBy("query").agg(F.collect_list(F.struct("score", "ids")).alias("near"))
