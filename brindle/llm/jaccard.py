@@ -84,20 +84,21 @@ def link(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFram
     shared_folder(spark)
     share = 1 - t + SLACK
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    row = F.coalesce("doc_id", "text_hash")  # names a row without doc_id too; two that fall together give a candidate more, never one less
     heads = docs.mapInArrow(_heads(k, share), "doc_id long, text_hash long, key long, n long, head array<long>").checkpoint()
-    groups = heads.filter("n > 0").groupBy("key", "n").agg(F.min("doc_id").alias("least_id"))
+    groups = heads.filter("n > 0").groupBy("key", "n").agg(F.min("doc_id").alias("least_id"), F.min(row).alias("row"))
 
     # 2: sets of which enough smallest hashes stand in another document's
-    posts = heads.filter("n > 0").select("doc_id", F.explode("head").alias("h"))
+    posts = heads.filter("n > 0").select(row.alias("row"), F.explode("head").alias("h"))
     common = posts.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1").select("h")
     n, size = F.col("n"), lambda x: F.least(x, F.ceil(x * share) + 1)
     other = F.floor(n / t + 1e-9)
     least = F.least(F.ceil(n * t - 1e-9) - (n - size(n)), needed(n, other, num, den) - (other - size(other)) - 2)
-    close = posts.join(common, "h").groupBy(F.col("doc_id").alias("least_id")).agg(F.count("*").alias("s"))
-    wanted = groups.join(close, "least_id").filter(F.col("s") >= F.greatest(least, F.lit(1))).select("key", "n", "least_id").checkpoint()
+    close = posts.join(common, "h").groupBy("row").agg(F.count("*").alias("s"))
+    wanted = groups.join(close, "row").filter(F.col("s") >= F.greatest(least, F.lit(1))).select("key", "n", "row").checkpoint()
     few = wanted.count() <= BROADCAST_ROWS
-    ids = wanted.select(F.col("least_id").alias("doc_id")).distinct()
-    texts = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    ids = wanted.select("row").distinct()
+    texts = docs.withColumn("row", row).join(F.broadcast(ids) if few else ids, "row", "left_semi").drop("row")
 
     # 3: whole sets, tokens that another has, prefixes by rarity
     keys = wanted.select("key").distinct()
