@@ -1,4 +1,4 @@
-"""Exact Jaccard join of documents' word-shingle sets: a grouped prefix join.
+"""Exact Jaccard join of documents' word-shingle sets: a prefix join with hubs for components, a grouped one for links.
 
 1. Documents whose whole set is equal are one group, known by a 64-bit digest of the set; all
    that follows is about groups. Sets are of 64-bit shingle hashes.
@@ -14,6 +14,11 @@
    compared, where sizes and the token's places in the two orders allow the threshold. Pairs inside what a hub has joined need
    no comparison to find components.
 
+That finds components. With ``counts`` all links are found besides, by a grouped prefix join: sets of one
+prefix, size and number of shared tokens are one group, groups that share a prefix token and whose
+sizes and places allow the threshold are expanded to their members, and so is each group with itself,
+and all these pairs are verified. Its work grows with the number of links.
+
 Only the group structure is shuffled; counts are made before each shuffle, so a token that a
 third of all documents share is a few rows. Nothing is dropped or sampled.
 
@@ -75,10 +80,10 @@ def needed(a: Column, b: Column, num: int, den: int) -> Column:
     return F.ceil((a + b) * num / (num + den) - 1e-9)
 
 
-def link(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
+def link(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, counts: bool = False) -> DataFrame:
     """doc_id, text_hash (Spark's xxhash64), n (set size), component (smallest doc_id reachable by links), label (a number of the component, unique where doc_ids aren't; null without words) of each row of ``docs`` (doc_id, text).
 
-    Two documents link when den * |A and B| >= num * |A or B|.
+    Two documents link when den * |A and B| >= num * |A or B|. With ``counts`` also n_links: how many other rows each row links with.
     """
     spark, t = docs.sparkSession, num / den
     shared_folder(spark)
@@ -86,7 +91,7 @@ def link(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFram
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     row = F.coalesce("doc_id", "text_hash")  # names a row without doc_id too; two that fall together give a candidate more, never one less
     heads = docs.mapInArrow(_heads(k, share), "doc_id long, text_hash long, key long, n long, head array<long>").checkpoint()
-    groups = heads.filter("n > 0").groupBy("key", "n").agg(F.min("doc_id").alias("least_id"), F.min(row).alias("row"))
+    groups = heads.filter("n > 0").groupBy("key", "n").agg(F.min("doc_id").alias("least_id"), F.min(row).alias("row"), F.count("*").alias("rows"))
 
     # 2: sets of which enough smallest hashes stand in another document's
     posts = heads.filter("n > 0").select(row.alias("row"), F.explode("head").alias("h"))
@@ -109,13 +114,16 @@ def link(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFram
     shared = tokens.join(counts, "h").repartition("id").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("own"))
     rest = shared.join(sets.select("id", "key", "n"), "id").select("key", "n", F.size("own").cast("long").alias("e"), (F.aggregate("own", F.lit(0).cast("long"), lambda a, x: a + x.df) / F.col("n")).alias("central"), F.transform("own", lambda x: x.h).alias("own"))
     rest = rest.filter(F.col("e") >= F.ceil(F.col("n") * t - 1e-9)).checkpoint()
-    listed = rest.select("key", "n", "e", "central", F.posexplode(F.slice("own", F.lit(1), (F.col("e") - F.ceil(F.col("n") * t - 1e-9) + 1).cast("int"))).alias("at", "h"))
+    prefix = F.slice("own", F.lit(1), (F.col("e") - F.ceil(F.col("n") * t - 1e-9) + 1).cast("int"))
+    listed = rest.select("key", "n", "e", "central", F.posexplode(prefix).alias("at", "h"))
 
     # 4: everything against the hub of its lists, then what no hub has joined
-    def fits(a: str, b: str) -> Column:
-        need = needed(F.col(f"{a}.n"), F.col(f"{b}.n"), num, den)
+    def roomy(a: str, b: str) -> Column:
         room = F.least(F.col(f"{a}.e") - F.col(f"{a}.at"), F.col(f"{b}.e") - F.col(f"{b}.at"))  # if this is the first token that both have
-        return (F.col(f"{a}.key") != F.col(f"{b}.key")) & (room >= need)
+        return room >= needed(F.col(f"{a}.n"), F.col(f"{b}.n"), num, den)
+
+    def fits(a: str, b: str) -> Column:
+        return (F.col(f"{a}.key") != F.col(f"{b}.key")) & roomy(a, b)
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -123,6 +131,16 @@ def link(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFram
         both = F.size(F.array_intersect("own_a", "own_b"))
         return pairs.join(x, "a").join(y, "b").filter(both >= needed(F.col("n_a"), F.col("n_b"), num, den)).select("a", "b")
 
+    def all_links() -> DataFrame:
+        """Every pair of different sets that reaches the threshold, once."""
+        dealt = rest.select("key", "n", "e", prefix.alias("prefix")).withColumn("group", F.xxhash64("prefix", "n", "e"))
+        members = dealt.select("group", "key").checkpoint()
+        x, y = members.select("group", F.col("key").alias("a")), members.select("group", F.col("key").alias("b"))
+        posts = dealt.dropDuplicates(["group"]).select("group", "n", "e", F.posexplode("prefix").alias("at", "h"))
+        near = posts.alias("x").join(posts.alias("y"), "h").filter((F.col("x.group") < F.col("y.group")) & roomy("x", "y")).select(F.col("x.group").alias("g"), F.col("y.group").alias("o")).distinct()
+        across = near.join(x, near["g"] == x["group"]).drop("group").join(y, near["o"] == y["group"]).select("a", "b")
+        return verified(x.join(y, "group").filter("a < b").select("a", "b").unionByName(across))
+
     hubs = listed.groupBy("h").agg(F.max(F.struct("central", "key", "n", "e", "at")).alias("hub"), F.count("*").alias("m")).filter("m > 1").select("h", "hub.*")
     stars = listed.alias("x").join(hubs.alias("y"), "h").filter(fits("x", "y"))
     stars = verified(stars.select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))).checkpoint()
@@ -136,8 +154,15 @@ def link(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFram
     named_groups = groups.join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
     least_ids = named_groups.groupBy("label").agg(F.min("least_id").alias("component"))
     by_key = named_groups.join(least_ids, "label").select("key", "n", "component", "label")
+    more = []
+    if counts:
+        pairs = all_links().checkpoint()
+        ends = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        others = ends.join(groups.select(F.col("key").alias("b"), "rows"), "b").groupBy(F.col("a").alias("key")).agg(F.sum("rows").alias("others"))
+        n_links = groups.join(others, "key", "left").select("key", "n", (F.coalesce("others", F.lit(0)) + F.col("rows") - 1).alias("n_links"))
+        by_key, more = by_key.join(n_links, ["key", "n"]), [F.coalesce("n_links", F.lit(0)).alias("n_links")]
     out = heads.select("doc_id", "text_hash", "key", "n").join(by_key, ["key", "n"], "left")
-    return out.select("doc_id", "text_hash", "n", F.coalesce("component", "doc_id").alias("component"), "label")
+    return out.select("doc_id", "text_hash", "n", F.coalesce("component", "doc_id").alias("component"), "label", *more)
 
 
 def link_digest(docs: DataFrame) -> DataFrame:
