@@ -13,7 +13,7 @@ shuffled, never texts. Full pieces fill a bin each and take no part in the searc
 
 A null or empty text has no words and is one piece of length 0. A null source is a source of its
 own for each such document, so it conflicts with nothing; the cluster is that of equal texts up to case and white space
-unless a column names it, and null and empty texts are in none. Repeated rows are packed each
+unless a column names it (``near_clusters`` makes one of near copies), and null and empty texts are in none. Repeated rows are packed each
 (and conflict, being copies). Ties go by doc_id, then piece.
 """
 
@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brindle.llm import jaccard
+
 CAPACITY, SHARD_ROWS = 2048, 4096
 
 
@@ -79,6 +81,14 @@ def text_cluster(text: str | Column) -> Column:
     return F.when(plain != "", F.xxhash64(plain))
 
 
+def near_clusters(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """``docs`` with ``cluster``: the label of the near copies' component (of lower-cased texts, so that equal texts in any case are in one), null without words."""
+    text, row = F.lower("text"), F.col("doc_id").cast("long")
+    linked = jaccard.link(docs.select("doc_id", text.alias("text")), k, num, den).filter("label is not null")
+    linked = linked.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.min("label").alias("cluster"))
+    return docs.drop("cluster").join(linked, row.eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__hash")), "left").drop("__id", "__hash")
+
+
 def pack(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS, cluster_col: str | None = None) -> DataFrame:
     """One row a piece: doc_id, piece, first_word, n_words, shard, place (in the bin, from 0), bin_id.
 
