@@ -7,9 +7,13 @@ template has weighs as one seen nowhere). A document's licence is that of its be
 document's words, it is a licence file (``file``), and its directory has that licence. A document
 without its own gets that of the nearest directory above it that has one (``inherited``).
 
+Whole documents and paragraphs (lines joined, up to one without letters or digits) are compared to whole licence texts
+and notices besides. A document that is one at ``WHOLE`` or above, or of whose words such paragraphs make up ``file_share``, is a
+licence file too; one with only some such paragraphs has a header.
+
 Everything is joins and aggregations of DataFrames: sentences are scored once each however many
 documents hold them, tables by sentence or directory are broadcast only after a count, and what
-is shuffled is ids, words of cue sentences and paths, never texts.
+is shuffled is ids, words of cue sentences and of documents with a cue, and paths, never texts.
 
 Null and empty texts have no sentences and can only inherit; a null path neither gives nor
 inherits. Of equal scores the licence first in the alphabet wins; of several files in one
@@ -21,13 +25,15 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from importlib import resources
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm.store import shared_folder
 
-THRESHOLD, FILE_SHARE = 0.6, 0.5
+THRESHOLD, FILE_SHARE, WHOLE = 0.6, 0.5, 0.9
 #: Scored sentences, or directories with a licence, up to which a join gets them by broadcast.
 BROADCAST_ROWS = 200_000
 CUE = r"(?i)licen[sc]e|copyright|permission|warrant|redistribut|public domain"
@@ -53,6 +59,26 @@ TEMPLATES = {
 }
 
 
+AFFERO = "Notwithstanding any other provision of this License, if you modify the Program, your modified version must prominently offer all users interacting with it remotely through a computer network an opportunity to receive the Corresponding Source of your version by providing access to the Corresponding Source from a network server at no charge."
+
+
+def whole_texts() -> dict[str, list[str]]:
+    """Each licence's whole text, and the notices and paragraphs that stand for it in a file's head."""
+    folder = resources.files("brindle.llm") / "licence_texts"
+    texts = {f.name.removesuffix(".txt"): [f.read_text(encoding="utf-8")] for f in folder.iterdir() if f.name.endswith(".txt")}
+    texts["AGPL-3.0"] = [texts["GPL-3.0"][0].replace("GNU General", "GNU Affero General").replace("GNU GENERAL", "GNU AFFERO GENERAL") + AFFERO]  # near enough to the text to tell it from the GPL's
+    rest = "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {} for more details."
+    for name, title in (("GPL-2.0", "GNU General Public License"), ("GPL-3.0", "GNU General Public License"), ("AGPL-3.0", "GNU Affero General Public License")):
+        first = TEMPLATES[name][1]
+        got = f"You should have received a copy of the {title} along with this program. If not, see <https://www.gnu.org/licenses/>."
+        texts[name] += [first, " ".join((first, rest.format(title), got))]
+    texts["Apache-2.0"].append(" ".join((TEMPLATES["Apache-2.0"][1], "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", TEMPLATES["Apache-2.0"][2], "See the License for the specific language governing permissions and limitations under the License.")))
+    texts["MPL-2.0"].append(TEMPLATES["MPL-2.0"][0] + " If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.")
+    for name in ("MIT", "ISC"):
+        texts[name].append(next(p for p in texts[name][0].split("\n\n") if p.startswith("Permission")))
+    return texts
+
+
 def template_vectors(templates: dict[str, list[str]] = TEMPLATES) -> tuple[list[tuple[str, str, str, float]], dict[str, float], float]:
     """(template, licence, word, weight) of unit-length vectors; idf of each word; idf of other words."""
     texts = [(f"{name}#{i}", name, Counter(re.findall(TOKEN, t.lower()))) for name, own in sorted(templates.items()) for i, t in enumerate(own)]
@@ -96,6 +122,34 @@ def score_sentences(found: DataFrame) -> DataFrame:
     return best.groupBy("sentence", "words").agg(F.min(F.struct((-F.col("cosine")).alias("minus"), "licence")).alias("b")).select("sentence", "words", "b.licence", (-F.col("b.minus")).alias("cosine"))
 
 
+def arrow_table(spark, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of constants too large for literals of the plan."""
+    names = [c.split()[0] for c in schema.split(",")]
+    return spark.createDataFrame(pa.table(dict(zip(names, map(list, zip(*rows, strict=True)), strict=True))))
+
+
+def score_whole(docs: DataFrame, file_share: float) -> DataFrame:
+    """text_hash, whole_licence, whole_score, whole_file of the texts of which all or a paragraph is a licence's text or notice."""
+    spark = docs.sparkSession
+    rows, idf, other = template_vectors(whole_texts())
+    vectors = F.broadcast(arrow_table(spark, rows, "template string,licence string,word string,weight double"))
+    known = F.broadcast(arrow_table(spark, sorted(idf.items()), "word string,idf double"))
+    tokens = lambda c: F.regexp_extract_all(F.lower(c), F.lit(TOKEN), 0)
+    bodies = docs.filter(F.col("text").rlike(CUE)).select(F.xxhash64("text").alias("text_hash"), F.posexplode(F.concat(F.array("text"), F.split("text", r"\n[^A-Za-z0-9\n]*\n"))).alias("unit", "body")).filter(F.col("body").rlike(CUE))
+    words = bodies.select("text_hash", "unit", tokens("body").alias("all")).select("text_hash", "unit", F.size("all").alias("words"), F.explode("all").alias("word"))
+    unit = ["text_hash", "unit", "words"]
+    # Of a text on several rows all words count as often, which leaves cosines as they are.
+    tf = words.groupBy(*unit, "word").agg(F.count("*").alias("tf")).join(known, "word", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(other)))
+    norms = tf.groupBy(*unit).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    dots = tf.join(vectors, "word").groupBy(*unit, "template", "licence").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
+    close = dots.join(norms, unit).withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 6)).filter(F.col("cosine") >= WHOLE)
+    best = close.groupBy(*unit).agg(F.min(F.struct((-F.col("cosine")).alias("minus"), "licence")).alias("b"))
+    sizes = bodies.filter("unit = 0").select("text_hash", F.size(tokens("body")).alias("doc_words")).join(small(best.select("text_hash").distinct()), "text_hash", "left_semi").distinct()
+    # The whole text's licence before a paragraph's.
+    found = best.groupBy("text_hash").agg(F.min(F.struct((F.col("unit") > 0).alias("part"), "b")).alias("f"), F.sum(F.when(F.col("unit") > 0, F.col("words")).otherwise(0)).alias("held")).join(sizes, "text_hash")
+    return found.select("text_hash", F.col("f.b.licence").alias("whole_licence"), (-F.col("f.b.minus")).alias("whole_score"), (~F.col("f.part") | (F.col("held") >= file_share * F.col("doc_words"))).alias("whole_file"))
+
+
 def directory(path: str | Column) -> Column:
     """The path up to its last slash, without it; null at the top."""
     return F.nullif(F.regexp_extract(path, r"^(.*)/[^/]*$", 1), F.lit(""))
@@ -126,7 +180,11 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, file_share: float = FILE
     )
     own = own.select("doc_id", "text_hash", F.col("b.licence").alias("own_licence"), (-F.col("b.minus")).alias("own_score"), "is_file", "n_sentences").checkpoint()
     same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & a["text_hash"].eqNullSafe(b["text_hash"])
-    marked = slim.join(own, same(slim, own), "left").select(slim["doc_id"], slim["path"], slim["dir"], "own_licence", "own_score", "is_file", "n_sentences")
+    marked = slim.join(own, same(slim, own), "left").select(slim["doc_id"], slim["text_hash"], slim["path"], slim["dir"], "own_licence", "own_score", "is_file", "n_sentences")
+    marked = marked.join(small(score_whole(docs, file_share).checkpoint()), "text_hash", "left")
+    whole = F.col("whole_licence").isNotNull() & (F.col("whole_file") | F.col("own_licence").isNull())
+    pick = lambda a, b: F.when(whole, F.col(a)).otherwise(F.col(b)).alias(b)
+    marked = marked.select("doc_id", "path", "dir", pick("whole_licence", "own_licence"), pick("whole_score", "own_score"), F.coalesce(F.col("whole_file") | F.coalesce("is_file", F.lit(False)), "is_file").alias("is_file"), "n_sentences")
     files = marked.filter("is_file and dir is not null").groupBy("dir").agg(F.min(F.struct((-F.col("own_score")).alias("minus"), F.col("own_licence").alias("licence"))).alias("f"))
     dirs = slim.filter("dir is not null").select("dir").distinct().select("dir", F.posexplode(above("dir")).alias("steps", "up"))
     givers = files.select(F.col("dir").alias("up"), F.col("f.licence").alias("dir_licence"), (-F.col("f.minus")).alias("dir_score"))
