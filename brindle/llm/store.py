@@ -1,14 +1,18 @@
-"""Intermediate tables in the shared folder that the cluster names."""
+"""Intermediate tables in the shared folder that the cluster names, and broadcasts of a proven size."""
 
 from __future__ import annotations
 
 import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from brindle.storage import shared_folder
 
-__all__ = ["shared_folder", "stored"]
+__all__ = ["is_small", "shared_folder", "small", "stored"]
+
+#: Rows and bytes up to which a table may be broadcast. A table beyond either is joined by a shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -17,3 +21,18 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` has at most so many rows, and at most so many bytes when written as JSON text.
+
+    Only ``rows`` + 1 rows are looked at. Give a stored table: the answer runs a query of its own.
+    """
+    some = df.limit(rows + 1).select(F.octet_length(F.to_json(F.struct("*"))).cast("long").alias("bytes"))
+    found = some.agg(F.count("*").alias("rows"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()
+    return found["rows"] <= rows and found["bytes"] <= size
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if it is proven small, else as it is."""
+    return F.broadcast(df) if is_small(df, rows, size) else df
