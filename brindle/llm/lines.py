@@ -39,13 +39,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.store import small, stored
+from brindle.llm.store import is_small, small, stored
 from brindle.llm.words import NOT_SPACE, U, Words, lists, mix, parts
 
 MIN_WORDS, BUCKETS = 3, 1 << 20
 LEVELS_A_DOUBLING = 4
-#: Orders of a prefix's tokens, by the bits turned in them, whose least token names a star.
-STARS = (0, 0x2A5A5A5A, 0x55A5C3C3)
+#: A star is named by a prefix's first token, or by two least hashes of the whole set under two of these odd factors.
+FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)
+STARS = 1 + len(FACTORS) // 2
 NO_DOC_ID = -(2**63)
 POSITION = "doc_id long, text_hash long, line int"
 
@@ -170,24 +171,21 @@ def _described(levels, t: float, min_words: int):
             start = np.concatenate(([0], np.cumsum(p)))
             token = sets.hash[np.arange(start[-1]) + np.repeat(sets.first[:-1] - start[:-1], p)]
             token = (token >> U(32)).astype(np.uint32).view(np.int32)
-            stars = [np.zeros(len(p), np.int32) for _ in STARS]
-            some = p > 0
-            if some.any():
-                for star, bits in zip(stars, STARS, strict=True):
-                    star[some] = np.minimum.reduceat(token ^ np.int32(bits), start[:-1][some])
+            least = [np.minimum.reduceat(mix(sets.hash) * U(f), sets.first[:-1]) for f in FACTORS]
+            stars = [mix(sets.hash[sets.first[:-1]]), *(mix(a ^ mix(b)) for a, b in zip(least[::2], least[1::2], strict=True))]
             at = pa.array(sets.text)
             columns = {
                 "doc_id": batch.column("doc_id").take(at), "text_hash": batch.column("text_hash").take(at), "line": pa.array(sets.line, pa.int32()),
                 "d1": pa.array(sets.digest(0x5851F42D4C957F2D, 0x2545F4914F6CDD1D)), "d2": pa.array(sets.digest(0x14057B7EF767814F, 0x369DEA0F31A53F85)),
                 "n": pa.array(sets.n, pa.int32()), "parity": pa.array(sets.parity(0)), "parity2": pa.array(sets.parity(1)),
-                "stars": lists(np.arange(len(p) + 1) * len(STARS), np.stack(stars, 1).ravel(), pa.int32()), "prefix": lists(start, token, pa.int32()),
+                "stars": lists(np.arange(len(p) + 1) * STARS, np.stack(stars, 1).ravel().view(np.int64), pa.int64()), "prefix": lists(start, token, pa.int32()),
             }
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     return run
 
 
-DESCRIBED = f"{POSITION}, d1 long, d2 long, n int, parity long, parity2 long, stars array<int>, prefix array<int>"
+DESCRIBED = f"{POSITION}, d1 long, d2 long, n int, parity long, parity2 long, stars array<long>, prefix array<int>"
 
 
 def _whole(levels):
@@ -230,15 +228,23 @@ class Join:
         return (F.least(c(x, "n"), c(y, "n")) * self.den >= F.greatest(c(x, "n"), c(y, "n")) * self.num) & (differ <= c(x, "n") + c(y, "n") - 2 * least)
 
     def stars(self) -> DataFrame:
-        """(a, b): later classes b and the first class a of those that share the least token of the prefix in one of the orders of STARS."""
+        """(a, b): later classes b and the first class a of those that share one of the names in ``stars``."""
         found = []
-        for i in range(len(STARS)):
+        for i in range(STARS):
             slim = self.classes.filter(F.size("prefix") > 0).select("pos", "n", "parity", "parity2", F.col("stars")[i].alias("key"))
             hubs = slim.groupBy("key").agg(F.min(F.struct("pos", "n", "parity", "parity2")).alias("h"), F.count("*").alias("m")).filter("m > 1").select("key", "h.*")
             pairs = slim.alias("y").join(hubs.alias("x"), "key").filter((F.col("x.pos") < F.col("y.pos")) & self.may_match("x", "y"))
             found.append(pairs.select(F.col("x.pos").alias("a"), F.col("y.pos").alias("b")))
         return reduce(DataFrame.unionByName, found).distinct()
 
+    def listed_few(self, opened: DataFrame) -> DataFrame:
+        """(a, b): every class b of ``opened`` (pos), which is proven small, and all earlier ones that it meets in the lists of prefix tokens."""
+        posts = lambda df: df.select("pos", "n", "parity", "parity2", F.posexplode("prefix").alias("at", "w"))
+        few = stored(posts(self.classes.join(F.broadcast(opened), "pos", "left_semi")))
+        room = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
+        on = (F.col("x.w") == F.col("y.w")) & (F.col("x.pos") < F.col("y.pos")) & (room >= needed(F.col("x.n"), F.col("y.n"), self.num, self.den)) & self.may_match("x", "y")
+        return posts(self.classes).alias("x").join(small(few).alias("y"), on).select(F.col("x.pos").alias("a"), F.col("y.pos").alias("b")).distinct()
+
     def listed(self, settled: DataFrame) -> DataFrame:
         """(a, b): every class b outside ``settled`` (pos) and all earlier ones that it meets in the lists of prefix tokens."""
         done = settled.select("pos", F.lit(True).alias("done"))
@@ -279,9 +285,11 @@ class Join:
             doubtful = doubtful.join(small(settled), "pos", "left_anti")
         doubtful = stored(doubtful)
         if doubtful.limit(1).count():
-            settled = self.classes.select("pos").join(small(doubtful), "pos", "left_anti")
-            more = stored(self.listed(stored(settled)))
-            found.append(self.verified(more))
+            if is_small(doubtful):
+                more = self.listed_few(doubtful)
+            else:
+                more = self.listed(stored(self.classes.select("pos").join(doubtful, "pos", "left_anti")))
+            found.append(self.verified(stored(more)))
         return stored(reduce(DataFrame.unionByName, found).distinct())
 
     def gone(self) -> DataFrame:

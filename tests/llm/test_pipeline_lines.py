@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import random
+
+from pyspark.sql import functions as F
 from test_corpus_operators import brute_lines
 from test_text_operators import docs
 
@@ -24,3 +27,23 @@ def test_short_lines_leave_too(spark):
     got = {r["doc_id"]: r["gone_lines"] for r in lines.dedup_lines(docs(spark, texts), min_words=1).filter("size(gone_lines) > 0").collect()}
     assert got == brute_lines(enumerate(texts), least=1)
     assert stage(spark, texts) == {0: texts[0], 1: "home", 3: "us\na b c d f"}
+
+
+def test_one_text_of_very_many_paired_lines(spark):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(3000)]
+    rows = []
+    for _ in range(10_000):
+        line = rng.sample(words, 12)
+        rows += [" ".join(line), " ".join([*line[:-1], "other"])]
+    out = lines.dedup_lines(docs(spark, ["\n".join(rows), rows[0]])).collect()
+    gone = {r["doc_id"]: r["gone_lines"] for r in out}
+    assert gone == {0: list(range(1, 20_000, 2)), 1: [0]}
+
+
+def test_clashing_names(spark):
+    row = "the same line of words here"
+    df = docs(spark, [row, f"{row} again\nalone stands this line"]).withColumns({c: F.lit(3) for c in ("__id", "__hash", "gone", "text_hash", "hashed", "n", "line")})
+    out = {r["doc_id"]: r for r in lines.dedup_lines(df).collect()}
+    assert out[1]["text"] == "alone stands this line" and out[1]["gone"] == 3 and out[1]["text_hash"] == 3
+    assert set(df.columns) | {"gone_lines"} == set(lines.dedup_lines(df).columns)
