@@ -2,22 +2,27 @@
 
 Each tree splits a bounded sample of the vectors by hyperplanes between two random ones, at the
 median. Every vector of the table is put into its leaf of each tree. A query walks all trees
-through one priority queue, always going on at the node whose worst margin so far is smallest,
-and takes leaves until they hold ``visit`` of the forest's rows. What stands in these leaves is
-ranked by the exact inner product, in double precision, on the original vectors.
+through one priority queue, always going on at the node in which its neighbours most likely
+stand, and takes leaves until they hold ``visit`` of the forest's leaves. What stands in these
+leaves is ranked by the exact inner product, in double precision, on the original vectors.
+
+How likely a neighbour stands on a node's far side follows from the query's own margin there, by
+a logistic curve whose slope is measured on pairs of true neighbours in the sample; ``visit`` is
+measured there too: the least share of leaves that holds ``recall`` of these neighbours. Both are
+fitted anew for each table (``Forest.fit``), so structured vectors are searched in few leaves
+and vectors without structure in many. ``search_share`` tells what share of all rows a search scores.
 
 Vectors of equal content are one point of the index that stands for its 21 smallest ids (no more
 can matter to a result of 20), so a vector that a third of the rows share neither fills a leaf
 nor is searched for more than once. Leaves are handed out in subtrees, and a subtree that is
 larger than ``GROUP_ROWS`` is dealt over several groups, each of which the queries visit.
 Queries are dealt by a hash to blocks of about ``GROUP_QUERIES``, and each block has groups of its
-own, so neither side of a group grows with the table.
-
-The share of rows to visit is set for a recall of 0.9 on vectors without structure, which is the
-worst case: there the number of exact products is in proportion to all rows for each query.
+own, so neither side of a group grows with the table. In a group only the leaves that a query
+asks for are multiplied with it.
 
-Vectors that are null, zero, of another length than most, or hold null or non-finite components
-take no part. Equal rows count once; of rows with one id and different vectors each can be found.
+Vectors that are null, zero, or hold null or non-finite components take no part; nor do vectors
+of another length than most, which have no inner product with these. Equal rows count once; of
+rows with one id and different vectors each can be found.
 """
 
 from __future__ import annotations
@@ -33,18 +38,25 @@ from pyspark.sql import functions as F
 
 from brindle.llm.store import shared_folder
 
-TREES, LEAF_ROWS, VISIT, SAMPLE = 4, 256, 0.45, 20_000
+TREES, LEAF_ROWS, SAMPLE = 6, 128, 20_000
+#: The share of neighbours to be found, and sample rows whose neighbours are looked up for the fit.
+RECALL, PROBES = 0.94, 256
 #: The least rows of the sample in a leaf, the levels of a subtree, and rows and queries of a group.
-LEAST, SUBTREE, GROUP_ROWS, GROUP_QUERIES = 8, 4, 8192, 4096
+LEAST, SUBTREE, GROUP_ROWS, GROUP_QUERIES = 8, 4, 32_768, 4096
+#: Queries whose scores with a group's rows are held at a time.
+TILE = 128
 
 
 @dataclass
 class Forest:
-    """Complete binary trees: normals (trees, inner nodes, dimensions), cuts (trees, inner nodes); node i has children 2i + 1 and 2i + 2."""
+    """Complete binary trees: normals (trees, inner nodes, dimensions), cuts and spreads (trees, inner nodes); node i has children 2i + 1 and 2i + 2."""
 
     depth: int
     normals: np.ndarray
     cuts: np.ndarray
+    spreads: np.ndarray
+    slope: float = 1.0
+    visit: float = 1.0
 
     def leaves(self, x: np.ndarray) -> np.ndarray:
         """(rows, trees): each vector's leaf in each tree."""
@@ -58,28 +70,72 @@ class Forest:
             out[:, t] = node - (2**self.depth - 1)
         return out
 
-    def search(self, x: np.ndarray, visit: float):
+    def margins(self, x: np.ndarray) -> np.ndarray:
+        """(rows, trees, inner nodes): signed distances from the cuts, in spreads of the nodes."""
+        flat = self.normals.reshape(-1, self.normals.shape[2])
+        return ((x @ flat.T).reshape(len(x), *self.cuts.shape) - self.cuts) / self.spreads
+
+    def costs(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each inner node what going to its low and to its high child costs: minus the log probability that a neighbour is there."""
+        z = self.slope * self.margins(x)
+        return np.logaddexp(0, z), np.logaddexp(0, -z)
+
+    def wanted(self) -> int:
+        return max(1, int(np.ceil(self.visit * len(self.normals) * 2**self.depth)))
+
+    def search(self, x: np.ndarray):
         """For each query the (tree, leaf) pairs in the queue's order until the share ``visit`` of all leaves is taken."""
-        inner, trees = 2**self.depth - 1, len(self.normals)
-        wanted = max(1, int(np.ceil(visit * trees * (inner + 1))))
+        inner, trees, wanted = 2**self.depth - 1, len(self.normals), self.wanted()
         for q in x:
-            margin = (np.einsum("tnd,d->tn", self.normals, q) - self.cuts).tolist() if inner else None
-            queue = [(-1.0, t, 0) for t in range(trees)]
+            low, high = (c[0].tolist() for c in self.costs(q[None])) if inner else (None, None)
+            queue = [(0.0, t, 0) for t in range(trees)]
             found = []
             while queue and len(found) < wanted:
-                worst, t, node = heapq.heappop(queue)
+                cost, t, node = heapq.heappop(queue)
                 while node < inner:
-                    m = margin[t][node]
-                    heapq.heappush(queue, (max(worst, abs(m)), t, 2 * node + 1 + (m < 0)))
-                    node = 2 * node + 1 + (m >= 0)
-                found.append((t, node - inner))
+                    a, b = low[t][node], high[t][node]
+                    near, far = (1, 2) if a <= b else (2, 1)
+                    heapq.heappush(queue, (cost + max(a, b), t, 2 * node + far))
+                    cost, node = cost + min(a, b), 2 * node + near
+                    if queue[0] < (cost, t, node):  # another branch has become the likelier one
+                        heapq.heappush(queue, (cost, t, node))
+                        break
+                else:
+                    found.append((t, node - inner))
             yield found
 
+    def fit(self, sample: np.ndarray, n: int, k: int, recall: float) -> None:
+        """Set slope and visit by the neighbours of some sample rows in the sample: the nearest k, or as many as stand for these if the sample is a part of n rows."""
+        if not self.depth or len(sample) < 2:
+            return
+        probes = np.linspace(0, len(sample) - 1, min(PROBES, len(sample))).astype(int)
+        most = min(len(sample) - 1, max(1, round(k * len(sample) / n)))
+        score = sample[probes] @ sample.T
+        score[np.arange(len(probes)), probes] = -np.inf
+        near = np.argpartition(-score, most - 1, 1)[:, :most]
+        top = Forest(0, self.normals[:, :31], self.cuts[:, :31], self.spreads[:, :31])  # the first levels are enough for the slope
+        own, at = np.unique(near, return_inverse=True)
+        zq, zx = top.margins(sample[probes])[:, None], top.margins(sample[own])[at.reshape(near.shape)]
+        slope = (zq * zx).sum() / max((zq * zq).sum(), 1e-12)
+        rest = np.sqrt(((zx - slope * zq) ** 2).mean()) or 1.0
+        self.slope = float(1.702 * max(slope, 0.0) / rest)  # the logistic curve that is closest to the normal one
+        low, high = self.costs(sample[probes])
+        cost = np.zeros((*low.shape[:2], 1))
+        for level in range(self.depth):
+            at = slice(2**level - 1, 2 ** (level + 1) - 1)
+            cost = np.stack((cost + low[:, :, at], cost + high[:, :, at]), 3).reshape(*low.shape[:2], -1)
+        cost = cost.reshape(len(probes), -1)
+        place = np.empty(cost.shape, np.int64)
+        np.put_along_axis(place, cost.argsort(1, kind="stable"), np.broadcast_to(np.arange(cost.shape[1]), cost.shape), 1)
+        leaf = self.leaves(sample)[near] + np.arange(len(self.normals)) * 2**self.depth
+        first = np.take_along_axis(place, leaf.reshape(len(probes), -1), 1).reshape(leaf.shape).min(2)
+        self.visit = float(min(1.0, (np.quantile(first, recall, method="higher") + 1) / cost.shape[1]))
+
 
 def grow(sample: np.ndarray, depth: int, trees: int = TREES, seed: int = 11) -> Forest:
     rng = np.random.default_rng(seed)
     inner = 2**depth - 1
-    normals, cuts = np.zeros((trees, inner, sample.shape[1])), np.zeros((trees, inner))
+    normals, cuts, spreads = np.zeros((trees, inner, sample.shape[1])), np.zeros((trees, inner)), np.ones((trees, inner))
     for t in range(trees):
         rows = {0: np.arange(len(sample))}
         for node in range(inner):
@@ -87,10 +143,21 @@ def grow(sample: np.ndarray, depth: int, trees: int = TREES, seed: int = 11) ->
             w = np.subtract(*sample[rng.choice(own, 2, replace=False)]) if len(own) > 1 else rng.normal(size=sample.shape[1])
             w = w / (np.linalg.norm(w) or 1.0)
             p = sample[own] @ w
-            normals[t, node], cuts[t, node] = w, np.median(p) if len(p) else 0.0
+            if len(p):
+                normals[t, node], cuts[t, node], spreads[t, node] = w, np.median(p), p.std() or 1.0
             high = p >= cuts[t, node]
             rows[2 * node + 1], rows[2 * node + 2] = own[~high], own[high]
-    return Forest(depth, normals, cuts)
+    return Forest(depth, normals, cuts, spreads)
+
+
+def search_share(forest: Forest, x: np.ndarray, queries: np.ndarray) -> float:
+    """The mean share of the rows ``x`` that stand in leaves taken for a query."""
+    leaf, share = forest.leaves(x), []
+    for found in forest.search(queries):
+        taken = np.zeros((len(forest.normals), 2**forest.depth), bool)
+        taken[tuple(np.array(found).T)] = True
+        share.append(np.mean(taken[np.arange(len(forest.normals)), leaf].any(1)))
+    return float(np.mean(share))
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -132,11 +199,11 @@ def _place(forest: Forest, chunks: int):
     return run
 
 
-def _route(forest: Forest, chunks: int, visit: float):
+def _route(forest: Forest, chunks: int):
     def run(batches):
         for batch in batches:
             tree, part, query, leaves = [], [], [], []
-            for i, found in enumerate(forest.search(matrix(batch.column("vec")), visit)):
+            for i, found in enumerate(forest.search(matrix(batch.column("vec")))):
                 by: dict[tuple[int, int], list[int]] = {}
                 for t, leaf in found:
                     by.setdefault((t, leaf >> SUBTREE), []).append(leaf)
@@ -160,24 +227,32 @@ def _rank(k: int):
             wanted = np.zeros((len(asked), 2**SUBTREE), bool)
             for i, own in enumerate(asked["leaves"]):
                 wanted[i, np.asarray(own, int) - subtree] = True
-            for at in range(0, len(q), 512):
-                score = np.where(wanted[at : at + 512][:, leaf - subtree], q[at : at + 512] @ x.T, -np.inf)
+            columns = [np.flatnonzero(leaf - subtree == own) for own in range(2**SUBTREE)]
+            for at in range(0, len(q), TILE):
+                score = np.full((min(TILE, len(q) - at), len(x)), -np.inf)
+                for own, column in enumerate(columns):  # a leaf is multiplied with the queries that ask for it, and no others
+                    ask = np.flatnonzero(wanted[at : at + TILE, own])
+                    if len(ask) and len(column):
+                        score[np.ix_(ask, column)] = q[at + ask] @ x[column].T
                 best = np.argpartition(-score, min(k, score.shape[1] - 1), 1)[:, : k + 1]
                 tied = np.flatnonzero((score >= np.take_along_axis(score, best, 1).min(1, keepdims=True)).sum(1) > best.shape[1])
                 if len(tied):  # of equal ones those with the smallest rep
                     best[tied] = np.argsort(-score[tied], 1, kind="stable")[:, : k + 1]
                 there = np.take_along_axis(score, best, 1) > -np.inf
                 # once more, so that a pair's product is the same bits whatever block it was found in
-                exact = (q[at : at + 512][:, None, :] * x[best]).sum(2)
-                query += asked["query"].to_numpy()[at : at + 512].tolist()
+                exact = (q[at : at + TILE][:, None, :] * x[best]).sum(2)
+                query += asked["query"].to_numpy()[at : at + TILE].tolist()
                 found += [[{"score": float(s), "neg": -int(r)} for s, r in zip(v[t], rep[b][t], strict=True)] for v, b, t in zip(exact, best, there, strict=True)]
         return pd.DataFrame({"query": np.array(query, np.int64), "found": pd.Series(found, dtype=object)})
 
     return run
 
 
-def nearest(vectors: DataFrame, queries: str, k: int = 20, visit: float = VISIT, trees: int = TREES, leaf_rows: int = LEAF_ROWS, sample: int = SAMPLE, group_queries: int = GROUP_QUERIES) -> DataFrame:
-    """query_id, rank, vec_id, score: for each row of ``vectors`` (vec_id, embedding) that meets the SQL condition ``queries``, its k nearest others found."""
+def nearest(vectors: DataFrame, queries: str, k: int = 20, recall: float = RECALL, trees: int = TREES, leaf_rows: int = LEAF_ROWS, sample: int = SAMPLE, group_queries: int = GROUP_QUERIES) -> DataFrame:
+    """query_id, rank, vec_id, score: for each row of ``vectors`` (vec_id, embedding) that meets the SQL condition ``queries``, its k nearest others found.
+
+    ``recall`` of the sample's neighbours are to be found; 1 searches everything.
+    """
     spark, kind = vectors.sparkSession, element(vectors)
     shared_folder(spark)
     found = points(vectors, k).checkpoint()
@@ -186,6 +261,7 @@ def nearest(vectors: DataFrame, queries: str, k: int = 20, visit: float = VISIT,
     rows = matrix(drawn.column("vec").combine_chunks()) if n else np.zeros((0, 1))
     depth = max(0, min(int(np.ceil(np.log2(max(n, 1) / leaf_rows))), int(np.log2(max(len(rows), 1) / LEAST)) if len(rows) else 0))
     forest = grow(rows, depth, trees)
+    forest.fit(rows, n, k, recall)
     chunks = max(1, -(-n // (2 ** max(depth - SUBTREE, 0) * GROUP_ROWS)))
     own = vectors.filter(queries).select("vec_id", comparable("embedding", kind).alias("vec"))
     asked = own.join(found, "vec").select(F.col("vec_id").alias("query_id"), F.col("rep").alias("query")).distinct()
@@ -193,7 +269,7 @@ def nearest(vectors: DataFrame, queries: str, k: int = 20, visit: float = VISIT,
     reps = asked.select(F.col("query").alias("rep")).distinct()
     blocks = max(1, -(-reps.count() // group_queries))
     wanted = found.join(reps, "rep", "left_semi").select("rep", "vec", F.pmod(F.xxhash64(F.lit("block"), "rep"), F.lit(blocks)).alias("block"))
-    routed = wanted.mapInArrow(_route(forest, chunks, visit), f"tree int, part long, block long, query long, vec array<{kind}>, leaves array<long>")
+    routed = wanted.mapInArrow(_route(forest, chunks), f"tree int, part long, block long, query long, vec array<{kind}>, leaves array<long>")
     placed = placed.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     key = ["tree", "part", "block"]
     scored = placed.groupBy(*key).cogroup(routed.groupBy(*key)).applyInPandas(_rank(k), "query long, found array<struct<score:double,neg:long>>")

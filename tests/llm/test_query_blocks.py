@@ -29,3 +29,23 @@ def test_queries_of_a_group_are_bounded(spark, monkeypatch, tmp_path):
     sizes = [int(p.read_text()) for p in tmp_path.iterdir()]
     assert blocked == whole
     assert 0 < max(sizes) <= 30  # dealt by a hash: about 10 each
+
+
+def test_recall_and_share_of_rows_scored():
+    """Of vectors without any structure, and of clustered ones, what is found and what share of all rows is scored for a query."""
+    rng = np.random.default_rng(5)
+    loose = rng.normal(size=(12_000, 64))
+    centres = rng.normal(size=(40, 64)) * 3
+    tight = centres[rng.integers(0, 40, 12_000)] + rng.normal(size=(12_000, 64)) * 0.5
+    for x, most in ((loose / np.linalg.norm(loose, axis=1, keepdims=True), 0.65), (tight, 0.25)):
+        forest = ann.grow(x, 6)
+        forest.fit(x, len(x), 20, ann.RECALL)
+        asked = x[::100]
+        score = asked @ x.T
+        score[np.arange(len(asked)), np.arange(0, len(x), 100)] = -np.inf
+        true, leaf, recall = np.argpartition(-score, 19, 1)[:, :20], forest.leaves(x), []
+        for near, found in zip(true, forest.search(asked), strict=True):
+            taken = set(found)
+            recall.append(np.mean([any((t, leaf[i, t]) in taken for t in range(len(forest.normals))) for i in near]))
+        assert np.mean(recall) >= 0.9
+        assert ann.search_share(forest, x, asked) <= most
