@@ -21,9 +21,11 @@ def components(edges: DataFrame) -> DataFrame:
     labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")).checkpoint()
     while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("least"))
-        lower = labels.join(near, labels["node"] == near["a"]).select("node", F.least("label", "least").alias("label"), F.col("label").alias("old"))
-        up = lower.select(F.col("node").alias("n"), F.col("label").alias("l"))
-        step = lower.join(up, lower["label"] == up["n"], "left").select("node", F.least("label", F.coalesce("l", "label")).alias("label"), "old").checkpoint()
+        # The labels' own labels: a row for each label, so that a large component isn't one task's work.
+        up = labels.select(F.col("node").alias("n"), F.col("label").alias("up"))
+        heads = labels.select("label").distinct().join(up, F.col("label") == F.col("n")).select("label", "up")
+        lower = labels.join(near, labels["node"] == near["a"]).select("node", F.col("label").alias("old"), "least").join(heads.withColumnRenamed("label", "old"), "old", "left")
+        step = lower.select("node", F.least("old", "least", "up").alias("label"), "old").checkpoint()
         if not step.filter("label <> old").limit(1).count():
             return step.select("node", "label")
         labels = step.select("node", "label")

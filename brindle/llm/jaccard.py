@@ -1,23 +1,25 @@
-"""Exact Jaccard join of documents' word-shingle sets: a prefix join with hubs for components, a grouped one for links.
+"""Exact Jaccard join of documents' word-shingle sets: a grouped prefix join.
 
-1. Documents whose whole set is equal are one group, known by a 64-bit digest of the set; all
-   that follows is about groups. Sets are of 64-bit shingle hashes.
+1. Documents whose whole set is equal are one, known by a 64-bit digest of the set and its size;
+   all that follows is about these sets. Sets are of 64-bit shingle hashes.
 2. Of each set the smallest hashes, a share of ``1 - t + SLACK``, are counted over all documents.
    Two sets that reach the threshold t must share enough of these; a set of which too few stand
    in any other set's is done.
 3. The sets left are taken whole and their tokens counted among them. A token that no other set
    has matches nothing, so a set's other tokens bound its overlap with any; sets bound below t
-   are done. The rest have prefixes in order of rarity, and sets that share a prefix token are
-   candidates.
-4. Each list of a token has a hub, the set whose tokens stand in the most sets. All of the
-   list are compared to it first. Then the pairs of a list that no common hub has joined are
-   compared, where sizes and the token's places in the two orders allow the threshold. Pairs inside what a hub has joined need
-   no comparison to find components.
-
-That finds components. With ``counts`` all links are found besides, by a grouped prefix join: sets of one
-prefix, size and number of shared tokens are one group, groups that share a prefix token and whose
-sizes and places allow the threshold are expanded to their members, and so is each group with itself,
-and all these pairs are verified. Its work grows with the number of links.
+   are done. The rest have prefixes in order of rarity.
+4. Sets with the same prefix, size and number of shared tokens are one group. Groups, not sets,
+   are listed under the tokens of their prefix; pairs of groups that meet in a list are filtered
+   by sizes and by the token's places in the two orders; pairs that pass are expanded to their
+   members, and members verified by their whole sets.
+
+For components step 4 runs twice. First each group meets itself and the leading group of each of
+its lists (the one whose tokens stand in the most sets), of which only the leading member is
+compared: that joins most of a large group of near copies by as many comparisons as it has
+members. Then groups are split by the components known so far, and pairs of these parts meet
+as in step 4 where their components differ; pairs inside one component need no comparison. With
+``counts`` all pairs of groups are expanded, whatever their components, to count links; that
+work grows with the number of links.
 
 Only the group structure is shuffled; counts are made before each shuffle, so a token that a
 third of all documents share is a few rows. Nothing is dropped or sampled.
@@ -35,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm.graph import components
-from brindle.llm.store import shared_folder
+from brindle.llm.store import shared_folder, stored
 from brindle.llm.words import NOT_SPACE, U, Words, lists, mix, parts
 
 SLACK = 0.05
@@ -44,24 +46,25 @@ BROADCAST_ROWS = 1_000_000
 
 
 def _sets(column: pa.Array, k: int):
-    """Of each text: size of its set, digest, where its hashes begin, and all hashes in ascending order."""
+    """Of each text: number of words, size of its set, digest, where its hashes begin, and all hashes in ascending order."""
     words = Words(column, NOT_SPACE)
     doc, h = words.shingles(k)
     n = np.bincount(doc, minlength=words.n_docs)
     first = np.concatenate(([0], np.cumsum(n)))
     total = np.concatenate((np.zeros(1, U), np.cumsum(mix(h ^ U(0x5851F42D4C957F2D)), dtype=U)))
     key = mix((total[first[1:]] - total[first[:-1]]) + n.astype(U) * U(0x2545F4914F6CDD1D))
-    return n, key.view(np.int64), first, h
+    return words.count, n, key.view(np.int64), first, h
 
 
 def _heads(k: int, share: float):
     def run(batches):
         for batch in parts(batches):
-            n, key, first, h = _sets(batch.column("text"), k)
+            count, n, key, first, h = _sets(batch.column("text"), k)
             p = np.minimum(n, np.ceil(share * n).astype(np.int64) + 1)
             start = np.concatenate(([0], np.cumsum(p)))
             take = np.arange(start[-1]) + np.repeat(first[:-1] - start[:-1], p)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(key), pa.array(n, pa.int64()), lists(start, h[take].view(np.int64), pa.int64())], ["doc_id", "text_hash", "key", "n", "head"])
+            columns = [batch.column("doc_id"), batch.column("text_hash"), pa.array(count, pa.int64()), pa.array(key), pa.array(n, pa.int64()), lists(start, h[take].view(np.int64), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "n_words", "key", "n", "head"])
 
     return run
 
@@ -69,7 +72,7 @@ def _heads(k: int, share: float):
 def _whole(k: int):
     def run(batches):
         for batch in parts(batches):
-            n, key, first, h = _sets(batch.column("text"), k)
+            _, n, key, first, h = _sets(batch.column("text"), k)
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n, pa.int64()), lists(first, h.view(np.int64), pa.int64())], ["key", "n", "tokens"])
 
     return run
@@ -81,7 +84,7 @@ def needed(a: Column, b: Column, num: int, den: int) -> Column:
 
 
 def link(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, counts: bool = False) -> DataFrame:
-    """doc_id, text_hash (Spark's xxhash64), n (set size), component (smallest doc_id reachable by links), label (a number of the component, unique where doc_ids aren't; null without words) of each row of ``docs`` (doc_id, text).
+    """doc_id, text_hash (Spark's xxhash64), n_words, n (set size), component (smallest doc_id reachable by links), label (a number of the component, unique where doc_ids aren't; null without words) of each row of ``docs`` (doc_id, text).
 
     Two documents link when den * |A and B| >= num * |A or B|. With ``counts`` also n_links: how many other rows each row links with.
     """
@@ -90,7 +93,7 @@ def link(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, counts: boo
     share = 1 - t + SLACK
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     row = F.coalesce("doc_id", "text_hash")  # names a row without doc_id too; two that fall together give a candidate more, never one less
-    heads = docs.mapInArrow(_heads(k, share), "doc_id long, text_hash long, key long, n long, head array<long>").checkpoint()
+    heads = docs.mapInArrow(_heads(k, share), "doc_id long, text_hash long, n_words long, key long, n long, head array<long>").checkpoint()
     groups = heads.filter("n > 0").groupBy("key", "n").agg(F.min("doc_id").alias("least_id"), F.min(row).alias("row"), F.count("*").alias("rows"))
 
     # 2: sets of which enough smallest hashes stand in another document's
@@ -115,41 +118,49 @@ def link(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, counts: boo
     rest = shared.join(sets.select("id", "key", "n"), "id").select("key", "n", F.size("own").cast("long").alias("e"), (F.aggregate("own", F.lit(0).cast("long"), lambda a, x: a + x.df) / F.col("n")).alias("central"), F.transform("own", lambda x: x.h).alias("own"))
     rest = rest.filter(F.col("e") >= F.ceil(F.col("n") * t - 1e-9)).checkpoint()
     prefix = F.slice("own", F.lit(1), (F.col("e") - F.ceil(F.col("n") * t - 1e-9) + 1).cast("int"))
-    listed = rest.select("key", "n", "e", "central", F.posexplode(prefix).alias("at", "h"))
 
-    # 4: everything against the hub of its lists, then what no hub has joined
+    # 4: groups of one prefix, size and number of shared tokens; their lists
+    members = rest.select("key", "n", "e", "central", prefix.alias("prefix")).withColumn("group", F.xxhash64("prefix", "n", "e"))
+    members = stored(members)
+    lead = F.max(F.struct("central", "key")).alias("lead")
+    posts = members.groupBy("group", "n", "e", "prefix").agg(lead).select("group", "n", "e", "lead", F.posexplode("prefix").alias("at", "h"))
+    members = members.select("group", "key")
+
     def roomy(a: str, b: str) -> Column:
         room = F.least(F.col(f"{a}.e") - F.col(f"{a}.at"), F.col(f"{b}.e") - F.col(f"{b}.at"))  # if this is the first token that both have
         return room >= needed(F.col(f"{a}.n"), F.col(f"{b}.n"), num, den)
 
-    def fits(a: str, b: str) -> Column:
-        return (F.col(f"{a}.key") != F.col(f"{b}.key")) & roomy(a, b)
-
     def verified(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         x, y = (rest.select(F.col("key").alias(c), F.col("n").alias(f"n_{c}"), F.col("own").alias(f"own_{c}")) for c in "ab")
         both = F.size(F.array_intersect("own_a", "own_b"))
         return pairs.join(x, "a").join(y, "b").filter(both >= needed(F.col("n_a"), F.col("n_b"), num, den)).select("a", "b")
 
+    def met(parts: DataFrame, of: DataFrame, apart: Column) -> DataFrame:
+        """Pairs of members of pairs of ``parts`` (part, n, e, at, h) that meet in a list, are roomy and ``apart``; ``of`` has part and key."""
+        on = (F.col("x.h") == F.col("y.h")) & (F.col("x.part") < F.col("y.part")) & apart & roomy("x", "y")
+        near = parts.alias("x").join(parts.alias("y"), on).select(F.col("x.part").alias("p"), F.col("y.part").alias("q")).distinct()
+        x, y = of.select(F.col("part").alias("p"), F.col("key").alias("a")), of.select(F.col("part").alias("q"), F.col("key").alias("b"))
+        return near.join(x, "p").join(y, "q").select("a", "b")
+
     def all_links() -> DataFrame:
         """Every pair of different sets that reaches the threshold, once."""
-        dealt = rest.select("key", "n", "e", prefix.alias("prefix")).withColumn("group", F.xxhash64("prefix", "n", "e"))
-        members = dealt.select("group", "key").checkpoint()
         x, y = members.select("group", F.col("key").alias("a")), members.select("group", F.col("key").alias("b"))
-        posts = dealt.dropDuplicates(["group"]).select("group", "n", "e", F.posexplode("prefix").alias("at", "h"))
-        near = posts.alias("x").join(posts.alias("y"), "h").filter((F.col("x.group") < F.col("y.group")) & roomy("x", "y")).select(F.col("x.group").alias("g"), F.col("y.group").alias("o")).distinct()
-        across = near.join(x, near["g"] == x["group"]).drop("group").join(y, near["o"] == y["group"]).select("a", "b")
+        across = met(posts.withColumnRenamed("group", "part"), members.withColumnRenamed("group", "part"), F.lit(True))
         return verified(x.join(y, "group").filter("a < b").select("a", "b").unionByName(across))
 
-    hubs = listed.groupBy("h").agg(F.max(F.struct("central", "key", "n", "e", "at")).alias("hub"), F.count("*").alias("m")).filter("m > 1").select("h", "hub.*")
-    stars = listed.alias("x").join(hubs.alias("y"), "h").filter(fits("x", "y"))
-    stars = verified(stars.select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))).checkpoint()
+    # First all members against the leading members of their own group and of their lists' leading groups
+    hubs = posts.groupBy("h").agg(F.max(F.struct("lead", "group", "n", "e", "at")).alias("hub"), F.count("*").alias("m")).filter("m > 1").select("h", "hub.*")
+    led = posts.alias("x").join(hubs.alias("y"), "h").filter((F.col("x.group") != F.col("y.group")) & roomy("x", "y")).select(F.col("x.group").alias("group"), F.col("y.lead.key").alias("b"))
+    led = led.unionByName(posts.select("group", F.col("lead.key").alias("b"))).distinct()
+    stars = verified(members.join(led, "group").select(F.col("key").alias("a"), "b")).checkpoint()
     label = components(stars).withColumnRenamed("node", "key")
-    named = listed.join(label, "key", "left").withColumn("label", F.coalesce("label", "key"))
-    mixed = named.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("h")
-    named = named.join(mixed, "h", "left_semi")
-    left = named.alias("x").join(named.alias("y"), "h").filter((F.col("x.key") < F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & fits("x", "y"))
-    links = stars.unionByName(verified(left.select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))))
+    # Then parts of groups, one for each component in a group, where components differ
+    named = members.join(label, "key", "left").withColumn("label", F.coalesce("label", "key")).withColumn("part", F.xxhash64("group", "label")).checkpoint()
+    dealt = posts.drop("lead").join(named.select("group", "label", "part").distinct(), "group")
+    mixed = dealt.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("h")
+    dealt = dealt.join(mixed, "h", "left_semi")
+    links = stars.unionByName(verified(met(dealt, named.select("part", "key"), F.col("x.label") != F.col("y.label"))))
     found = components(links)
     named_groups = groups.join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
     least_ids = named_groups.groupBy("label").agg(F.min("least_id").alias("component"))
@@ -161,8 +172,8 @@ def link(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, counts: boo
         others = ends.join(groups.select(F.col("key").alias("b"), "rows"), "b").groupBy(F.col("a").alias("key")).agg(F.sum("rows").alias("others"))
         n_links = groups.join(others, "key", "left").select("key", "n", (F.coalesce("others", F.lit(0)) + F.col("rows") - 1).alias("n_links"))
         by_key, more = by_key.join(n_links, ["key", "n"]), [F.coalesce("n_links", F.lit(0)).alias("n_links")]
-    out = heads.select("doc_id", "text_hash", "key", "n").join(by_key, ["key", "n"], "left")
-    return out.select("doc_id", "text_hash", "n", F.coalesce("component", "doc_id").alias("component"), "label", *more)
+    out = heads.select("doc_id", "text_hash", "n_words", "key", "n").join(by_key, ["key", "n"], "left")
+    return out.select("doc_id", "text_hash", "n_words", "n", F.coalesce("component", "doc_id").alias("component"), "label", *more)
 
 
 def link_digest(docs: DataFrame) -> DataFrame:
