@@ -56,7 +56,7 @@ def _sets(column: pa.Array, k: int):
     return words.count, n, key.view(np.int64), first, h
 
 
-def _heads(k: int, share: float):
+def _heads(k: int, share: float, carried: list[str]):
     def run(batches):
         for batch in parts(batches):
             count, n, key, first, h = _sets(batch.column("text"), k)
@@ -64,7 +64,8 @@ def _heads(k: int, share: float):
             start = np.concatenate(([0], np.cumsum(p)))
             take = np.arange(start[-1]) + np.repeat(first[:-1] - start[:-1], p)
             columns = [batch.column("doc_id"), batch.column("text_hash"), pa.array(count, pa.int64()), pa.array(key), pa.array(n, pa.int64()), lists(start, h[take].view(np.int64), pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "n_words", "key", "n", "head"])
+            columns += [batch.column(c) for c in carried]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "n_words", "key", "n", "head", *carried])
 
     return run
 
@@ -83,17 +84,19 @@ def needed(a: Column, b: Column, num: int, den: int) -> Column:
     return F.ceil((a + b) * num / (num + den) - 1e-9)
 
 
-def link(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, counts: bool = False) -> DataFrame:
+def link(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, counts: bool = False, carry: str | None = None) -> DataFrame:
     """doc_id, text_hash (Spark's xxhash64), n_words, n (set size), component (smallest doc_id reachable by links), label (a number of the component, unique where doc_ids aren't; null without words) of each row of ``docs`` (doc_id, text).
 
     Two documents link when den * |A and B| >= num * |A or B|. With ``counts`` also n_links: how many other rows each row links with.
+    With ``carry``, the name of a long column of ``docs``, also ``carried``, its value.
     """
+    carried = ["carried"] if carry else []
     spark, t = docs.sparkSession, num / den
     shared_folder(spark)
     share = 1 - t + SLACK
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"), *(F.col(carry).alias(c) for c in carried))
     row = F.coalesce("doc_id", "text_hash")  # names a row without doc_id too; two that fall together give a candidate more, never one less
-    heads = docs.mapInArrow(_heads(k, share), "doc_id long, text_hash long, n_words long, key long, n long, head array<long>").checkpoint()
+    heads = docs.mapInArrow(_heads(k, share, carried), "doc_id long, text_hash long, n_words long, key long, n long, head array<long>" + ", carried long" * len(carried)).checkpoint()
     groups = heads.filter("n > 0").groupBy("key", "n").agg(F.min("doc_id").alias("least_id"), F.min(row).alias("row"), F.count("*").alias("rows"))
 
     # 2: sets of which enough smallest hashes stand in another document's
@@ -172,8 +175,8 @@ def link(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, counts: boo
         others = ends.join(groups.select(F.col("key").alias("b"), "rows"), "b").groupBy(F.col("a").alias("key")).agg(F.sum("rows").alias("others"))
         n_links = groups.join(others, "key", "left").select("key", "n", (F.coalesce("others", F.lit(0)) + F.col("rows") - 1).alias("n_links"))
         by_key, more = by_key.join(n_links, ["key", "n"]), [F.coalesce("n_links", F.lit(0)).alias("n_links")]
-    out = heads.select("doc_id", "text_hash", "n_words", "key", "n").join(by_key, ["key", "n"], "left")
-    return out.select("doc_id", "text_hash", "n_words", "n", F.coalesce("component", "doc_id").alias("component"), "label", *more)
+    out = heads.select("doc_id", "text_hash", "n_words", "key", "n", *carried).join(by_key, ["key", "n"], "left")
+    return out.select("doc_id", "text_hash", "n_words", "n", F.coalesce("component", "doc_id").alias("component"), "label", *more, *carried)
 
 
 def link_digest(docs: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ shuffled, never texts. Full pieces fill a bin each and take no part in the searc
 A null or empty text has no words and is one piece of length 0. A null source is a source of its
 own for each such document, so it conflicts with nothing; the cluster is that of equal texts up to case and white space
 unless a column names it (``near_clusters`` makes one of near copies), and null and empty texts are in none. Repeated rows are packed each
-(and conflict, being copies). Ties go by doc_id, then piece.
+(and conflict, being copies). Ties go by doc_id, then piece, then the keys of source and cluster.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm import jaccard
+from brindle.llm.store import stored
 
 CAPACITY, SHARD_ROWS = 2048, 4096
 
@@ -66,7 +67,7 @@ def _numbers(keys: pd.Series, shared_only: bool) -> list[int]:
 
 def _pack_shard(capacity: int):
     def run(key, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["n_words", "doc_id", "piece"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
+        rows = rows.sort_values(["n_words", "doc_id", "piece", "source_key", "cluster_key"], ascending=[False, True, True, True, True], kind="stable").reset_index(drop=True)
         rows["bin"] = best_fit(rows["n_words"].tolist(), _numbers(rows["source_key"], True), _numbers(rows["cluster_key"], True), capacity)
         rows["place"] = rows.groupby("bin").cumcount()
         rows["shard"] = key[0]
@@ -82,11 +83,17 @@ def text_cluster(text: str | Column) -> Column:
 
 
 def near_clusters(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """``docs`` with ``cluster``: the label of the near copies' component (of lower-cased texts, so that equal texts in any case are in one), null without words."""
-    text, row = F.lower("text"), F.col("doc_id").cast("long")
-    linked = jaccard.link(docs.select("doc_id", text.alias("text")), k, num, den).filter("label is not null")
-    linked = linked.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.min("label").alias("cluster"))
-    return docs.drop("cluster").join(linked, row.eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__hash")), "left").drop("__id", "__hash")
+    """doc_id, source_key, words and cluster_key of each row of ``docs``, for ``pack_sized``.
+
+    The cluster is the label of the near copies' component (of lower-cased texts, so that equal texts in any case are in one), null without words.
+    """
+    keyed = docs.select("doc_id", F.lower("text").alias("text"), source_key().alias("source_key"))
+    linked = jaccard.link(keyed, k, num, den, carry="source_key")
+    return stored(linked.select("doc_id", F.col("carried").alias("source_key"), F.col("n_words").cast("int").alias("words"), F.col("label").alias("cluster_key")))
+
+
+def source_key() -> Column:
+    return F.when(F.col("source").isNotNull(), F.xxhash64("source"))
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS, cluster_col: str | None = None) -> DataFrame:
@@ -94,15 +101,14 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS
 
     ``docs`` has doc_id, text and source. A full piece is alone in its bin, of shard -1. Words are runs of other than white space.
     """
-    cluster = F.xxhash64(cluster_col) if cluster_col else text_cluster("text")
-    if cluster_col:
-        cluster = F.when(F.col(cluster_col).isNotNull(), cluster)
-    sized = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.coalesce(F.regexp_count("text", F.lit(r"\S+")), F.lit(0)).alias("words"),
-        F.when(F.col("source").isNotNull(), F.xxhash64("source")).alias("source_key"),
-        cluster.alias("cluster_key"),
-    )
+    cluster = F.when(F.col(cluster_col).isNotNull(), F.xxhash64(cluster_col)) if cluster_col else text_cluster("text")
+    words = F.coalesce(F.regexp_count("text", F.lit(r"\S+")), F.lit(0))
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words.alias("words"), source_key().alias("source_key"), cluster.alias("cluster_key"))
+    return pack_sized(sized, capacity, shard_rows)
+
+
+def pack_sized(sized: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """``pack`` for documents known by doc_id, words, source_key and cluster_key (numbers, null for none)."""
     full = F.floor(F.greatest(F.col("words") - 1, F.lit(0)) / capacity).cast("int")
     pieces = sized.select("*", F.explode(F.sequence(F.lit(0), full)).alias("piece")).select(
         "doc_id", "piece", (F.col("piece") * capacity).cast("long").alias("first_word"),
@@ -111,7 +117,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS
     schema = "doc_id long, piece int, first_word long, n_words int, shard int, bin int, place int"
     whole = pieces.filter(F.col("n_words") == capacity).select("doc_id", "piece", "first_word", "n_words", F.lit(-1).alias("shard"), F.lit(0).alias("bin"), F.lit(0).alias("place"))
     part = pieces.filter(F.col("n_words") < capacity)
-    shards = max(1, -(-docs.count() // shard_rows))
-    deal = F.pmod(F.xxhash64(F.lit("shard"), "doc_id", "piece"), F.lit(shards)).cast("int")
+    shards = max(1, -(-sized.count() // shard_rows))
+    deal = F.pmod(F.xxhash64(F.lit("shard"), "doc_id", "piece", "n_words", "source_key", "cluster_key"), F.lit(shards)).cast("int")
     packed = part.withColumn("shard", deal).groupBy("shard").applyInPandas(_pack_shard(capacity), schema)
     return packed.unionByName(whole).withColumn("bin_id", F.when(F.col("shard") >= 0, F.concat_ws("-", "shard", "bin")).otherwise(F.concat_ws("-", F.lit("full"), "doc_id", "piece"))).drop("bin")

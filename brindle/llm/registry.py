@@ -35,7 +35,7 @@ def op5_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(packing.near_clusters(table(spark, sf_dir, "documents")), cluster_col="cluster")
+    return packing.pack_sized(packing.near_clusters(table(spark, sf_dir, "documents")))
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
