@@ -11,7 +11,7 @@
 4. Sets with the same prefix, size and number of shared tokens are one group. Groups, not sets,
    are listed under the tokens of their prefix; pairs of groups that meet in a list are filtered
    by sizes and by the token's places in the two orders; pairs that pass are expanded to their
-   members, and members verified by their whole sets.
+   members, and members whose parities don't rule it out are verified by their whole sets.
 
 For components step 4 runs twice. First each group meets itself and the leading group of each of
 its lists (the one whose tokens stand in the most sets), of which only the leading member is
@@ -41,6 +41,8 @@ from brindle.llm.store import shared_folder, stored
 from brindle.llm.words import NOT_SPACE, U, Words, lists, mix, parts
 
 SLACK = 0.05
+#: Parity bits of a whole set, in lanes of 64; a power of two.
+LANES = 8
 #: Candidate groups up to which their ids are broadcast to the documents.
 BROADCAST_ROWS = 1_000_000
 
@@ -74,7 +76,11 @@ def _whole(k: int):
     def run(batches):
         for batch in parts(batches):
             _, n, key, first, h = _sets(batch.column("text"), k)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n, pa.int64()), lists(first, h.view(np.int64), pa.int64())], ["key", "n", "tokens"])
+            own = np.repeat(np.arange(len(n)), n)
+            parity = np.zeros((len(n), LANES), U)
+            np.bitwise_xor.at(parity, (own, ((h >> U(6)) & U(LANES - 1)).astype(np.int64)), U(1) << (h & U(63)))
+            lanes = lists(np.arange(len(n) + 1) * LANES, parity.ravel().view(np.int64), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n, pa.int64()), lanes, lists(first, h.view(np.int64), pa.int64())], ["key", "n", "parity", "tokens"])
 
     return run
 
@@ -113,26 +119,31 @@ def link(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, counts: boo
 
     # 3: whole sets, tokens that another has, prefixes by rarity
     keys = wanted.select("key").distinct()
-    sets = texts.mapInArrow(_whole(k), "key long, n long, tokens array<long>").join(F.broadcast(keys) if few else keys, "key", "left_semi")
+    sets = texts.mapInArrow(_whole(k), "key long, n long, parity array<long>, tokens array<long>").join(F.broadcast(keys) if few else keys, "key", "left_semi")
     sets = sets.checkpoint().withColumn("id", F.monotonically_increasing_id())
     tokens = sets.select("id", F.explode("tokens").alias("h"))
     counts = tokens.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
     shared = tokens.join(counts, "h").repartition("id").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("own"))
-    rest = shared.join(sets.select("id", "key", "n"), "id").select("key", "n", F.size("own").cast("long").alias("e"), (F.aggregate("own", F.lit(0).cast("long"), lambda a, x: a + x.df) / F.col("n")).alias("central"), F.transform("own", lambda x: x.h).alias("own"))
+    rest = shared.join(sets.select("id", "key", "n", "parity"), "id").select("key", "n", "parity", F.size("own").cast("long").alias("e"), (F.aggregate("own", F.lit(0).cast("long"), lambda a, x: a + x.df) / F.col("n")).alias("central"), F.transform("own", lambda x: x.h).alias("own"))
     rest = rest.filter(F.col("e") >= F.ceil(F.col("n") * t - 1e-9)).checkpoint()
     prefix = F.slice("own", F.lit(1), (F.col("e") - F.ceil(F.col("n") * t - 1e-9) + 1).cast("int"))
 
     # 4: groups of one prefix, size and number of shared tokens; their lists
-    members = rest.select("key", "n", "e", "central", prefix.alias("prefix")).withColumn("group", F.xxhash64("prefix", "n", "e"))
+    members = rest.select("key", "n", "e", "parity", "central", prefix.alias("prefix")).withColumn("group", F.xxhash64("prefix", "n", "e"))
     members = stored(members)
     lead = F.max(F.struct("central", "key")).alias("lead")
     posts = members.groupBy("group", "n", "e", "prefix").agg(lead).select("group", "n", "e", "lead", F.posexplode("prefix").alias("at", "h"))
-    members = members.select("group", "key")
+    members = members.select("group", "key", "n", "parity")
 
     def roomy(a: str, b: str) -> Column:
         room = F.least(F.col(f"{a}.e") - F.col(f"{a}.at"), F.col(f"{b}.e") - F.col(f"{b}.at"))  # if this is the first token that both have
         return room >= needed(F.col(f"{a}.n"), F.col(f"{b}.n"), num, den)
 
+    def alike(a: str, b: str) -> Column:
+        """Parities of the whole sets don't rule the threshold out: sets differ in at least as many tokens as their parities in bits."""
+        differ = sum((F.bit_count(F.col(f"{a}.parity")[i].bitwiseXOR(F.col(f"{b}.parity")[i])) for i in range(LANES)), F.lit(0))
+        return differ <= F.col(f"{a}.n") + F.col(f"{b}.n") - 2 * needed(F.col(f"{a}.n"), F.col(f"{b}.n"), num, den)
+
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         x, y = (rest.select(F.col("key").alias(c), F.col("n").alias(f"n_{c}"), F.col("own").alias(f"own_{c}")) for c in "ab")
@@ -140,17 +151,18 @@ def link(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, counts: boo
         return pairs.join(x, "a").join(y, "b").filter(both >= needed(F.col("n_a"), F.col("n_b"), num, den)).select("a", "b")
 
     def met(parts: DataFrame, of: DataFrame, apart: Column) -> DataFrame:
-        """Pairs of members of pairs of ``parts`` (part, n, e, at, h) that meet in a list, are roomy and ``apart``; ``of`` has part and key."""
+        """Pairs of members of pairs of ``parts`` (part, n, e, at, h) that meet in a list, are roomy, ``apart`` and alike; ``of`` has part, key, n and parity."""
         on = (F.col("x.h") == F.col("y.h")) & (F.col("x.part") < F.col("y.part")) & apart & roomy("x", "y")
         near = parts.alias("x").join(parts.alias("y"), on).select(F.col("x.part").alias("p"), F.col("y.part").alias("q")).distinct()
-        x, y = of.select(F.col("part").alias("p"), F.col("key").alias("a")), of.select(F.col("part").alias("q"), F.col("key").alias("b"))
-        return near.join(x, "p").join(y, "q").select("a", "b")
+        met = near.join(of.alias("x"), F.col("p") == F.col("x.part")).join(of.alias("y"), (F.col("q") == F.col("y.part")) & alike("x", "y"))
+        return met.select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
 
     def all_links() -> DataFrame:
         """Every pair of different sets that reaches the threshold, once."""
-        x, y = members.select("group", F.col("key").alias("a")), members.select("group", F.col("key").alias("b"))
+        x, y = members.alias("x"), members.alias("y")
+        inside = x.join(y, (F.col("x.group") == F.col("y.group")) & (F.col("x.key") < F.col("y.key")) & alike("x", "y")).select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
         across = met(posts.withColumnRenamed("group", "part"), members.withColumnRenamed("group", "part"), F.lit(True))
-        return verified(x.join(y, "group").filter("a < b").select("a", "b").unionByName(across))
+        return verified(inside.unionByName(across))
 
     # First all members against the leading members of their own group and of their lists' leading groups
     hubs = posts.groupBy("h").agg(F.max(F.struct("lead", "group", "n", "e", "at")).alias("hub"), F.count("*").alias("m")).filter("m > 1").select("h", "hub.*")
@@ -163,7 +175,7 @@ def link(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, counts: boo
     dealt = posts.drop("lead").join(named.select("group", "label", "part").distinct(), "group")
     mixed = dealt.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("h")
     dealt = dealt.join(mixed, "h", "left_semi")
-    links = stars.unionByName(verified(met(dealt, named.select("part", "key"), F.col("x.label") != F.col("y.label"))))
+    links = stars.unionByName(verified(met(dealt, named.select("part", "key", "n", "parity"), F.col("x.label") != F.col("y.label"))))
     found = components(links)
     named_groups = groups.join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
     least_ids = named_groups.groupBy("label").agg(F.min("least_id").alias("component"))
