@@ -23,6 +23,14 @@ def labelled_line(text: Column, label: str) -> Column:
     return F.when(text.rlike(rf"(?m)^[ \t]*{label}:"), F.trim(found))
 
 
+def dependency_message(text: Column) -> Column:
+    """P20: package, installed_version and fixed_version of a message's lines; a fixed version that is missing is ``latest``. Null without a package or an installed version."""
+    name, installed = labelled_line(text, "Package"), labelled_line(text, "Installed Version")
+    fixed = F.trim(F.regexp_replace(F.regexp_replace(labelled_line(text, "Fixed Version"), r"\s*\[.*$", ""), r",\s*$", ""))
+    fixed = F.coalesce(F.nullif(fixed, F.lit("")), F.lit("latest"))
+    return F.when((name != "") & (installed != ""), F.struct(name.alias("package"), installed.alias("installed_version"), fixed.alias("fixed_version")))
+
+
 def first_sentence(text: Column, limit: int = 200) -> Column:
     """Up to the first full stop, cut to ``limit`` with three dots."""
     sentence = F.concat(F.trim(F.split_part(text, F.lit("."), F.lit(1))), F.lit("."))

@@ -10,8 +10,15 @@ from brindle.functions import packages, text
 
 
 def paired_files(spark: SparkSession, folder: str, limit: int = 500_000) -> DataFrame:
-    """``CWE-n/language/bad_id`` with the ``good_id`` beside it: cwe_id, language_dir, file_pair_id, vulnerable_code, fixed_code; files beyond the limit have null text, bad ones without a good one are left out."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    """The pairs of ``paired`` among the files below a folder."""
+    return paired(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder), limit)
+
+
+def paired(files: DataFrame, limit: int = 500_000) -> DataFrame:
+    """``CWE-n/language/bad_id`` with the ``good_id`` beside it: cwe_id, language_dir, file_pair_id, vulnerable_code, fixed_code.
+
+    ``files`` has path and content (bytes). Files beyond the limit have null text, bad ones without a good one are left out.
+    """
     part = lambda i: F.regexp_extract("path", r"(CWE-[^/]+)/([^/]+)/(bad|good)_([^/]+)$", i)
     rows = files.select(part(1).alias("cwe_id"), part(2).alias("language_dir"), part(3).alias("side"), part(4).alias("file_pair_id"), text.safe_decode(F.col("content"), limit).alias("body")).filter("side <> ''")
     keys = ["cwe_id", "language_dir", "file_pair_id"]
@@ -19,6 +26,11 @@ def paired_files(spark: SparkSession, folder: str, limit: int = 500_000) -> Data
     return bad.join(good, keys).withColumn("language", packages.directory_language(F.col("language_dir")))
 
 
+def selected_pairs(pairs: DataFrame, languages: list[str], most: int) -> DataFrame:
+    """pairs of some languages, the first so many by class and pair id."""
+    return pairs.filter(F.col("language").isin(languages)).orderBy("cwe_id", "language_dir", "file_pair_id").limit(most)
+
+
 def json_lines(spark: SparkSession, path: str, schema) -> DataFrame:
     """JSON lines; a bad one fails the job."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
@@ -26,18 +38,42 @@ def json_lines(spark: SparkSession, path: str, schema) -> DataFrame:
 
 def releases(spark: SparkSession, path: str, newest: int = 10) -> DataFrame:
     """The newest releases of a captured list."""
-    return spark.read.schema(schemas.RELEASE).option("multiLine", True).json(path).orderBy(F.desc("published_at"), "tag_name").limit(newest)
+    return newest_releases(spark.read.schema(schemas.RELEASE).option("multiLine", True).json(path), newest)
+
+
+def newest_releases(found: DataFrame, newest: int = 10) -> DataFrame:
+    """The newest releases, of one time the first by tag."""
+    return found.orderBy(F.desc("published_at"), "tag_name").limit(newest)
+
+
+# Suffixes of source files with routes, and what their routes' handlers are called.
+HANDLERS = {".kt": "kotlin_ktor", ".ts": "typescript_express"}
+#: A call of a method's name whose first argument is a quoted path; in TypeScript on an application or router, and followed by another argument.
+VERB = r"(get|post|put|delete|patch)"
+ROUTE_CALLS = {".kt": rf"\b{VERB}\s*\(\s*\"([^\"]*)\"\s*\)", ".ts": rf"\b(?:app|router)\s*\.\s*{VERB}\s*\(\s*[\"']([^\"']*)[\"']\s*,"}
 
 
 def routes(spark: SparkSession, folder: str) -> DataFrame:
-    """Routes that source files define: method, path, file, line, handler."""
-    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{kt,ts}").text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("at", "body"))
-    found = []
-    for suffix, handler, pattern, method, path in ((".kt", "kotlin_ktor", r'(get|post|put|delete|patch)\s*\(\s*"([^"]+)"\s*\)', 1, 2), (".ts", "typescript_express", r"""(app|router)\.(get|post|put|delete|patch)\s*\(\s*["']([^"']+)["']\s*,""", 2, 3)):
+    """The routes that the source files below a folder define."""
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{kt,ts}").text(folder, wholetext=True)
+    return routes_in(files.select(F.col("_metadata.file_path").alias("file"), "value"))
+
+
+def routes_in(files: DataFrame) -> DataFrame:
+    """Method, path, file, line (from 1) and handler of each route in ``files`` (file, value)."""
+    lines = files.select("file", F.posexplode(F.split("value", "\n")).alias("at", "body"))
+    out = []
+    for suffix, call in ROUTE_CALLS.items():
         own = lines.filter(F.endswith("file", F.lit(suffix)))
-        both = F.arrays_zip(F.regexp_extract_all("body", F.lit(pattern), F.lit(method)).alias("method"), F.regexp_extract_all("body", F.lit(pattern), F.lit(path)).alias("path"))
-        found.append(own.select("file", "at", F.inline(both)).select(F.upper("method").alias("method"), "path", "file", (F.col("at") + 1).alias("line"), F.lit(handler).alias("handler")))
-    return found[0].unionByName(found[1])
+        both = F.arrays_zip(F.regexp_extract_all("body", F.lit(call), F.lit(1)).alias("method"), F.regexp_extract_all("body", F.lit(call), F.lit(2)).alias("path"))
+        out.append(own.select("file", "at", F.inline(both)).select(F.upper("method").alias("method"), "path", "file", (F.col("at") + 1).alias("line"), F.lit(HANDLERS[suffix]).alias("handler")))
+    return out[0].unionByName(out[1])
+
+
+def commits_about(commits: DataFrame, words: str, newest: int = 20, most: int = 2000) -> DataFrame:
+    """The newest commits whose message fits a pattern, in any case, their diffs cut. ``commits`` has hash, at, message, diff."""
+    found = commits.filter(F.col("message").rlike(f"(?i){words}")).orderBy(F.desc("at"), "hash").limit(newest)
+    return found.withColumn("diff", F.left("diff", F.lit(most)))
 
 
 def metadata_status(tokens: DataFrame, schema: str) -> DataFrame:
@@ -46,6 +82,16 @@ def metadata_status(tokens: DataFrame, schema: str) -> DataFrame:
 
 
 def tree_counts(spark: SparkSession, folder: str) -> DataFrame:
-    """Lines, classes and functions of each source file below a folder."""
-    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{py,kt,ts,js,java}").text(folder).select(F.col("_metadata.file_path").alias("file"), "value")
+    """``line_counts`` of each source file below a folder."""
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{py,kt,ts,js,java}").text(folder)
+    return line_counts(lines.select(F.col("_metadata.file_path").alias("file"), "value"))
+
+
+def line_counts(lines: DataFrame) -> DataFrame:
+    """Lines, classes and functions of each file; ``lines`` has file and value."""
     return lines.groupBy("file").agg(F.count("*").alias("lines"), F.count_if(F.col("value").rlike(r"^\s*(\w+\s+)*class\s+\w+")).alias("classes"), F.count_if(F.col("value").rlike(r"^\s*(\w+\s+)*(def|fun|function)\s+\w+")).alias("functions"))
+
+
+def file_totals(files: DataFrame) -> DataFrame:
+    """How many files there are and how many kilobytes in all; ``files`` has content (bytes)."""
+    return files.agg(F.count("*").alias("total_files"), (F.coalesce(F.sum(F.length("content")), F.lit(0)) / 1024).alias("total_size_kb"))

@@ -26,6 +26,11 @@ def read_json(spark: SparkSession, folder: str, schema, tool: str) -> DataFrame:
     return found.withColumn("file", F.col("_metadata.file_path")).filter(route(F.col("file")) == tool)
 
 
+def captured(texts: DataFrame, schema) -> DataFrame:
+    """Reports that stand as JSON text in ``body``, with their path in ``file``: as ``read_json`` gives them."""
+    return texts.select("file", F.from_json("body", schema).alias("r")).select("file", "r.*")
+
+
 def as_findings(df: DataFrame) -> DataFrame:
     """Every column of the findings' schema, those that ``df`` lacks as nulls, cast to its types."""
     have = set(df.columns)
@@ -123,8 +128,14 @@ def all_findings(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def dashboard_findings(spark: SparkSession, folder: str) -> DataFrame:
+    """``dashboard_rows`` of the reports below a folder."""
+    sarif = spark.read.schema(schemas.SARIF).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.sarif").json(folder)
+    return dashboard_rows(sarif.withColumn("file", F.col("_metadata.file_path")), read_json(spark, folder, schemas.OSV, "osv"), read_json(spark, folder, schemas.ZAP, "zap"))
+
+
+def dashboard_rows(sarif_reports: DataFrame, osv_reports: DataFrame, zap_reports: DataFrame) -> DataFrame:
     """Tool, severity, id, location, package, score as the dashboard counts them: severity by the result's own properties, else its level."""
-    sarif = sarif_results(spark.read.schema(schemas.SARIF).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.sarif").json(folder).withColumn("file", F.col("_metadata.file_path")))
+    sarif = sarif_results(sarif_reports)
     first = sarif.groupBy("driver").agg(F.min("file").alias("file"))
     sarif = sarif.join(first, ["driver", "file"], "left_semi")  # only the first file of each tool
     where = F.col("result.locations")[0]["physicalLocation"]
@@ -132,8 +143,7 @@ def dashboard_findings(spark: SparkSession, folder: str) -> DataFrame:
     own = F.coalesce(F.upper("result.properties.severity"), severity.from_score(score), severity.lookup(severity.LEVELS, F.col("result.level"), "MEDIUM"))
     location = F.concat_ws(":", where["artifactLocation"]["uri"], where["region"]["startLine"])
     rows = sarif.select(F.lower("driver").alias("tool"), own.alias("severity"), F.col("result.ruleId").alias("id"), location.alias("location"), text.labelled_line(F.col("result.message.text"), "Package").alias("package"), score.alias("score"))
-    osv_rows = osv(read_json(spark, folder, schemas.OSV, "osv"))
-    zap_rows = zap(read_json(spark, folder, schemas.ZAP, "zap"))
+    osv_rows, zap_rows = osv(osv_reports), zap(zap_reports)
     rest = osv_rows.select("tool", F.upper(severity.of_advisory(F.col("severity"))).alias("severity"), "id", F.col("path").alias("location"), F.col("package_name").alias("package"), F.lit(None).cast("double").alias("score"))
     return rows.unionByName(rest).unionByName(zap_rows.select("tool", "severity", "id", F.col("path").alias("location"), F.lit(None).cast("string").alias("package"), F.lit(None).cast("double").alias("score")))
 
@@ -146,3 +156,27 @@ def advisories(reports: DataFrame) -> DataFrame:
     name = F.coalesce(m("cvssMetricV31")["cvssData"]["baseSeverity"], m("cvssMetricV30")["cvssData"]["baseSeverity"], m("cvssMetricV2")["baseSeverity"])
     body = F.coalesce(F.try_element_at(F.filter("descriptions", lambda d: d.lang == "en"), F.lit(1)).value, F.lit(""))
     return cve.select("id", F.left(body, F.lit(100)).alias("name"), F.lower(F.coalesce(name, severity.from_score(score), F.lit("unknown"))).alias("severity"), score.alias("cvss_score"), "published", F.col("lastModified").alias("modified"), body.alias("description"), affected_components(body).alias("affected_components"))
+
+
+#: Captured answers about secret issues and dependency alerts.
+ISSUES = "array<struct<title string, number bigint, created_at string, labels array<struct<name string>>>>"
+ALERTS = "array<struct<state string, dependency: struct<package: struct<name string>>, security_advisory: struct<severity string, summary string, ghsa_id string>>>"
+
+
+def secret_issues(answers: DataFrame, label: str = "gitleaks") -> DataFrame:
+    """A row for each issue with the label in captured answers (``body``); secrets are always high."""
+    issues = answers.select(F.explode(F.from_json("body", ISSUES)).alias("i")).filter(F.exists("i.labels", lambda x: x.name == label))
+    return issues.select(
+        F.lit("gitLeaks").alias("tool"), F.lit("high").alias("severity"), F.col("i.title").alias("message"), F.concat(F.lit("Issue #"), F.col("i.number")).alias("location"),
+        F.lit("Repository").alias("package"), F.lit("Secret Detection").alias("vulnerability"),
+    )
+
+
+def dependency_alerts(answers: DataFrame) -> DataFrame:
+    """A row for each open alert in captured answers (``body``); an answer that is no list is an error and fails the job."""
+    parsed = F.when(F.trim("body") == "", F.lit(None)).when(F.ltrim("body").startswith("["), F.from_json("body", ALERTS)).otherwise(F.raise_error(F.concat(F.lit("not a list of alerts: "), F.left("body", F.lit(200)))))
+    a = answers.select(F.explode(parsed).alias("a")).filter("coalesce(a.state, 'open') = 'open'")
+    return a.select(
+        F.lit("dependabot").alias("tool"), F.lower("a.security_advisory.severity").alias("severity"), F.col("a.security_advisory.summary").alias("message"), F.lit("Dependencies").alias("location"),
+        F.col("a.dependency.package.name").alias("package"), F.coalesce(F.nullif("a.security_advisory.ghsa_id", F.lit("")), F.lit("Dependabot Alert")).alias("vulnerability"),
+    )
