@@ -117,8 +117,8 @@ def newest_versions(versions: Column, numeric: bool = False) -> Column:
 
 
 def url_safe(raw: Column) -> Column:
-    """Bytes as base64 for URLs, without padding."""
-    return F.rtrim(F.translate(F.base64(raw), "+/", "-_"), F.lit("="))
+    """Bytes as base64 for URLs, without padding or line ends."""
+    return F.rtrim(F.translate(F.base64(raw), "+/\r\n", "-_"), F.lit("="))
 
 
 def jwt_payload(token: Column, schema: str) -> Column:

@@ -108,3 +108,14 @@ def live(entries: DataFrame, now: Column) -> DataFrame:
 def since(df: DataFrame, at: str, last: Column) -> DataFrame:
     """Rows after the last check; all within 90 days if there was none."""
     return df.filter(F.col(at) > F.coalesce(last, F.current_timestamp() - F.expr("interval 90 days")))
+
+
+def newest(df: DataFrame, at: str, then: list[str], most: int) -> DataFrame:
+    """The newest rows, of one time by the other columns; a top-k, so each task keeps that many at most."""
+    return df.orderBy(F.desc(at), *then).limit(most)
+
+
+def audit(events: DataFrame, key: str, at: str, state: str) -> DataFrame:
+    """For each change of a key's row an audit row: from which state to which; the first has none before it and is left out."""
+    before = F.lag(state).over(Window.partitionBy(key).orderBy(at))
+    return events.withColumn("event", F.concat(before, F.lit(">"), F.col(state))).filter("event is not null").select(key, at, "event")

@@ -142,3 +142,12 @@ def dataset_card(df: DataFrame, split: str, quality: str) -> DataFrame:
 def weighted_total(df: DataFrame, value: Column, weight: Column, by: list[str]) -> DataFrame:
     """Sums of value by weight."""
     return df.groupBy(*by).agg(F.sum(value * weight).alias("total"))
+
+
+def extraction_totals(results: DataFrame) -> DataFrame:
+    """Totals of extractions (success, path): how many went well, the rate (0 without any), distinct files of the good ones."""
+    ok, n = F.count_if("success"), F.count("*")
+    return results.agg(
+        n.alias("total"), ok.alias("successful"), (n - ok).alias("failed"), F.coalesce(F.try_divide(ok.cast("double"), n), F.lit(0.0)).alias("success_rate"),
+        F.count_distinct(F.when(F.col("success"), F.col("path"))).alias("unique_files"),
+    )

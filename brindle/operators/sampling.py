@@ -90,3 +90,13 @@ def augment(df: DataFrame, key: str, text: str, per_row: int = 7) -> DataFrame:
     new = replace_terms(F.col(text), F.concat_ws("-", F.col(key).cast("string"), F.col("variant").cast("string")))
     rows = rows.withColumn("__old", F.col(text)).withColumn(text, F.when(F.col("variant") == 0, F.col(text)).otherwise(new))
     return rows.filter((F.col("variant") == 0) | (F.col(text) != F.col("__old"))).withColumn("is_augmented", F.col("variant") > 0).drop("__old")
+
+
+def blend(df: DataFrame, group: str, order: list[str], text: str, target: int) -> DataFrame:
+    """Rows whose text is made of the first lines of their own and of the next row's of the same group; the first ``target`` in the order."""
+    rows = ranked(df, order, [group])
+    after = rows.select(F.col(group).alias("__group"), (F.col("rank") - 1).alias("__rank"), F.col(text).alias("__text"))
+    line = lambda c: F.substring_index(c, "\n", 1)
+    blended = F.concat(line(F.col(text)), F.lit("\n"), line(F.col("__text")), F.lit("\n\nConsider these related findings together."))
+    pairs = rows.join(after, (F.col(group) == F.col("__group")) & (F.col("rank") == F.col("__rank")))
+    return pairs.withColumn(text, blended).drop("__group", "__rank", "__text", "rank", "group_size").orderBy(*order).limit(target)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Queries up to which all of them go to every task, and queries in a block of which the products are made.
@@ -79,3 +79,24 @@ def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int, oversample: int
         ranked = ranked.withColumn("at", F.row_number().over(Window.partitionBy("query", "label").orderBy(*order))).filter("at = 1")
         ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(*order)))
     return ranked.filter(F.col("rank") <= k).select("query", "id", "rank", "score")
+
+
+def _facts(index: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    """One row on an index: rows, dimensions, and a sum of hashes of ids and vectors."""
+    digest = F.sum(F.xxhash64(id_col, vec_col).cast("decimal(38,0)")).cast("string")
+    return index.agg(F.count("*").alias("rows"), F.max(F.size(vec_col)).alias("dimensions"), digest.alias("digest"))
+
+
+def save_index(vectors: DataFrame, path: str, id_col: str = "vec_id", vec_col: str = "embedding") -> None:
+    """K9: vectors with what they are about as Parquet, and facts on them beside."""
+    vectors.write.mode("overwrite").parquet(f"{path}/vectors")
+    _facts(vectors.sparkSession.read.parquet(f"{path}/vectors"), id_col, vec_col).write.mode("overwrite").json(f"{path}/facts")
+
+
+def load_index(spark: SparkSession, path: str, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """K9: the index saved at ``path``; a missing part, or vectors that don't agree with the facts, end the job."""
+    index = spark.read.parquet(f"{path}/vectors")
+    want, found = spark.read.schema("rows long, dimensions int, digest string").json(f"{path}/facts").first(), _facts(index, id_col, vec_col).first()
+    if want != found:
+        raise ValueError(f"the index at {path} is damaged: {found} where {want} was saved")
+    return index

@@ -165,7 +165,7 @@ ALERTS = "array<struct<state string, dependency: struct<package: struct<name str
 
 def secret_issues(answers: DataFrame, label: str = "gitleaks") -> DataFrame:
     """A row for each issue with the label in captured answers (``body``); secrets are always high."""
-    issues = answers.select(F.explode(F.from_json("body", ISSUES)).alias("i")).filter(F.exists("i.labels", lambda x: x.name == label))
+    issues = answers.select(F.explode(F.from_json("body", ISSUES)).alias("i")).filter(F.exists("i.labels", lambda x: x["name"] == label))
     return issues.select(
         F.lit("gitLeaks").alias("tool"), F.lit("high").alias("severity"), F.col("i.title").alias("message"), F.concat(F.lit("Issue #"), F.col("i.number")).alias("location"),
         F.lit("Repository").alias("package"), F.lit("Secret Detection").alias("vulnerability"),

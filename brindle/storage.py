@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,3 +25,8 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` worked out once and kept in the shared folder, so that whatever reads it reads the same rows in the same partitions."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder's path below the shared one."""
+    return f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
