@@ -1,10 +1,21 @@
 """Secret scan with structural confirmation.
 
 Three plain patterns give the base spans. On top of them, long base64 and hex runs are decoded
-and reported only if what they hold has the structure of a key or a signed token: DER whose
-nested lengths add up, an OpenSSH key blob whose length-prefixed fields fill it, PEM armour
-around such bytes, or a signed token whose first two parts are JSON objects and whose header
-names an algorithm.
+and reported only if what they hold parses as a private key or a signed token:
+
+* DER of a private key, read field by field: RSA (a version and eight integers), DSA (a version
+  and five), PKCS#8 (a version, an algorithm's object identifier, an octet string), its encrypted
+  form (a password scheme's identifier, an octet string), SEC1 (version 1, an octet string, then
+  parameters or a public point); or another sequence that begins with a version and goes on with
+  numbers, octet strings and sequences only, one of them key material. Lengths, nested ones too,
+  must add up to the last byte.
+* An OpenSSH key file, all fields to the end: ciphers, public keys, and a private section whose
+  check numbers agree where it isn't encrypted.
+* PEM armour of a private key around such bytes, with line feeds as they are or escaped (as in
+  JSON and .env files), or with the header lines of an encrypted key.
+* A signed token whose first two parts are JSON objects and whose header names an algorithm.
+
+Public keys, certificates and requests are no secrets and aren't reported.
 
 Null and empty texts have no spans. Any column may be null, columns other than the text are
 carried along, and rows that repeat each give their own result. Texts of any length are
@@ -36,7 +47,12 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 RUN64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}={0,2}")
 RUN16 = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){32,}(?![0-9A-Fa-f])")
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])ey[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}KEY|CERTIFICATE)-----([A-Za-z0-9+/=\s]*)-----END \1-----")
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----")
+#: Key material has so many bytes at least; a version is one of these.
+MATERIAL, VERSIONS = 16, (b"\0", b"\1", b"\2", b"\3")
+INTEGER, BITS, OCTETS, OID, SEQUENCE = 0x02, 0x03, 0x04, 0x06, 0x30
+#: Beginnings of the object identifiers of password-based encryption schemes.
+PASSWORD_SCHEMES = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
 
 
 def decoded(run: str) -> bytes | None:
@@ -72,23 +88,88 @@ def der_fits(raw: bytes, at: int = 0, end: int | None = None, depth: int = 0) ->
     return True
 
 
+def der_values(raw: bytes) -> list[tuple[int, bytes]]:
+    """(tag, content) of the values in a row of DER whose lengths are known to fit."""
+    out, at = [], 0
+    while at < len(raw):
+        tag, size, at = raw[at], raw[at + 1], at + 2
+        if size & 0x80:
+            n = size & 0x7F
+            size, at = int.from_bytes(raw[at : at + n], "big"), at + n
+        out.append((tag, raw[at : at + size]))
+        at += size
+    return out
+
+
+def is_private_der(raw: bytes) -> bool:
+    """Whether DER holds a private key of one of the forms that the module names."""
+    if raw[0] != SEQUENCE or not der_fits(raw):
+        return False
+    outer = der_values(raw)
+    if len(outer) != 1:
+        return False
+    fields = der_values(outer[0][1])
+    tags = [t for t, _ in fields]
+    if tags == [SEQUENCE, OCTETS]:  # encrypted PKCS#8
+        scheme = der_values(fields[0][1])
+        return bool(scheme) and scheme[0][0] == OID and scheme[0][1].startswith(PASSWORD_SCHEMES) and len(fields[1][1]) >= MATERIAL
+    if len(fields) < 2 or tags[0] != INTEGER or fields[0][1] not in VERSIONS:
+        return False
+    if all(t == INTEGER for t in tags):  # RSA has nine numbers or, with more primes, more; DSA six
+        return (len(fields) >= 9 or len(fields) == 6) and len(fields[1][1]) >= MATERIAL and all(v for _, v in fields)
+    if tags[1:3] == [SEQUENCE, OCTETS]:  # PKCS#8
+        algorithm = der_values(fields[1][1])
+        return bool(algorithm) and algorithm[0][0] == OID and len(fields[2][1]) >= MATERIAL
+    if fields[0][1] == b"\1" and tags[1] == OCTETS and all(t in (0xA0, 0xA1) for t in tags[2:]):  # SEC1
+        return len(fields[1][1]) >= MATERIAL
+    return all(t in (INTEGER, OCTETS, SEQUENCE) for t in tags) and any(t in (INTEGER, OCTETS) and len(v) >= MATERIAL for t, v in fields[1:])
+
+
+def is_openssh(raw: bytes) -> bool:
+    """Whether all fields of an OpenSSH key file are there, to the last byte."""
+    at = 15
+
+    def field() -> bytes | None:
+        nonlocal at
+        size = int.from_bytes(raw[at : at + 4], "big")
+        if at + 4 + size > len(raw):
+            return None
+        own, at = raw[at + 4 : at + 4 + size], at + 4 + size
+        return own
+
+    cipher, derivation, options = field(), field(), field()
+    if cipher is None or derivation is None or options is None or at + 4 > len(raw):
+        return False
+    keys, at = int.from_bytes(raw[at : at + 4], "big"), at + 4
+    if not 1 <= keys <= 64 or any(not field() for _ in range(keys)):
+        return False
+    private = field()
+    return private is not None and len(private) >= MATERIAL and at == len(raw) and (cipher != b"none" or private[:4] == private[4:8])
+
+
 def is_key(raw: bytes | None) -> str | None:
-    """'der' for a DER sequence of two values or more, 'openssh' for an OpenSSH key, else None."""
+    """'der' or 'openssh' for a private key of that form, else None."""
     if not raw or len(raw) < 16:
         return None
-    if raw[0] == 0x30 and raw[1] not in (0, 0x80) and der_fits(raw):
-        return "der"
     if raw.startswith(b"openssh-key-v1\0"):
-        at, fields = 15, 0
-        while at + 4 <= len(raw) and fields < 3:  # cipher, key derivation, its options
-            at, fields = at + 4 + int.from_bytes(raw[at : at + 4], "big"), fields + 1
-        return "openssh" if fields == 3 and at + 4 <= len(raw) else None
-    if raw[:4] in (b"\0\0\0\x07", b"\0\0\0\x0b") and raw[4:8] in (b"ssh-",):  # a public key blob: fields fill it
-        at = 0
-        while at + 4 <= len(raw):
-            at += 4 + int.from_bytes(raw[at : at + 4], "big")
-        return "openssh" if at == len(raw) else None
-    return None
+        return "openssh" if is_openssh(raw) else None
+    return "der" if is_private_der(raw) else None
+
+
+def pem_spans(text: str) -> list[tuple[int, int]]:
+    """(start, end) of PEM blocks that hold a private key."""
+    out = []
+    for m in PEM.finditer(text):
+        stop, close = text.find("-----", m.end()), f"-----END {m[1]}-----"
+        if stop < 0 or not text.startswith(close, stop):
+            continue
+        body = re.sub(r"\\r|\\n", "\n", text[m.end() : stop])
+        head, _, rest = body.rpartition("\n\n") if "Proc-Type:" in body else ("", "", body)
+        raw = decoded(re.sub(r"\s", "", rest))
+        encrypted = "ENCRYPTED" in head and "DEK-Info:" in head and raw is not None and len(raw) >= MATERIAL and len(raw) % 8 == 0
+        if encrypted or is_key(raw):
+            out.append((m.start(), stop + len(close)))
+    return out
 
 
 def is_token(run: str) -> bool:
@@ -113,7 +194,7 @@ def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
     if "ey" in text:
         out += [(m.start(), KINDS.index("token"), m.end()) for m in TOKEN.finditer(text) if is_token(m[0])]
     if "-----BEGIN " in text:
-        out += [(m.start(), KINDS.index("pem"), m.end()) for m in PEM.finditer(text) if is_key(decoded(re.sub(r"\s", "", m[2])))]
+        out += [(start, KINDS.index("pem"), end) for start, end in pem_spans(text)]
     for pattern, decode in ((RUN64, decoded), (RUN16, bytes.fromhex)):
         for m in pattern.finditer(text):
             if kind := is_key(decode(m[0])):
