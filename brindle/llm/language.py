@@ -171,13 +171,16 @@ def identify(docs: DataFrame, net: Network, text_col: str = "text", keep_text: b
     """``docs`` with lang_pred and score (columns of these names are replaced)."""
     docs = docs.drop("lang_pred", "score")
     names = [c for c in docs.columns if keep_text or c != text_col]
-    docs = docs.withColumn("__letters", F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
+    has = "letters"
+    while has in {c.lower() for c in docs.columns}:
+        has = f"_{has}"
+    docs = docs.withColumn(has, F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
 
     def per_batch(batches):
         reader = Reader(net) if len(net.langs) > 1 else None
         langs = np.array([*net.langs, UNKNOWN], object)
         for batch in parts(batches, column=text_col):
-            letters = np.asarray(batch.column("__letters").to_numpy(zero_copy_only=False), bool)
+            letters = np.asarray(batch.column(has).to_numpy(zero_copy_only=False), bool)
             best, score = np.zeros(batch.num_rows, int), np.ones(batch.num_rows)
             if reader:
                 best, score = reader.texts(batch.column(text_col))
