@@ -11,21 +11,13 @@ from pyspark.sql.types import StructType
 from brindle.functions.packages import route_pattern
 from brindle.functions.severity import ORDER
 from brindle.schemas import parsed
-
-#: Rows up to which the small side of a theta join is broadcast; beyond it the join needs a key.
-BROADCAST_ROWS = 100_000
-
+from brindle.storage import cut, small
 
 def conform(df: DataFrame, schema: str | StructType) -> DataFrame:
     """Columns of a schema, in its order; missing ones and values that can't be cast are null."""
     return df.select(*[(F.col(f.name).try_cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType)).alias(f.name) for f in parsed(schema)])
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if a count shows at most so many rows; else as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def union_all(*parts: DataFrame) -> DataFrame:
     """All rows of all parts by column name; columns that a part lacks are null there."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
@@ -65,18 +57,35 @@ def fatal_lookup(df: DataFrame, dictionary: DataFrame, key: str, value: str) ->
 def newest_mention(advisories: DataFrame, releases: DataFrame) -> DataFrame:
     """Of each advisory (id, keywords array) the newest release (tag, body, published) whose text holds one of its keywords.
 
-    Keywords are exploded and releases broadcast after a count, so each text is searched once for each distinct keyword.
+    The distinct keywords are the small side: they are broadcast to the releases, whose texts stay where they are and are searched once for each.
     """
-    words = advisories.select(F.explode("keywords").alias("k")).select(F.lower("k").alias("k")).distinct()
-    found = words.join(small(releases), F.contains(F.lower("body"), F.col("k"))).groupBy("k").agg(F.max(F.struct("published", "tag")).alias("m"))
+    words = small(advisories.select(F.explode("keywords").alias("k")).select(F.lower("k").alias("k")).distinct(), needed=True)
+    found = releases.withColumn("body", F.lower("body")).join(words, F.contains("body", F.col("k"))).groupBy("k").agg(F.max(F.struct("published", "tag")).alias("m"))
     matched = advisories.select("id", F.explode("keywords").alias("k")).select("id", F.lower("k").alias("k")).join(found, "k").groupBy("id").agg(F.max("m").alias("m"))
     return advisories.join(matched, "id", "left").select(advisories["*"], F.col("m.tag").alias("release"), F.col("m.published").alias("released_at"))
 
 
+def holding(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, item_id) for each document (doc_id, text) whose text holds an item (item_id, item) as it is written.
+
+    Where a document holds an item, it has the words between the item's first and last blank as words too. So the longest of these is the
+    key of a join; only documents that have it are searched for the item. Items without such a word are searched for in all, and must be small.
+    """
+    inner = F.filter(F.slice(F.split("item", " "), F.lit(2), F.greatest(F.size(F.split("item", " ")) - 2, F.lit(0))), lambda w: w != "")
+    keyed = items.withColumn("word", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w), w.alias("w")))).w)
+    words = docs.select("doc_id", F.explode(F.array_distinct(F.split("text", " "))).alias("word"))
+    near = words.join(small(keyed.filter("word is not null").select("word", "item_id")), "word").select(F.col("doc_id").alias("near_id"), "item_id").distinct()
+    near = small(cut(near))
+    searched = docs.join(near, docs["doc_id"].eqNullSafe(near["near_id"])).join(small(items.select(F.col("item_id").alias("own_id"), "item")), F.col("item_id") == F.col("own_id"))
+    found = searched.filter(F.contains("text", F.col("item"))).select("doc_id", "item_id")
+    rest = keyed.filter("word is null and item is not null").select("item_id", "item")
+    return found.unionByName(docs.join(small(rest, needed=True), F.contains("text", "item")).select("doc_id", "item_id")).distinct()
+
+
 def match_routes(paths: DataFrame, routes: DataFrame) -> DataFrame:
     """Of each distinct ``path`` the route that equals it, else that whose pattern fits; of several the shortest, then the first in the alphabet."""
     distinct = paths.select("path").distinct()
-    listed = small(routes.select("route").distinct().withColumn("pattern", route_pattern(F.col("route"))))
+    listed = small(routes.select("route").distinct().withColumn("pattern", route_pattern(F.col("route"))), needed=True)
     fits = distinct.join(listed, (F.col("path") == F.col("route")) | F.expr("path rlike pattern"))
     best = fits.groupBy("path").agg(F.min(F.struct((F.col("path") != F.col("route")).alias("by_pattern"), F.length("route").alias("n"), "route")).alias("b"))
     return paths.join(best, "path", "left").select(paths["*"], F.col("b.route").alias("route"))

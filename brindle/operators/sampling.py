@@ -57,7 +57,7 @@ def adapt_ratio(ratio: Column, forgetting: Column) -> Column:
 def diversity(df: DataFrame, type_: str) -> DataFrame:
     """1 / (rows of the type + 1); the counts are made before they are joined, so a common type is one row."""
     counts = df.groupBy(F.col(type_).alias("__t")).agg(F.count("*").alias("__n"))
-    return df.join(F.broadcast(counts), F.col(type_).eqNullSafe(F.col("__t"))).withColumn("diversity", 1.0 / (F.col("__n") + 1)).drop("__t", "__n")
+    return df.join(small(counts), F.col(type_).eqNullSafe(F.col("__t"))).withColumn("diversity", 1.0 / (F.col("__n") + 1)).drop("__t", "__n")
 
 
 def weighted_draws(df: DataFrame, key: str, weight: Column, draws: int, seed: int = 42) -> DataFrame:

@@ -265,7 +265,7 @@ def contaminated_docs(spark, d):
     """Documents that hold a whole benchmark item as it is written."""
     items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("item"))
     docs = table(spark, d, "documents").select("doc_id", "text")
-    return docs.join(relational.small(items), F.contains("text", "item")).select("doc_id", "item_id").distinct()
+    return relational.holding(docs, items)
 
 
 @query("""

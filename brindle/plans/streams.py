@@ -2,24 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from brindle.plans.base import query, table
+from brindle.storage import scratch
 from brindle.streaming import jobs
 
 
-def folder(spark) -> str:
-    """A new folder in the shared one that the cluster names, else in the warehouse."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base}/stream-{uuid.uuid4().hex}"
-
-
 @query("SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY event_type")
 def stream_new_files(spark, d):
     """Events taken from files as a stream, then counted."""
-    at = folder(spark)
+    at = scratch(spark)
     events = table(spark, d, "events")
     stream = jobs.new_files(spark, f"{d}/events.parquet", events.schema)
     jobs.run_available(stream.select("event_type", "value"), f"{at}/out", f"{at}/checkpoint")
@@ -29,7 +22,7 @@ def stream_new_files(spark, d):
 @query()
 def stream_ttl_state(spark, d):
     """Signups put a value that lives 300 seconds, later events of the user read it once; the stream's order within a batch follows time."""
-    at = folder(spark)
+    at = scratch(spark)
     events = table(spark, d, "events")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     op = F.when(F.col("event_type") == "signup", "put").otherwise("get")

@@ -44,10 +44,12 @@ def read_once(operations: DataFrame) -> DataFrame:
     return operations.groupBy("key").transformWithStateInPandas(statefulProcessor=ReadOnce(), outputStructType="key string, seq long, value string", outputMode="Append", timeMode="None")
 
 
-def run_available(df: DataFrame, path: str, checkpoint: str, seconds: int = 120, mode: str = "append") -> None:
-    """Take what is there, write it as Parquet, end; a next call with the same checkpoint goes on from there."""
+def run_available(df: DataFrame, path: str, checkpoint: str, seconds: int | None = None, mode: str = "append") -> None:
+    """Take what is there, write it as Parquet, end; a next call with the same checkpoint goes on from there. There is no limit of time unless ``seconds`` sets one."""
     stream = df.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", checkpoint).option("path", path).trigger(availableNow=True).start()
-    if not stream.awaitTermination(seconds):
+    if seconds is None:
+        stream.awaitTermination()
+    elif not stream.awaitTermination(seconds):
         stream.stop()
         raise TimeoutError(f"the stream to {path} took more than {seconds} s")
 
