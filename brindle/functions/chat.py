@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Terms that may stand for each other.
-SYNONYMS = [("vulnerability", "security flaw"), ("fix", "remediate"), ("issue", "problem"), ("secure", "protected"), ("attacker", "adversary"), ("update", "upgrade"), ("code", "implementation"), ("function", "method"), ("input", "user-supplied data"), ("error", "fault")]
+#: Terms that may stand for each other, and first lines of prompts: our own.
+SYNONYMS = [
+    ("weakness", "soft spot"), ("repair", "mend"), ("library", "dependency"), ("server", "host"), ("request", "call"),
+    ("file", "document"), ("value", "figure"), ("check", "inspect"), ("access", "entry"), ("result", "outcome"),
+]
 INTROS = ["Analyze this security finding:", "Review the following finding:", "Assess this report:", "Explain and fix this finding:"]
 SYSTEM = {
     "dependency_vulnerabilities": "You are a security engineer who fixes vulnerable dependencies.",
