@@ -172,10 +172,10 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, file_share: float = FILE
     ).checkpoint()
     cues = slim.filter("cues is not null").select("doc_id", "text_hash", "doc_words", F.explode("cues").alias("sentence"))
     scored = score_sentences(cues).filter(F.col("cosine") >= threshold)
-    hits = cues.join(small(scored), "sentence").groupBy("doc_id", "text_hash", "sentence", "doc_words", "words", "licence", "cosine").agg(F.count("*").alias("times"))
+    hits = cues.join(small(scored), "sentence").select("doc_id", "text_hash", "sentence", "doc_words", "words", "licence", "cosine").distinct()
     own = hits.groupBy("doc_id", "text_hash").agg(
         F.min(F.struct((-F.col("cosine")).alias("minus"), "licence")).alias("b"),
-        (F.sum(F.col("words") * F.least("times", F.lit(1))) >= file_share * F.max("doc_words")).alias("is_file"),
+        (F.sum("words") >= file_share * F.max("doc_words")).alias("is_file"),
         F.count("*").alias("n_sentences"),
     )
     own = own.select("doc_id", "text_hash", F.col("b.licence").alias("own_licence"), (-F.col("b.minus")).alias("own_score"), "is_file", "n_sentences").checkpoint()
@@ -195,6 +195,12 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, file_share: float = FILE
 
 
 def by_source(docs: DataFrame) -> DataFrame:
-    """The documents' scan; they carry no paths, so a path is made of source, number of a hundred ids, and id."""
-    path = F.concat_ws("/", "source", F.floor(F.col("doc_id") / 100).cast("string"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    """The documents' scan; they carry no paths, so paths of three levels are made: source, thousand and hundred of the id.
+
+    Every tenth document stands in its thousand's directory, every hundredth (50, 150, ..) in its source's, so licence files are found on all levels.
+    """
+    part = lambda n: F.floor(F.col("doc_id") / n).cast("string")
+    thousand = F.when(F.col("doc_id") % 100 != 50, part(1000))
+    hundred = F.when(F.col("doc_id") % 10 != 0, part(100))
+    path = F.concat_ws("/", "source", thousand, hundred, F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
     return scan(docs.select("doc_id", "text", path.alias("path")))

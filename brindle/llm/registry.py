@@ -68,7 +68,7 @@ def op5_sql() -> str:
     values = lambda rows: ", ".join("(" + ", ".join(map(text, r)) + ")" for r in rows)
     return rf"""
 WITH vec(template, licence, word, weight) AS (VALUES {values(vectors)}), idf(word, idf) AS (VALUES {values(sorted(idf.items()))}),
-doc AS (SELECT doc_id, concat_ws('/', source, CAST(CAST(floor(doc_id / 100) AS BIGINT) AS VARCHAR), doc_id || '.txt') AS path, source || '/' || CAST(floor(doc_id / 100) AS BIGINT) AS dir, text FROM documents),
+doc AS (SELECT doc_id, concat_ws('/', dir, doc_id || '.txt') AS path, dir, text FROM (SELECT doc_id, text, concat_ws('/', source, CASE WHEN doc_id % 100 <> 50 THEN CAST(doc_id // 1000 AS VARCHAR) END, CASE WHEN doc_id % 10 <> 0 THEN CAST(doc_id // 100 AS VARCHAR) END) AS dir FROM documents)),
 cue AS (SELECT doc_id, len(regexp_extract_all(lower(text), '{licences.TOKEN}')) AS doc_words, unnest(list_filter(list_transform(string_split(regexp_replace(text, '([.!?;])\s+', '\1' || chr(10), 'g'), chr(10)), lambda s: trim(s)), lambda s: regexp_matches(s, '{licences.CUE}'))) AS sentence FROM doc WHERE regexp_matches(text, '{licences.CUE}')),
 tf AS (SELECT sentence, word, count(*) AS tf FROM (SELECT sentence, unnest(regexp_extract_all(lower(sentence), '{licences.TOKEN}')) AS word FROM (SELECT DISTINCT sentence FROM cue)) GROUP BY ALL),
 w AS (SELECT sentence, word, tf, tf * coalesce(idf, {other!r}) AS w FROM tf LEFT JOIN idf USING (word)),
@@ -77,9 +77,10 @@ dot AS (SELECT sentence, template, licence, sum(w * weight) AS dot FROM w JOIN v
 best AS (SELECT sentence, words, round(dot / norm, 6) AS cosine, licence FROM dot JOIN norm USING (sentence) QUALIFY row_number() OVER (PARTITION BY sentence ORDER BY round(dot / norm, 6) DESC, licence) = 1),
 hit AS (SELECT DISTINCT doc_id, doc_words, sentence, words, licence, cosine FROM cue JOIN best USING (sentence) WHERE cosine >= {licences.THRESHOLD}),
 own AS (SELECT doc_id, max(cosine) AS score, arg_min(licence, (-cosine, licence)) AS licence, sum(words) >= {licences.FILE_SHARE} * max(doc_words) AS is_file, count(*) AS n FROM hit GROUP BY doc_id),
-giver AS (SELECT dir, arg_min(own.licence, (-score, own.licence)) AS dir_licence, max(score) AS dir_score FROM own JOIN doc USING (doc_id) WHERE is_file GROUP BY dir)
+giver AS (SELECT dir, arg_min(own.licence, (-score, own.licence)) AS dir_licence, max(score) AS dir_score FROM own JOIN doc USING (doc_id) WHERE is_file GROUP BY dir),
+near AS (SELECT d.dir, arg_max(dir_licence, length(g.dir)) AS dir_licence, arg_max(dir_score, length(g.dir)) AS dir_score FROM (SELECT DISTINCT dir FROM doc) d JOIN giver g ON d.dir = g.dir OR starts_with(d.dir, g.dir || '/') GROUP BY d.dir)
 SELECT doc_id, path, coalesce(licence, dir_licence, '') AS licence, CASE WHEN is_file THEN 'file' WHEN licence IS NOT NULL THEN 'header' WHEN dir_licence IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
- coalesce(score, dir_score, 0.0) AS score, CAST(coalesce(n, 0) AS BIGINT) AS n_sentences FROM doc LEFT JOIN own USING (doc_id) LEFT JOIN giver USING (dir)
+ coalesce(score, dir_score, 0.0) AS score, CAST(coalesce(n, 0) AS BIGINT) AS n_sentences FROM doc LEFT JOIN own USING (doc_id) LEFT JOIN near USING (dir)
 """
 
 
