@@ -122,8 +122,8 @@ def link(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, counts: boo
     sets = texts.mapInArrow(_whole(k), "key long, n long, parity array<long>, tokens array<long>").join(F.broadcast(keys) if few else keys, "key", "left_semi")
     sets = sets.checkpoint().withColumn("id", F.monotonically_increasing_id())
     tokens = sets.select("id", F.explode("tokens").alias("h"))
-    counts = tokens.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
-    shared = tokens.join(counts, "h").repartition("id").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("own"))
+    frequent = tokens.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
+    shared = tokens.join(frequent, "h").repartition("id").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("own"))
     rest = shared.join(sets.select("id", "key", "n", "parity"), "id").select("key", "n", "parity", F.size("own").cast("long").alias("e"), (F.aggregate("own", F.lit(0).cast("long"), lambda a, x: a + x.df) / F.col("n")).alias("central"), F.transform("own", lambda x: x.h).alias("own"))
     rest = rest.filter(F.col("e") >= F.ceil(F.col("n") * t - 1e-9)).checkpoint()
     prefix = F.slice("own", F.lit(1), (F.col("e") - F.ceil(F.col("n") * t - 1e-9) + 1).cast("int"))

@@ -22,7 +22,9 @@ def changed(*at):
 def test_a_near_copy_without_doc_id(spark):
     rows = [(1, changed()), (None, changed(0, 1, 2, 3)), (2, changed(0, 1, 2, 3, 56, 57, 58, 59)), (None, "quite another text of some words"), (None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    labels = {r["text_hash"]: (r["component"], r["label"]) for r in jaccard.link(df, 5, 80, 100).collect()}
+    linked = jaccard.link(df, 5, 80, 100)
+    assert "n_links" not in linked.columns  # links are counted only where asked
+    labels = {r["text_hash"]: (r["component"], r["label"]) for r in linked.collect()}
     near = [labels[r[0]] for r in df.filter("text like '%w30%'").select(F.xxhash64("text")).collect()]
     assert len(near) == 3 and len(set(near)) == 1 and near[0][0] == 1
     kept = {(r["doc_id"], r["text"]) for r in jaccard.keep_one(df).collect()}
