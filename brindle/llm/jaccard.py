@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm.graph import components
-from brindle.llm.store import shared_folder, stored
+from brindle.llm.store import checkpointed, shared_folder, stored
 from brindle.llm.words import NOT_SPACE, U, Words, lists, mix, parts
 
 SLACK = 0.05
@@ -102,7 +102,7 @@ def link(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, counts: boo
     share = 1 - t + SLACK
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"), *(F.col(carry).alias(c) for c in carried))
     row = F.coalesce("doc_id", "text_hash")  # names a row without doc_id too; two that fall together give a candidate more, never one less
-    heads = docs.mapInArrow(_heads(k, share, carried), "doc_id long, text_hash long, n_words long, key long, n long, head array<long>" + ", carried long" * len(carried)).checkpoint()
+    heads = checkpointed(docs.mapInArrow(_heads(k, share, carried), "doc_id long, text_hash long, n_words long, key long, n long, head array<long>" + ", carried long" * len(carried)))
     groups = heads.filter("n > 0").groupBy("key", "n").agg(F.min("doc_id").alias("least_id"), F.min(row).alias("row"), F.count("*").alias("rows"))
 
     # 2: sets of which enough smallest hashes stand in another document's
@@ -112,7 +112,7 @@ def link(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, counts: boo
     other = F.floor(n / t + 1e-9)
     least = F.least(F.ceil(n * t - 1e-9) - (n - size(n)), needed(n, other, num, den) - (other - size(other)) - 2)
     close = posts.join(common, "h").groupBy("row").agg(F.count("*").alias("s"))
-    wanted = groups.join(close, "row").filter(F.col("s") >= F.greatest(least, F.lit(1))).select("key", "n", "row").checkpoint()
+    wanted = checkpointed(groups.join(close, "row").filter(F.col("s") >= F.greatest(least, F.lit(1))).select("key", "n", "row"))
     few = wanted.count() <= BROADCAST_ROWS
     ids = wanted.select("row").distinct()
     texts = docs.withColumn("row", row).join(F.broadcast(ids) if few else ids, "row", "left_semi").drop("row")
@@ -120,12 +120,12 @@ def link(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, counts: boo
     # 3: whole sets, tokens that another has, prefixes by rarity
     keys = wanted.select("key").distinct()
     sets = texts.mapInArrow(_whole(k), "key long, n long, parity array<long>, tokens array<long>").join(F.broadcast(keys) if few else keys, "key", "left_semi")
-    sets = sets.checkpoint().withColumn("id", F.monotonically_increasing_id())
+    sets = checkpointed(sets).withColumn("id", F.monotonically_increasing_id())
     tokens = sets.select("id", F.explode("tokens").alias("h"))
     frequent = tokens.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
     shared = tokens.join(frequent, "h").repartition("id").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("own"))
     rest = shared.join(sets.select("id", "key", "n", "parity"), "id").select("key", "n", "parity", F.size("own").cast("long").alias("e"), (F.aggregate("own", F.lit(0).cast("long"), lambda a, x: a + x.df) / F.col("n")).alias("central"), F.transform("own", lambda x: x.h).alias("own"))
-    rest = rest.filter(F.col("e") >= F.ceil(F.col("n") * t - 1e-9)).checkpoint()
+    rest = checkpointed(rest.filter(F.col("e") >= F.ceil(F.col("n") * t - 1e-9)))
     prefix = F.slice("own", F.lit(1), (F.col("e") - F.ceil(F.col("n") * t - 1e-9) + 1).cast("int"))
 
     # 4: groups of one prefix, size and number of shared tokens; their lists
@@ -168,10 +168,10 @@ def link(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, counts: boo
     hubs = posts.groupBy("h").agg(F.max(F.struct("lead", "group", "n", "e", "at")).alias("hub"), F.count("*").alias("m")).filter("m > 1").select("h", "hub.*")
     led = posts.alias("x").join(hubs.alias("y"), "h").filter((F.col("x.group") != F.col("y.group")) & roomy("x", "y")).select(F.col("x.group").alias("group"), F.col("y.lead.key").alias("b"))
     led = led.unionByName(posts.select("group", F.col("lead.key").alias("b"))).distinct()
-    stars = verified(members.join(led, "group").select(F.col("key").alias("a"), "b")).checkpoint()
+    stars = checkpointed(verified(members.join(led, "group").select(F.col("key").alias("a"), "b")))
     label = components(stars).withColumnRenamed("node", "key")
     # Then parts of groups, one for each component in a group, where components differ
-    named = members.join(label, "key", "left").withColumn("label", F.coalesce("label", "key")).withColumn("part", F.xxhash64("group", "label")).checkpoint()
+    named = checkpointed(members.join(label, "key", "left").withColumn("label", F.coalesce("label", "key")).withColumn("part", F.xxhash64("group", "label")))
     dealt = posts.drop("lead").join(named.select("group", "label", "part").distinct(), "group")
     mixed = dealt.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("h")
     dealt = dealt.join(mixed, "h", "left_semi")
@@ -182,7 +182,7 @@ def link(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, counts: boo
     by_key = named_groups.join(least_ids, "label").select("key", "n", "component", "label")
     more = []
     if counts:
-        pairs = all_links().checkpoint()
+        pairs = checkpointed(all_links())
         ends = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         others = ends.join(groups.select(F.col("key").alias("b"), "rows"), "b").groupBy(F.col("a").alias("key")).agg(F.sum("rows").alias("others"))
         n_links = groups.join(others, "key", "left").select("key", "n", (F.coalesce("others", F.lit(0)) + F.col("rows") - 1).alias("n_links"))
@@ -198,7 +198,7 @@ def link_digest(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """``docs`` with one row of each component, the first by doc_id (null last) and hash of the text; rows without words all stay."""
-    linked = link(docs, k, num, den).filter("n > 0").select("label", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash").alias("row")).checkpoint()
+    linked = checkpointed(link(docs, k, num, den).filter("n > 0").select("label", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash").alias("row")))
     first = linked.groupBy("label").agg(F.min("row").alias("kept"))
     gone = linked.join(first, "label").filter("not row <=> kept").select(F.col("row.doc_id").alias("gone_id"), F.col("row.text_hash").alias("gone_hash")).distinct()
     same = lambda other: docs["doc_id"].eqNullSafe(other[f"{other.columns[0]}"]) & (F.xxhash64(docs["text"]) == other[other.columns[1]])
