@@ -36,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brindle.llm.counting import Chunks, packed, with_counts
 from brindle.llm.graph import components
 from brindle.llm.store import checkpointed, shared_folder, stored
 from brindle.llm.words import NOT_SPACE, U, Words, lists, mix, parts
@@ -60,31 +61,51 @@ def _sets(column: pa.Array, k: int):
 
 def _heads(k: int, share: float, carried: list[str]):
     def run(batches):
+        chunks = Chunks()
         for batch in parts(batches):
             count, n, key, first, h = _sets(batch.column("text"), k)
             p = np.minimum(n, np.ceil(share * n).astype(np.int64) + 1)
             start = np.concatenate(([0], np.cumsum(p)))
             take = np.arange(start[-1]) + np.repeat(first[:-1] - start[:-1], p)
-            columns = [batch.column("doc_id"), batch.column("text_hash"), pa.array(count, pa.int64()), pa.array(key), pa.array(n, pa.int64()), lists(start, h[take].view(np.int64), pa.int64())]
+            columns = [batch.column("doc_id"), batch.column("text_hash"), pa.array(count, pa.int64()), pa.array(key), pa.array(n, pa.int64()), chunks.of(p), packed(start, h[take])]
             columns += [batch.column(c) for c in carried]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "n_words", "key", "n", "head", *carried])
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "n_words", "key", "n", "chunk", "tokens", *carried])
 
     return run
 
 
 def _whole(k: int):
     def run(batches):
+        chunks = Chunks()
         for batch in parts(batches):
             _, n, key, first, h = _sets(batch.column("text"), k)
             own = np.repeat(np.arange(len(n)), n)
             parity = np.zeros((len(n), LANES), U)
             np.bitwise_xor.at(parity, (own, ((h >> U(6)) & U(LANES - 1)).astype(np.int64)), U(1) << (h & U(63)))
             lanes = lists(np.arange(len(n) + 1) * LANES, parity.ravel().view(np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n, pa.int64()), lanes, lists(first, h.view(np.int64), pa.int64())], ["key", "n", "parity", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n, pa.int64()), lanes, chunks.of(n), packed(first, h)], ["key", "n", "parity", "chunk", "tokens"])
 
     return run
 
 
+def _common(rows: pa.Table, tokens, first, df) -> pa.Table:
+    """Of each set, how many of its tokens another has too."""
+    seen = np.concatenate(([0], np.cumsum(df > 1)))[first]
+    return pa.Table.from_arrays([rows.column("row"), pa.array(np.diff(seen))], ["row", "s"])
+
+
+def _by_rarity(rows: pa.Table, tokens, first, df) -> pa.Table:
+    """Of each set the tokens that another has too, rarest first, their number, and the sum of their counts a token."""
+    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    several = df > 1
+    doc, tokens, df = doc[several], tokens[several], df[several]
+    order = np.lexsort((tokens, df, doc))
+    start = np.concatenate(([0], np.cumsum(several)))[first]
+    weight = np.bincount(doc, df, len(first) - 1) / np.maximum(np.diff(first), 1)
+    columns = [rows.column("key"), rows.column("n"), rows.column("parity"), pa.array(np.diff(start)), pa.array(weight), lists(start, tokens[order].view(np.int64), pa.int64())]
+    return pa.Table.from_arrays(columns, ["key", "n", "parity", "e", "central", "own"])
+
+
 def needed(a: Column, b: Column, num: int, den: int) -> Column:
     """The least overlap at which sets of sizes a and b reach num / den."""
     return F.ceil((a + b) * num / (num + den) - 1e-9)
@@ -102,16 +123,15 @@ def link(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, counts: boo
     share = 1 - t + SLACK
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"), *(F.col(carry).alias(c) for c in carried))
     row = F.coalesce("doc_id", "text_hash")  # names a row without doc_id too; two that fall together give a candidate more, never one less
-    heads = checkpointed(docs.mapInArrow(_heads(k, share, carried), "doc_id long, text_hash long, n_words long, key long, n long, head array<long>" + ", carried long" * len(carried)))
+    heads = stored(docs.mapInArrow(_heads(k, share, carried), "doc_id long, text_hash long, n_words long, key long, n long, chunk long, tokens binary" + ", carried long" * len(carried)))
     groups = heads.filter("n > 0").groupBy("key", "n").agg(F.min("doc_id").alias("least_id"), F.min(row).alias("row"), F.count("*").alias("rows"))
 
     # 2: sets of which enough smallest hashes stand in another document's
-    posts = heads.filter("n > 0").select(row.alias("row"), F.explode("head").alias("h"))
-    common = posts.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1").select("h")
     n, size = F.col("n"), lambda x: F.least(x, F.ceil(x * share) + 1)
     other = F.floor(n / t + 1e-9)
     least = F.least(F.ceil(n * t - 1e-9) - (n - size(n)), needed(n, other, num, den) - (other - size(other)) - 2)
-    close = posts.join(common, "h").groupBy("row").agg(F.count("*").alias("s"))
+    told = with_counts(heads.filter("n > 0").select("chunk", row.alias("row"), "tokens"), _common, "row long, s long")
+    close = told.groupBy("row").agg(F.sum("s").alias("s"))
     wanted = checkpointed(groups.join(close, "row").filter(F.col("s") >= F.greatest(least, F.lit(1))).select("key", "n", "row"))
     few = wanted.count() <= BROADCAST_ROWS
     ids = wanted.select("row").distinct()
@@ -119,12 +139,8 @@ def link(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, counts: boo
 
     # 3: whole sets, tokens that another has, prefixes by rarity
     keys = wanted.select("key").distinct()
-    sets = texts.mapInArrow(_whole(k), "key long, n long, parity array<long>, tokens array<long>").join(F.broadcast(keys) if few else keys, "key", "left_semi")
-    sets = checkpointed(sets).withColumn("id", F.monotonically_increasing_id())
-    tokens = sets.select("id", F.explode("tokens").alias("h"))
-    frequent = tokens.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
-    shared = tokens.join(frequent, "h").repartition("id").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("own"))
-    rest = shared.join(sets.select("id", "key", "n", "parity"), "id").select("key", "n", "parity", F.size("own").cast("long").alias("e"), (F.aggregate("own", F.lit(0).cast("long"), lambda a, x: a + x.df) / F.col("n")).alias("central"), F.transform("own", lambda x: x.h).alias("own"))
+    sets = texts.mapInArrow(_whole(k), "key long, n long, parity array<long>, chunk long, tokens binary").join(F.broadcast(keys) if few else keys, "key", "left_semi")
+    rest = with_counts(stored(sets), _by_rarity, "key long, n long, parity array<long>, e long, central double, own array<long>")
     rest = checkpointed(rest.filter(F.col("e") >= F.ceil(F.col("n") * t - 1e-9)))
     prefix = F.slice("own", F.lit(1), (F.col("e") - F.ceil(F.col("n") * t - 1e-9) + 1).cast("int"))
 
