@@ -21,8 +21,9 @@ as in step 4 where their components differ; pairs inside one component need no c
 ``counts`` all pairs of groups are expanded, whatever their components, to count links; that
 work grows with the number of links.
 
-Only the group structure is shuffled; counts are made before each shuffle, so a token that a
-third of all documents share is a few rows. Nothing is dropped or sampled.
+Texts are never shuffled. Tokens are counted in packed runs (``counting``), with partial counts
+made before the shuffle, so a token that a third of all documents share is one value for each
+batch of documents. Nothing is dropped or sampled.
 
 A text with fewer words than a shingle has its word sequence as its only element; a null or
 blank text has none and links with nothing. Repeated rows are equal sets. Of a doc_id on several
