@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from brindle.llm import ann, decontam, jaccard, language, licences, lines, packing, pii, secrets, toxicity
+from brindle.llm import ann, codes, decontam, jaccard, language, licences, lines, packing, pii, resample, secrets, tokenfiles, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,12 +54,54 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress_digest(table(spark, sf_dir, "embeddings"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.draw(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfiles.digest(table(spark, sf_dir, "documents"))
+
+
+BUILDERS = (
+    op1_language_id, op2_personal_data, op3_toxicity, op4_secret_scan, op5_licence_scan, op6_best_fit_packing, op7_jaccard_join,
+    op8_line_dedup, op9_decontamination, op10_nearest_neighbours, op11_vector_codes, op12_importance_resampling, op13_token_files,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_language_id, op2_personal_data, op3_toxicity, op4_secret_scan, op5_licence_scan, op6_best_fit_packing, op7_jaccard_join, op8_line_dedup, op9_decontamination, op10_nearest_neighbours)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in BUILDERS}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_licence_scan": op5_sql(), "op7_jaccard_join": OP7, "op8_line_dedup": OP8, "op9_decontamination": OP9}
+    return {
+        "op5_licence_scan": op5_sql(), "op7_jaccard_join": OP7, "op8_line_dedup": OP8, "op9_decontamination": OP9,
+        "op11_vector_codes": op11_sql(), "op12_importance_resampling": OP12,
+    }
+
+
+def op11_sql() -> str:
+    """Every round unrolled: distances of all parts to all entries, the least (distance, index), floored means."""
+    n, parts = codes.ENTRIES, codes.PARTS
+    rounds = []
+    for i in range(codes.ROUNDS + 1):
+        rounds.append(f"""a{i} AS MATERIALIZED (SELECT id, p, any_value(v) AS v, min({{'d': list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 'e': e}}) AS b FROM part JOIN c{i} USING (p) GROUP BY id, p)""")
+        rounds.append(f"""c{i + 1} AS MATERIALIZED (SELECT c.p, c.e, coalesce(n.c, c.c) AS c FROM c{i} c LEFT JOIN (SELECT p, e, list(m ORDER BY k) AS c
+ FROM (SELECT p, e, k, CAST(floor(CAST(sum(x) AS DOUBLE) / count(*)) AS BIGINT) AS m FROM (SELECT p, b.e AS e, unnest(v) AS x, generate_subscripts(v, 1) AS k FROM a{i}) GROUP BY ALL) GROUP BY ALL) n USING (p, e))""")
+    return f"""
+WITH kept AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS id, vec_id, label, list_transform(embedding, lambda x: CAST(floor({codes.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+ FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+part AS MATERIALIZED (SELECT id, p, v[p * len(v) // {parts} + 1 : (p + 1) * len(v) // {parts}] AS v FROM kept, range({parts}) t(p)),
+c0 AS MATERIALIZED (SELECT p, id - 1 AS e, v AS c FROM part WHERE id <= {n}),
+{", ".join(rounds[:-1])},
+done AS (SELECT id, string_agg(printf('%02x', b.e), '' ORDER BY p) AS code, CAST(sum(b.d) AS BIGINT) AS error FROM a{codes.ROUNDS} GROUP BY id)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+ (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) FROM c{codes.ROUNDS}) AS codebooks_sha256
+FROM kept JOIN done USING (id)
+"""
 
 
 def op5_sql() -> str:
@@ -127,3 +169,21 @@ reach AS (SELECT x AS a, y AS b FROM ends UNION SELECT r.a, e.y FROM reach r JOI
 SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, least(doc_id, coalesce(m, doc_id)) AS component_id
 FROM doc LEFT JOIN size USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS m FROM reach GROUP BY a) USING (doc_id)
 """
+
+OP12 = r"""
+WITH t AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, j: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab),
+doc AS MATERIALIZED (SELECT row_number() OVER () AS id, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+item AS (SELECT row_number() OVER () AS id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
+feature AS MATERIALIZED (SELECT id, true AS own, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS f FROM doc
+ UNION ALL SELECT id, false, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM item),
+hexed AS (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM feature)),
+crc AS MATERIALIZED (SELECT f, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(len(h) // 2), lambda i: 16 * (instr('0123456789ABCDEF', h[2 * i + 1]) - 1) + instr('0123456789ABCDEF', h[2 * i + 2]) - 1)),
+ lambda c, b: xor(c >> 8, tab[xor(c, b) % 256 + 1]))) % 10000 AS bucket FROM hexed, t),
+count AS (SELECT bucket, count(*) FILTER (own) AS s, count(*) FILTER (NOT own) AS t FROM feature JOIN crc USING (f) GROUP BY bucket),
+total AS (SELECT CAST(sum(s) AS DOUBLE) AS s, CAST(sum(t) AS DOUBLE) AS t FROM count),
+gain AS (SELECT bucket, CAST(floor(1000 * ln((c.t + 1) * (total.s + 10000) / ((c.s + 1) * (total.t + 10000)))) AS BIGINT) AS g FROM count c, total),
+weight AS (SELECT id, count(*) AS n, CAST(floor(CAST(sum(g) AS DOUBLE) / count(*)) AS BIGINT) AS weight FROM feature JOIN crc USING (f) JOIN gain USING (bucket) WHERE own GROUP BY id),
+scored AS (SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || left(sha256('7:' || doc_id), 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM doc LEFT JOIN weight USING (id)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS r, count(*) OVER (PARTITION BY n_words >= 20) AS n FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND r <= 25 * n // 100 THEN r END AS rank FROM ranked
+"""
