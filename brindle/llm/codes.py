@@ -155,13 +155,14 @@ def _codes(shared, width: int, scale: int, kept: list[str]):
     return run
 
 
-def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id, label, vec of the vectors that take part."""
+def usable(vectors: DataFrame) -> tuple[DataFrame, int]:
+    """vec_id, label, vec of the vectors that take part, and their length."""
     kind = element(vectors)
     own = vectors.select("vec_id", "label", F.col("embedding").cast(f"array<{kind}>").alias("vec"))
     own = own.filter("vec is not null and forall(vec, x -> x is not null and not isnan(x) and abs(x) < 1125899906842624)")
-    width = own.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1)
-    return own.join(F.broadcast(width.select("n")), F.size("vec") == F.col("n"), "left_semi")
+    most = own.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
+    width = most["n"] if most else 0
+    return own.filter(F.size("vec") == width), width
 
 
 @dataclass
@@ -185,11 +186,9 @@ class Codebooks:
         return F.concat(*[F.get(F.get(table, F.lit(p)), at(p)) for p in range(len(self.books))])
 
 
-def _fitted(own: DataFrame, parts: int, entries: int, rounds: int, scale: int) -> tuple[Codebooks, int]:
+def _fitted(own: DataFrame, width: int, parts: int, entries: int, rounds: int, scale: int) -> Codebooks:
     first = own.orderBy(F.col("vec_id").asc_nulls_last(), "vec").limit(entries).select("vec").toArrow().column("vec").combine_chunks()
-    width = len(first[0]) if len(first) else 0
-    edges = cuts(width, parts)
-    start = integers(first, width, scale) if width else np.zeros((len(first), 0), np.int64)
+    edges, start = cuts(width, parts), integers(first, width, scale)
     found = Codebooks([start[:, a:z] for a, z in zip(edges[:-1], edges[1:], strict=True)], scale)
     for _ in range(rounds if width else 0):
         shared = own.sparkSession.sparkContext.broadcast((found.books, found.trees()))
@@ -204,14 +203,14 @@ def _fitted(own: DataFrame, parts: int, entries: int, rounds: int, scale: int) -
         found.books = books
         if same:  # and so would be every later round's
             break
-    return found, width
+    return found
 
 
 def compress(vectors: DataFrame, parts: int = PARTS, entries: int = ENTRIES, rounds: int = ROUNDS, scale: int = SCALE) -> tuple[Codebooks, DataFrame]:
     """The fitted codebooks, and (vec_id, label, code, error) of each vector that takes part."""
     shared_folder(vectors.sparkSession)
-    own = usable(vectors)
-    found, width = _fitted(own, parts, entries, rounds, scale)
+    own, width = usable(vectors)
+    found = _fitted(own, width, parts, entries, rounds, scale)
     shared = own.sparkSession.sparkContext.broadcast((found.books, found.trees()))
     schema = own.select("vec_id", "label").schema.add("code", "string").add("error", "long")
     return found, own.mapInArrow(_codes(shared, width, scale, ["vec_id", "label"]), schema)
