@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from brindle.llm.store import is_small, small, stored
 from brindle.llm.words import NOT_SPACE, U, Words, lists, mix, parts
 
-MIN_WORDS, BUCKETS = 3, 1 << 20
+MIN_WORDS, BUCKETS = 1, 1 << 20
 LEVELS_A_DOUBLING = 4
 #: A star is named by a prefix's first token, or by two least hashes of the whole set under two of these odd factors.
 FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)

@@ -66,7 +66,7 @@ def _numbers(keys: pd.Series, shared_only: bool) -> list[int]:
 
 
 def _pack_shard(capacity: int):
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["n_words", "doc_id", "piece", "source_key", "cluster_key"], ascending=[False, True, True, True, True], kind="stable").reset_index(drop=True)
         rows["bin"] = best_fit(rows["n_words"].tolist(), _numbers(rows["source_key"], True), _numbers(rows["cluster_key"], True), capacity)
         rows["place"] = rows.groupby("bin").cumcount()

@@ -129,7 +129,7 @@ SELECT doc_id, path, coalesce(licence, dir_licence, '') AS licence, CASE WHEN is
 OP8 = r"""
 WITH l AS (SELECT doc_id AS d, CAST(i - 1 AS INT) AS line, list_sort(list_distinct(list_filter(string_split(x[i], ' '), lambda w: w <> ''))) AS ws
            FROM (SELECT doc_id, x, unnest(range(1, len(x) + 1)) AS i FROM (SELECT doc_id, string_split(translate(lower(text), chr(9) || chr(13) || chr(11) || chr(12), '    '), chr(10)) AS x FROM documents WHERE text <> ''))),
-lines AS (SELECT d, line, ws, len(ws) AS n FROM l WHERE len(ws) >= 3),
+lines AS (SELECT d, line, ws, len(ws) AS n FROM l WHERE len(ws) >= 1),
 class AS (SELECT ws, any_value(n) AS n, min((d, line)) AS first FROM lines GROUP BY ws),
 tok AS (SELECT first, n, unnest(ws) AS w FROM class), df AS (SELECT w, count(*) AS df FROM tok GROUP BY w),
 pre AS (SELECT first, n, w FROM tok JOIN df USING (w) QUALIFY row_number() OVER (PARTITION BY first ORDER BY df, w) <= n - ceil(n * 0.8 - 1e-9) + 1),

@@ -3,12 +3,13 @@
 Three plain patterns give the base spans. On top of them, long base64 and hex runs are decoded
 and reported only if what they hold parses as a private key or a signed token:
 
-* DER of a private key, read field by field: RSA (a version and eight integers), DSA (a version
-  and five), PKCS#8 (a version, an algorithm's object identifier, an octet string), its encrypted
-  form (a password scheme's identifier, an octet string), SEC1 (version 1, an octet string, then
-  parameters or a public point); or another sequence that begins with a version and goes on with
-  numbers, octet strings and sequences only, one of them key material. Lengths, nested ones too,
-  must add up to the last byte.
+* DER of a private key, read field by field: RSA (version 0 or 1, then modulus, exponents, primes and
+  the rest, with odd modulus and primes, an odd public exponent, and primes whose bits add up to the
+  modulus's), DSA (version 0 and five numbers that belong together), PKCS#8 (a version, an algorithm's
+  object identifier, an octet string), its encrypted form (a password scheme's identifier, an octet
+  string), SEC1 (version 1, an octet string, then parameters or a public point), or a PKCS#12 container
+  (version 3, content of a PKCS#7 kind, at most a MAC). Lengths, nested ones too, must add up to the
+  last byte. Any other sequence is no key, whatever it holds.
 * An OpenSSH key file, all fields to the end: ciphers, public keys, and a private section whose
   check numbers agree where it isn't encrypted.
 * PEM armour of a private key around such bytes, with line feeds as they are or escaped (as in
@@ -49,8 +50,12 @@ RUN16 = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){32,}(?![0-9A-Fa-f])")
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])ey[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
 PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----")
 #: Key material has so many bytes at least; a version is one of these.
-MATERIAL, VERSIONS = 16, (b"\0", b"\1", b"\2", b"\3")
+MATERIAL, VERSIONS = 16, (b"\0", b"\1")
 INTEGER, BITS, OCTETS, OID, SEQUENCE = 0x02, 0x03, 0x04, 0x06, 0x30
+#: Optional fields 0 and 1.
+CONTEXT = (0xA0, 0xA1, 0x81)
+#: Beginning of the object identifiers of PKCS#7 contents.
+PKCS7 = bytes.fromhex("2a864886f70d0107")
 #: Beginnings of the object identifiers of password-based encryption schemes.
 PASSWORD_SCHEMES = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
 
@@ -113,16 +118,39 @@ def is_private_der(raw: bytes) -> bool:
     if tags == [SEQUENCE, OCTETS]:  # encrypted PKCS#8
         scheme = der_values(fields[0][1])
         return bool(scheme) and scheme[0][0] == OID and scheme[0][1].startswith(PASSWORD_SCHEMES) and len(fields[1][1]) >= MATERIAL
-    if len(fields) < 2 or tags[0] != INTEGER or fields[0][1] not in VERSIONS:
+    if len(fields) < 2 or tags[0] != INTEGER:
         return False
-    if all(t == INTEGER for t in tags):  # RSA has nine numbers or, with more primes, more; DSA six
-        return (len(fields) >= 9 or len(fields) == 6) and len(fields[1][1]) >= MATERIAL and all(v for _, v in fields)
-    if tags[1:3] == [SEQUENCE, OCTETS]:  # PKCS#8
+    version = fields[0][1]
+    if all(t == INTEGER for t in tags):
+        numbers = [int.from_bytes(v, "big", signed=True) for _, v in fields]
+        return all(v for _, v in fields) and min(numbers) >= 0 and (is_rsa(numbers) or is_dsa(numbers))
+    if version in VERSIONS and tags[1:3] == [SEQUENCE, OCTETS] and all(t in CONTEXT for t in tags[3:]):  # PKCS#8
         algorithm = der_values(fields[1][1])
         return bool(algorithm) and algorithm[0][0] == OID and len(fields[2][1]) >= MATERIAL
-    if fields[0][1] == b"\1" and tags[1] == OCTETS and all(t in (0xA0, 0xA1) for t in tags[2:]):  # SEC1
+    if version == b"\1" and tags[1] == OCTETS and len(tags) > 2 and all(t in CONTEXT for t in tags[2:]):  # SEC1
         return len(fields[1][1]) >= MATERIAL
-    return all(t in (INTEGER, OCTETS, SEQUENCE) for t in tags) and any(t in (INTEGER, OCTETS) and len(v) >= MATERIAL for t, v in fields[1:])
+    if version == b"\3" and tags[1:] in ([SEQUENCE], [SEQUENCE, SEQUENCE]):  # PKCS#12
+        content = der_values(fields[1][1])
+        return [t for t, _ in content] == [OID, 0xA0] and content[0][1].startswith(PKCS7) and len(content[1][1]) >= MATERIAL
+    return False
+
+
+def is_rsa(numbers: list[int]) -> bool:
+    """version, modulus, public exponent, private exponent, two primes, two exponents, coefficient; further primes in version 1."""
+    if len(numbers) < 9 or numbers[0] not in (0, 1) or (numbers[0] == 0) != (len(numbers) == 9):
+        return False
+    modulus, public, private, p, q = numbers[1:6]
+    odd = modulus & public & p & q & 1
+    whole = numbers[0] == 1 or 0 <= p.bit_length() + q.bit_length() - modulus.bit_length() <= 1
+    return bool(odd) and modulus.bit_length() >= 8 * MATERIAL and 3 <= public < modulus and 1 < private < modulus and whole
+
+
+def is_dsa(numbers: list[int]) -> bool:
+    """version, prime, a prime that divides the one less, generator, public and private value."""
+    if len(numbers) != 6 or numbers[0] != 0:
+        return False
+    p, q, g, y, x = numbers[1:]
+    return bool(p & q & 1) and p.bit_length() >= 8 * MATERIAL and 1 < q < p and (p - 1) % q == 0 and 1 < g < p and 0 < y < p and 0 < x < q
 
 
 def is_openssh(raw: bytes) -> bool:

@@ -135,7 +135,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clea
     draw = F.xxhash64(F.lit("toxicity"), "doc_id")
     picked = [marks.filter(F.col("toxic") == v).orderBy(draw, "doc_id").limit(n) for v, n in ((1, max_toxic), (0, max_clean))]
     ids = picked[0].unionByName(picked[1])  # bounded by max_toxic + max_clean rows
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).collect()
+    own = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id")  # of rows of one id always the same
+    rows = own.agg(F.first("toxic").alias("toxic"), F.min(F.struct(F.xxhash64("text"), "text")).alias("x")).select("doc_id", "toxic", "x.text").collect()
     rows.sort(key=lambda r: r["doc_id"])
     return train([r["text"] for r in rows if r["toxic"]], [r["text"] for r in rows if not r["toxic"]])
 

@@ -22,7 +22,6 @@ ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80,
 
 STEP = 1 << 20
 _R = 0x9E3779B97F4A7C15
-_powers = np.ones(1, U)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -32,13 +31,22 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(31))
 
 
+def _at(place: np.ndarray, byte: np.ndarray) -> np.ndarray:
+    """64 bits for a byte at a place of its word, without arithmetic between the bytes' values.
+
+    A word's hash is a sum of these. A polynomial in the bytes would not do: modulo 2^64 it is equal, in any
+    odd base, for words of 1024 letters and more whose letters follow the Thue-Morse sequence and its complement.
+    """
+    return mix(((place.astype(U) << U(8)) | byte.astype(U)) + U(_R))
+
+
+PLACES = 64
+_FIRST = _at(*np.divmod(np.arange(PLACES * 256), 256))
+
+
 def powers(n: int) -> np.ndarray:
-    global _powers
-    if len(_powers) < n:
-        _powers = np.full(max(n, 256), _R, U)
-        _powers[0] = 1
-        _powers = np.multiply.accumulate(_powers)
-    return _powers
+    """Odd factors for the words of a short run, whose own hashes are mixed already."""
+    return np.multiply.accumulate(np.append(np.ones(1, U), np.full(n - 1, _R, U)))
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -101,8 +109,11 @@ class Words:
         first = np.searchsorted(inside, start)
         length = np.diff(np.append(first, len(inside)))
         place = np.arange(len(inside)) - np.repeat(first, length)
-        p = powers(int(length.max()) + 1)
-        h = np.add.reduceat((low[inside].astype(U) + U(1)) * p[place + 1], first)
+        byte = low[inside]
+        value = _FIRST[np.minimum(place, PLACES - 1) << 8 | byte]
+        if len(far := np.flatnonzero(place >= PLACES)):
+            value[far] = _at(place[far], byte[far])
+        h = np.add.reduceat(value, first)
         return mix(h + length.astype(U) * U(0xD6E8FEB86659FD93)), start
 
     def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:

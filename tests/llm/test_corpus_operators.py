@@ -81,7 +81,7 @@ def test_graph_of_a_long_path(spark):
     assert graph.components(edges.filter("false")).count() == 0
 
 
-def brute_lines(rows, num=80, den=100, least=3):
+def brute_lines(rows, num=80, den=100, least=1):
     known, inverted, sizes, gone = set(), defaultdict(list), [], defaultdict(list)
     for doc, text in rows:
         for i, line in enumerate((text or "").split("\n")):
