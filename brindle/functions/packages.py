@@ -153,6 +153,22 @@ def shared_parts(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(F.split(a, "/"), F.split(b, "/")))
 
 
+def source_candidates(path: Column) -> Column:
+    """What a scanned path may be called in the source tree, in the order to be tried: array of struct (how, candidate), candidate null where the rule doesn't apply.
+
+    ``checkout``: what follows the two folders of a build machine's work folder; ``workflow``: a workflow file with its
+    dot put back; ``relative``: a path that is relative already; ``name``: the last part; ``end``: the last two, then three parts.
+    """
+    parts = F.split(path, "/", -1)
+    work = F.split(F.substring_index(path, "/runner/work/", -1), "/", -1)
+    checkout = F.when(F.contains(path, F.lit("/runner/work/")) & (F.size(work) >= 3), F.array_join(F.slice(work, 3, F.greatest(F.size(work), F.lit(1))), "/"))
+    inner = F.when(F.contains(path, F.lit("/github/workflows/")), F.concat(F.lit(".github/workflows/"), F.substring_index(path, "/github/workflows/", -1)))
+    workflow = F.coalesce(inner, F.when(F.startswith(path, F.lit("github/workflows/")), F.concat(F.lit("."), path)))
+    last = lambda n: F.when(F.size(parts) > n, F.array_join(F.slice(parts, -n, n), "/"))
+    rules = [("checkout", checkout), ("workflow", workflow), ("relative", F.when(~F.startswith(path, F.lit("/")), path)), ("name", F.substring_index(path, "/", -1)), ("end", last(2)), ("end", last(3))]
+    return F.array(*[F.struct(F.lit(how).alias("how"), F.when(c != "", c).alias("candidate")) for how, c in rules])
+
+
 def framework(path: Column) -> Column:
     """Framework or technology by a path."""
     low = F.lower(path)
@@ -160,7 +176,10 @@ def framework(path: Column) -> Column:
     return F.coalesce(*[F.when(low.rlike(p), F.lit(n)) for n, p in tests], F.lit("generic"))
 
 
+PLACEHOLDER = r"\{[^/}]+\}|:[^/]+"
+
+
 def route_pattern(route: Column) -> Column:
     """A regex for a route in which ``{name}`` and ``:name`` stand for one part of a path each."""
     quoted = F.regexp_replace(route, r"([.+*?^$()|\[\]\\])", r"\\$1")
-    return F.concat(F.lit("^"), F.regexp_replace(quoted, r"\{[^/}]+\}|:[^/]+", "[^/]+"), F.lit("$"))
+    return F.concat(F.lit("^"), F.regexp_replace(quoted, PLACEHOLDER, "[^/]+"), F.lit("$"))

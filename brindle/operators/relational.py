@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from brindle.functions.packages import route_pattern
+from brindle.functions.packages import PLACEHOLDER, route_pattern, source_candidates
 from brindle.functions.severity import ORDER
+from brindle.operators.search import mentions
 from brindle.schemas import parsed
 from brindle.storage import cut, small
 
@@ -57,10 +58,11 @@ def fatal_lookup(df: DataFrame, dictionary: DataFrame, key: str, value: str) ->
 def newest_mention(advisories: DataFrame, releases: DataFrame) -> DataFrame:
     """Of each advisory (id, keywords array) the newest release (tag, body, published) whose text holds one of its keywords.
 
-    The distinct keywords are the small side: they are broadcast to the releases, whose texts stay where they are and are searched once for each.
+    All keywords are looked for in one pass over the releases' texts, which stay where they are.
     """
-    words = small(advisories.select(F.explode("keywords").alias("k")).select(F.lower("k").alias("k")).distinct(), needed=True)
-    found = releases.withColumn("body", F.lower("body")).join(words, F.contains("body", F.col("k"))).groupBy("k").agg(F.max(F.struct("published", "tag")).alias("m"))
+    words = advisories.select(F.explode("keywords").alias("k")).select(F.lower("k").alias("k"))
+    lowered = releases.select("published", "tag", F.lower("body").alias("body"))
+    found = mentions(lowered, "body", words, ["published", "tag"]).groupBy("k").agg(F.max(F.struct("published", "tag")).alias("m"))
     matched = advisories.select("id", F.explode("keywords").alias("k")).select("id", F.lower("k").alias("k")).join(found, "k").groupBy("id").agg(F.max("m").alias("m"))
     return advisories.join(matched, "id", "left").select(advisories["*"], F.col("m.tag").alias("release"), F.col("m.published").alias("released_at"))
 
@@ -69,7 +71,7 @@ def holding(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id) for each document (doc_id, text) whose text holds an item (item_id, item) as it is written.
 
     Where a document holds an item, it has the words between the item's first and last blank as words too. So the longest of these is the
-    key of a join; only documents that have it are searched for the item. Items without such a word are searched for in all, and must be small.
+    key of a join; only documents that have it are searched for the item. Items without such a word are searched for in all, in one pass.
     """
     inner = F.filter(F.slice(F.split("item", " "), F.lit(2), F.greatest(F.size(F.split("item", " ")) - 2, F.lit(0))), lambda w: w != "")
     keyed = items.withColumn("word", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w), w.alias("w")))).w)
@@ -78,15 +80,34 @@ def holding(docs: DataFrame, items: DataFrame) -> DataFrame:
     near = small(cut(near))
     searched = docs.join(near, docs["doc_id"].eqNullSafe(near["near_id"])).join(small(items.select(F.col("item_id").alias("own_id"), "item")), F.col("item_id") == F.col("own_id"))
     found = searched.filter(F.contains("text", F.col("item"))).select("doc_id", "item_id")
-    rest = keyed.filter("word is null and item is not null").select("item_id", "item")
-    return found.unionByName(docs.join(small(rest, needed=True), F.contains("text", "item")).select("doc_id", "item_id")).distinct()
+    rest = keyed.filter("word is null and item is not null").select("item_id", F.col("item").alias("k"))
+    short = mentions(docs, "text", rest, ["doc_id"]).join(small(rest), "k").select("doc_id", "item_id")
+    return found.unionByName(short).distinct()
+
+
+def _kept_parts(route: Column) -> Column:
+    """The places (from 0) of a route's parts without a placeholder."""
+    parts = F.split(route, "/", -1)
+    plain = F.transform(parts, lambda p, i: F.when(F.regexp_replace(p, PLACEHOLDER, "") == p, i))
+    return F.array_compact(plain)
 
 
 def match_routes(paths: DataFrame, routes: DataFrame) -> DataFrame:
-    """Of each distinct ``path`` the route that equals it, else that whose pattern fits; of several the shortest, then the first in the alphabet."""
-    distinct = paths.select("path").distinct()
-    listed = small(routes.select("route").distinct().withColumn("pattern", route_pattern(F.col("route"))), needed=True)
-    fits = distinct.join(listed, (F.col("path") == F.col("route")) | F.expr("path rlike pattern"))
+    """Of each distinct ``path`` the route that equals it, else that whose pattern fits; of several the shortest, then the first in the alphabet.
+
+    A route can only fit a path of as many parts that has the route's plain parts at the same places. Routes differ
+    in few sets of such places (their shapes), so a path has a key for each shape of its number of parts, and meets
+    the routes of that key only. The pattern is tried on what has met.
+    """
+    parts = lambda c: F.split(c, "/", -1)
+    key = lambda c, places: F.to_json(F.transform(places, lambda p: F.get(parts(c), p)))
+    shape = [F.size(parts("route")).alias("n"), _kept_parts(F.col("route")).alias("places")]
+    listed = routes.select("route").filter("route is not null").distinct().select("route", *shape)
+    keyed = listed.withColumn("key", key("route", F.col("places"))).withColumn("pattern", route_pattern(F.col("route")))
+    shapes = small(listed.select("n", "places").distinct())
+    distinct = paths.select("path").filter("path is not null").distinct().withColumn("n", F.size(parts("path")))
+    asked = distinct.join(shapes, "n").withColumn("key", key("path", F.col("places")))
+    fits = asked.join(small(keyed), ["n", "places", "key"]).filter((F.col("path") == F.col("route")) | F.expr("path rlike pattern"))
     best = fits.groupBy("path").agg(F.min(F.struct((F.col("path") != F.col("route")).alias("by_pattern"), F.length("route").alias("n"), "route")).alias("b"))
     return paths.join(best, "path", "left").select(paths["*"], F.col("b.route").alias("route"))
 
@@ -100,6 +121,31 @@ def best_source(scans: DataFrame, files: DataFrame) -> DataFrame:
     return scans.join(best, "path", "left").select(scans["*"], F.col("b.file").alias("file"))
 
 
+def suffixes(path: str | Column) -> Column:
+    """The ends of a path by whole parts, the longest first."""
+    parts = F.split(path, "/", -1)
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
+
+
+def resolve_sources(scans: DataFrame, files: DataFrame) -> DataFrame:
+    """Of each scanned ``path`` the source ``file``, and by which rule (how) it was found.
+
+    The candidates that ``source_candidates`` makes of a path are tried in order for a file of exactly that path; how is the
+    number of the first that there is. Otherwise it is the file that shares the longest end of whole parts with the path, one
+    at least (how is 'suffix'); of several the shortest, then the first in the alphabet. Neither is null.
+
+    Each end of any file's path stands for its best file only, so a name that a great many files have is one row.
+    """
+    paths = scans.select("path").filter("path is not null").distinct()
+    own = files.select("file").filter("file is not null").distinct()
+    direct = paths.select("path", F.posexplode(source_candidates(F.col("path"))).alias("at", "x"))
+    direct = direct.filter("x.candidate is not null").select("path", "at", F.col("x.how").alias("how"), F.col("x.candidate").alias("file")).join(own, "file")
+    ends = own.select("file", F.explode(suffixes("file")).alias("end")).groupBy("end").agg(F.min(F.struct(F.length("file").alias("n"), "file")).file.alias("file"))
+    near = paths.select("path", F.posexplode(suffixes("path")).alias("at", "end")).filter("end <> ''").join(ends, "end").select("path", (F.col("at") + 1000).alias("at"), F.lit("suffix").alias("how"), "file")
+    best = direct.select("path", "at", "how", "file").unionByName(near).groupBy("path").agg(F.min(F.struct("at", "how", "file")).alias("b"))
+    return scans.join(best, "path", "left").select(scans["*"], F.col("b.file").alias("file"), F.col("b.how").alias("how"))
+
+
 def orphans(children: DataFrame, parents: DataFrame, key: str) -> DataFrame:
     """Children whose parent is missing."""
     return children.join(parents.select(key).distinct(), key, "left_anti")
