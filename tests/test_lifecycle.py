@@ -33,13 +33,13 @@ def replay(rows, until):
 
 def run(spark, folder, parts):
     with state_in_rocksdb(spark):
-        for i, part in enumerate(parts):
+        for part in parts:
             rows = [(k, q, e, BEGIN + dt.timedelta(seconds=s)) for k, q, e, s in part]
             spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(f"{folder}/in")
             stream = jobs.new_files(spark, f"{folder}/in", spark.createDataFrame([], SCHEMA).schema)
-            jobs.run_available(key_life(stream, GRACE, ROTATION, RETENTION, f"{LATE} seconds"), f"{folder}/out{i}", f"{folder}/checkpoint")
+            jobs.run_available(key_life(stream, GRACE, ROTATION, RETENTION, f"{LATE} seconds"), f"{folder}/out", f"{folder}/checkpoint")
     begin = int(BEGIN.replace(tzinfo=dt.timezone.utc).timestamp())
-    found = [r for i in range(len(parts)) for r in spark.read.parquet(f"{folder}/out{i}").collect()]
+    found = spark.read.parquet(f"{folder}/out").collect()
     return sorted(((r["key_id"], r["us"] / 1e6 - begin, r["before"], r["after"], r["cause"]) for r in found), key=str)
 
 
