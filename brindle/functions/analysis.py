@@ -85,13 +85,16 @@ def merged(baseline: Column, enhanced: Column, similar: Column, index_size: Colu
     return F.struct(baseline.alias("baseline"), enhanced.alias("enhanced"), about.alias("about"))
 
 
-def summary(results: DataFrame) -> DataFrame:
-    """In one row how many analyses went well and failed, counts by severity and tool of the good ones, and the ids of the severe ones in order. ``results`` has status, severity, tool, id.
+def summary(results: DataFrame, most: int = 1000) -> DataFrame:
+    """In one row how many analyses went well and failed, counts by severity and tool of the good ones, how many are severe and the first ``most`` ids of these in order.
 
-    Counts are made by severity and tool first, so the one row gathers as many entries as there are of these; ids of severe findings are gathered as the report lists them all.
+    ``results`` has status, severity, tool, id. Counts are made by severity and tool first, so the one row gathers as many entries as there are
+    of these; each task hands on ``most`` ids of severe findings at most.
     """
     good = results.filter("status = 'success'").withColumn("severity", F.coalesce("severity", F.lit("UNKNOWN"))).withColumn("tool", F.coalesce("tool", F.lit("unknown")))
-    totals = results.agg(F.count("*").alias("n"), F.count_if(F.col("status") == "success").alias("ok"), F.count_if(F.col("status") == "error").alias("failed"))
+    severe = F.col("severity").isin("HIGH", "CRITICAL", "ERROR")
+    ok = F.col("status") == "success"
+    totals = results.agg(F.count("*").alias("n"), F.count_if(ok).alias("ok"), F.count_if(F.col("status") == "error").alias("failed"), F.count_if(ok & severe).alias("n_severe"))
     gathered = lambda c: good.groupBy(c).agg(F.count("*").alias("n")).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(c, "n")))).alias(f"by_{c}"))
-    severe = good.filter(F.col("severity").isin("HIGH", "CRITICAL", "ERROR")).agg(F.sort_array(F.collect_list("id")).alias("severe"))
-    return totals.join(F.broadcast(gathered("severity"))).join(F.broadcast(gathered("tool"))).join(F.broadcast(severe))
+    first = good.filter(severe).orderBy("id").limit(most).agg(F.sort_array(F.collect_list("id")).alias("severe"))
+    return totals.join(F.broadcast(gathered("severity"))).join(F.broadcast(gathered("tool"))).join(F.broadcast(first))

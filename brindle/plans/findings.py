@@ -78,7 +78,7 @@ def analysis_summary(spark, d):
     level = F.when(F.col("value") >= 90, "HIGH").when(F.col("value") >= 20, "LOW")
     rows = table(spark, d, "events").select(F.when(F.col("event_type") == "error", "error").otherwise("success").alias("status"), level.alias("severity"), F.col("event_type").alias("tool"), F.col("event_id").cast("string").alias("id"))
     said = lambda c: F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat_ws("=", e.key, e.value)), ",").alias(c)
-    return analysis.summary(rows).select("n", "ok", "failed", said("by_severity"), said("by_tool"), F.size("severe").cast("long").alias("n_severe"))
+    return analysis.summary(rows).select("n", "ok", "failed", said("by_severity"), said("by_tool"), "n_severe")
 
 
 @query("""

@@ -191,7 +191,7 @@ def corpus_files(spark, d) -> DataFrame:
     """path, content of two files for each document: every fifth without its good one, every seventh in Latin-1."""
     docs = table(spark, d, "documents").filter("text is not null")
     name = lambda side: F.format_string("/data/CWE-%d/%s/%s_%d", F.col("doc_id") % 9, F.element_at(F.array(*map(F.lit, ("py", "rs", "Other"))), (F.col("doc_id") % 3 + 1).cast("int")), F.lit(side), F.col("doc_id"))
-    ascii_only = F.regexp_replace(F.left("text", F.lit(600_000)), r"[^\x00-\x7F]", "?")
+    ascii_only = F.regexp_replace("text", r"[^\x00-\x7F]", "?")
     body = F.when(F.col("doc_id") % 7 == 0, F.encode(F.concat(ascii_only, F.lit("é")), "ISO-8859-1")).otherwise(F.encode(ascii_only, "UTF-8"))
     bad = docs.select(name("bad").alias("path"), body.alias("content"))
     return bad.unionByName(docs.filter("doc_id % 5 <> 0").select(name("good").alias("path"), F.encode(F.concat(F.lit("ok "), "doc_id"), "UTF-8").alias("content")))

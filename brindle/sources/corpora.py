@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle import schemas
@@ -46,11 +46,12 @@ def newest_releases(found: DataFrame, newest: int = 10) -> DataFrame:
     return found.orderBy(F.desc("published_at"), "tag_name").limit(newest)
 
 
-# Suffixes of source files with routes, and what their routes' handlers are called.
-HANDLERS = {".kt": "kotlin_ktor", ".ts": "typescript_express"}
-#: A call of a method's name whose first argument is a quoted path; in TypeScript on an application or router, and followed by another argument.
-VERB = r"(get|post|put|delete|patch)"
-ROUTE_CALLS = {".kt": rf"\b{VERB}\s*\(\s*\"([^\"]*)\"\s*\)", ".ts": rf"\b(?:app|router)\s*\.\s*{VERB}\s*\(\s*[\"']([^\"']*)[\"']\s*,"}
+# Methods of routes, and of source files by suffix: what their routes' handlers are called, whose calls they are (any
+# receiver's where none is named), which quotes a path may have, and what follows it.
+METHODS = ["get", "post", "put", "delete", "patch"]
+ROUTING = {".kt": ("kotlin_ktor", None, "\"", ")"), ".ts": ("typescript_express", ["app", "router"], "\"'", ",")}
+#: Opening brackets that a call's first argument may hold, and one more.
+BRACKETS = 8
 
 
 def routes(spark: SparkSession, folder: str) -> DataFrame:
@@ -59,14 +60,36 @@ def routes(spark: SparkSession, folder: str) -> DataFrame:
     return routes_in(files.select(F.col("_metadata.file_path").alias("file"), "value"))
 
 
+def _calls(line: Column) -> Column:
+    """What stands before and after each opening bracket of a line: array of struct (before, after)."""
+    pieces = F.split(line, r"\(", -1)
+    calls = F.transform(pieces, lambda p, i: F.struct(F.rtrim(p).alias("before"), F.ltrim(F.array_join(F.slice(pieces, i + 2, BRACKETS), "(")).alias("after")))
+    return F.slice(calls, 1, F.size(pieces) - 1)
+
+
+def _route(call: Column, receivers: list[str] | None, quotes: str, then: str) -> Column:
+    """struct (method, path) of a call of a method's name with a quoted path that isn't empty and is followed by ``then``; else null."""
+    name = F.regexp_extract(call.before, r"[\w.\s]*$", 0)
+    method, receiver = F.trim(F.substring_index(name, ".", -1)), F.trim(F.substring_index(F.substring_index(name, ".", -2), ".", 1))
+    method = F.element_at(F.split(method, r"\s+"), -1)
+    receiver = F.element_at(F.split(receiver, r"\s+"), -1)
+    quote = F.left(call.after, F.lit(1))
+    path = F.call_function("substring_index", F.substr(call.after, F.lit(2)), quote, F.lit(1))
+    rest = F.ltrim(F.substr(call.after, F.length(path) + 3))
+    fits = method.isin(METHODS) & quote.isin(*quotes) & (path != "") & F.startswith(rest, F.lit(then))
+    if receivers:
+        fits &= F.contains(name, F.lit(".")) & receiver.isin(receivers)
+    return F.when(fits, F.struct(F.upper(method).alias("method"), path.alias("path")))
+
+
 def routes_in(files: DataFrame) -> DataFrame:
-    """Method, path, file, line (from 1) and handler of each route in ``files`` (file, value)."""
+    """Method, path, file, line (from 1) and handler of each route in ``files`` (file, value): calls within a line, found bracket by bracket."""
     lines = files.select("file", F.posexplode(F.split("value", "\n")).alias("at", "body"))
     out = []
-    for suffix, call in ROUTE_CALLS.items():
-        own = lines.filter(F.endswith("file", F.lit(suffix)))
-        both = F.arrays_zip(F.regexp_extract_all("body", F.lit(call), F.lit(1)).alias("method"), F.regexp_extract_all("body", F.lit(call), F.lit(2)).alias("path"))
-        out.append(own.select("file", "at", F.inline(both)).select(F.upper("method").alias("method"), "path", "file", (F.col("at") + 1).alias("line"), F.lit(HANDLERS[suffix]).alias("handler")))
+    for suffix, (handler, receivers, quotes, then) in ROUTING.items():
+        found = F.array_compact(F.transform(_calls(F.col("body")), lambda c: _route(c, receivers, quotes, then)))  # noqa: B023
+        own = lines.filter(F.endswith("file", F.lit(suffix)) & F.contains("body", F.lit("(")))
+        out.append(own.select("file", "at", F.inline(found)).select("method", "path", "file", (F.col("at") + 1).alias("line"), F.lit(handler).alias("handler")))
     return out[0].unionByName(out[1])
 
 
