@@ -8,6 +8,8 @@ from brindle.functions.tokens import with_token_counts
 from brindle.operators import changes, evaluation, relational, shards
 from brindle.operators.search import mentions
 from brindle.plans.base import query, table
+from brindle.sources import databases
+from brindle.storage import cut, scratch
 
 MOST_TOKENS = 2048
 TARGET = 200_000
@@ -150,3 +152,17 @@ def resolved_sources(spark, d):
         .when(k % 4 == 2, F.format_string("web/%s/index.ts", "a")).otherwise(F.format_string("src/%s/%s.kt", "b", "a"))
     )
     return relational.resolve_sources(parts.select("p_partkey", path.alias("path")), parts.filter("p_partkey % 5 <> 2").select(file.alias("file")))
+
+
+@query("""
+SELECT o_orderstatus, count(*) AS n, min(o_orderkey) AS first_key, max(o_orderkey) AS last_key, count(DISTINCT c_nationkey) AS nations
+FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 100000 AND o_orderstatus IN ('F', 'O') GROUP BY o_orderstatus
+""")
+def database_orders(spark, d):
+    """Orders written to database files and read from them, with the conditions left to the files, joined to customers."""
+    orders = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").cast("long").alias("o_custkey"), "o_orderstatus", F.col("o_totalprice").cast("double").alias("o_totalprice"))
+    paths = databases.write_tables(orders, scratch(spark), "orders")
+    with databases.pushing_down(spark):
+        read = cut(databases.read_tables(spark, paths, "orders", orders.schema).filter("o_totalprice > 100000 and o_orderstatus in ('F', 'O')"))
+    joined = read.join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return joined.groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first_key"), F.max("o_orderkey").alias("last_key"), F.count_distinct("c_nationkey").alias("nations"))
