@@ -16,9 +16,11 @@ Vectors of equal content are one point of the index that stands for its 21 small
 can matter to a result of 20), so a vector that a third of the rows share neither fills a leaf
 nor is searched for more than once. Leaves are handed out in subtrees, and a subtree that is
 larger than ``GROUP_ROWS`` is dealt over several groups, each of which the queries visit.
-Queries are dealt by a hash to blocks of about ``GROUP_QUERIES``, and each block has groups of its
-own, so neither side of a group grows with the table. In a group only the leaves that a query
-asks for are multiplied with it.
+Queries are dealt to blocks of about ``QUERY_NUMBERS`` components, neighbouring leaves of the first tree
+together, so that a block's queries ask for much the same; a leaf of more queries is several blocks by a
+hash. Each block has groups of its own, so neither side of a group grows with the table, and a subtree's
+vectors are sent once to each block that asks for it, and to no other. In a group only the leaves that a
+query asks for are multiplied with it.
 
 Vectors that are null, zero, or hold null or non-finite components take no part; nor do vectors
 of another length than most, which have no inner product with these. Equal rows count once; of
@@ -36,13 +38,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.store import shared_folder
+from brindle.llm.store import shared_folder, small, stored
+from brindle.llm.words import mix
 
 TREES, LEAF_ROWS, SAMPLE = 6, 128, 20_000
 #: The share of neighbours to be found, and sample rows whose neighbours are looked up for the fit.
 RECALL, PROBES = 0.94, 256
-#: The least rows of the sample in a leaf, the levels of a subtree, and rows and queries of a group.
-LEAST, SUBTREE, GROUP_ROWS, GROUP_QUERIES = 8, 4, 32_768, 4096
+#: The least rows of the sample in a leaf, the levels of a subtree, rows of a group, and components of all its queries.
+LEAST, SUBTREE, GROUP_ROWS, QUERY_NUMBERS = 8, 4, 32_768, 1 << 21
 #: Queries whose scores with a group's rows are held at a time.
 TILE = 128
 
@@ -199,11 +202,39 @@ def _place(forest: Forest, chunks: int):
     return run
 
 
-def _route(forest: Forest, chunks: int):
+def _homes(forest: Forest):
     def run(batches):
         for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(forest.leaves(matrix(batch.column("vec")))[:, 0])], ["home"])
+
+    return run
+
+
+def deal(counts: dict[int, int], leaves: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first block, number of blocks) of each leaf's queries: leaves in order share blocks of up to ``size`` queries, a leaf of more has its own."""
+    first, many = np.zeros(leaves, np.int64), np.ones(leaves, np.int64)
+    block, held = 0, 0
+    for leaf in range(leaves):
+        n = counts.get(leaf, 0)
+        if held and held + n > size:
+            block, held = block + 1, 0
+        first[leaf] = block
+        if n > size:
+            many[leaf] = -(-n // size)
+            block, held = block + int(many[leaf]), 0
+        else:
+            held += n
+    return first, many
+
+
+def _route(forest: Forest, chunks: int, first: np.ndarray, many: np.ndarray):
+    def run(batches):
+        for batch in batches:
+            x = matrix(batch.column("vec"))
+            home = forest.leaves(x)[:, 0]
+            block = pa.array(first[home] + (mix(batch.column("rep").to_numpy().astype(np.uint64)) % many[home].astype(np.uint64)).astype(np.int64))
             tree, part, query, leaves = [], [], [], []
-            for i, found in enumerate(forest.search(matrix(batch.column("vec")))):
+            for i, found in enumerate(forest.search(x)):
                 by: dict[tuple[int, int], list[int]] = {}
                 for t, leaf in found:
                     by.setdefault((t, leaf >> SUBTREE), []).append(leaf)
@@ -211,7 +242,7 @@ def _route(forest: Forest, chunks: int):
                     for c in range(chunks):
                         tree.append(t), part.append(sub * chunks + c), query.append(i), leaves.append(own)
             at = pa.array(query, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(tree, pa.int32()), pa.array(part, pa.int64()), *[batch.column(c).take(at) for c in ("block", "rep", "vec")], pa.array(leaves, pa.list_(pa.int64()))], ["tree", "part", "block", "query", "vec", "leaves"])
+            yield pa.RecordBatch.from_arrays([pa.array(tree, pa.int32()), pa.array(part, pa.int64()), block.take(at), *[batch.column(c).take(at) for c in ("rep", "vec")], pa.array(leaves, pa.list_(pa.int64()))], ["tree", "part", "block", "query", "vec", "leaves"])
 
     return run
 
@@ -248,7 +279,7 @@ def _rank(k: int):
     return run
 
 
-def nearest(vectors: DataFrame, queries: str, k: int = 20, recall: float = RECALL, trees: int = TREES, leaf_rows: int = LEAF_ROWS, sample: int = SAMPLE, group_queries: int = GROUP_QUERIES) -> DataFrame:
+def nearest(vectors: DataFrame, queries: str, k: int = 20, recall: float = RECALL, trees: int = TREES, leaf_rows: int = LEAF_ROWS, sample: int = SAMPLE, group_queries: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: for each row of ``vectors`` (vec_id, embedding) that meets the SQL condition ``queries``, its k nearest others found.
 
     ``recall`` of the sample's neighbours are to be found; 1 searches everything.
@@ -267,11 +298,13 @@ def nearest(vectors: DataFrame, queries: str, k: int = 20, recall: float = RECAL
     asked = own.join(found, "vec").select(F.col("vec_id").alias("query_id"), F.col("rep").alias("query")).distinct()
     placed = found.select("rep", "vec").mapInArrow(_place(forest, chunks), f"tree int, part long, leaf long, rep long, vec array<{kind}>")
     reps = asked.select(F.col("query").alias("rep")).distinct()
-    blocks = max(1, -(-reps.count() // group_queries))
-    wanted = found.join(reps, "rep", "left_semi").select("rep", "vec", F.pmod(F.xxhash64(F.lit("block"), "rep"), F.lit(blocks)).alias("block"))
-    routed = wanted.mapInArrow(_route(forest, chunks), f"tree int, part long, block long, query long, vec array<{kind}>, leaves array<long>")
-    placed = placed.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    wanted = found.join(reps, "rep", "left_semi").select("rep", "vec")
+    size = group_queries or max(1, QUERY_NUMBERS // max(1, rows.shape[1]))
+    homes = wanted.select("vec").mapInArrow(_homes(forest), "home long").groupBy("home").count().collect()  # at most a row for each leaf
+    first, many = deal({r["home"]: r["count"] for r in homes}, 2**depth, size)
+    routed = stored(wanted.mapInArrow(_route(forest, chunks, first, many), f"tree int, part long, block long, query long, vec array<{kind}>, leaves array<long>"))
     key = ["tree", "part", "block"]
+    placed = placed.join(small(stored(routed.select(*key).distinct())), ["tree", "part"]).select(*key, "leaf", "rep", "vec")
     scored = placed.groupBy(*key).cogroup(routed.groupBy(*key)).applyInPandas(_rank(k), "query long, found array<struct<score:double,neg:long>>")
     best = F.sort_array(F.array_distinct(F.flatten(F.collect_list("found"))), asc=False)
     near = scored.groupBy("query").agg(F.slice(best, 1, k + 1).alias("found")).select("query", F.explode("found").alias("x")).select("query", (-F.col("x.neg")).alias("rep"), "x.score")

@@ -49,3 +49,31 @@ def test_recall_and_share_of_rows_scored():
             recall.append(np.mean([any((t, leaf[i, t]) in taken for t in range(len(forest.normals))) for i in near]))
         assert np.mean(recall) >= 0.9
         assert ann.search_share(forest, x, asked) <= most
+
+
+def test_blocks_are_bounded_and_local():
+    rng = np.random.default_rng(6)
+    counts = {int(i): int(n) for i, n in enumerate(rng.integers(0, 30, 64)) if n} | {7: 500}
+    first, many = ann.deal(counts, 64, 40)
+    held: dict[int, int] = {}
+    for leaf in range(64):
+        for b in range(int(many[leaf])):
+            held[int(first[leaf]) + b] = held.get(int(first[leaf]) + b, 0) + counts.get(leaf, 0) // int(many[leaf])
+    assert max(held.values()) <= 40 and many[7] == 13 and (np.diff(first) >= 0).all()
+    assert set(range(int(first[7]), int(first[7] + 13))).isdisjoint({int(f) for i, f in enumerate(first) if i != 7 and counts.get(i)})
+    assert ann.deal({}, 1, 10)[1].tolist() == [1]
+
+
+def test_clustered_queries_ask_for_few_parts():
+    """Of the subtrees times blocks, what share a block asks for: that many times a vector is sent, of at most the number of blocks a tree."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 64)) * 3
+    x = centres[rng.integers(0, 40, 12_000)] + rng.normal(size=(12_000, 64)) * 0.5
+    forest = ann.grow(x, 7)
+    forest.fit(x, len(x), 20, ann.RECALL)
+    asked = x[::20]
+    home = forest.leaves(asked)[:, 0]
+    first, many = ann.deal({int(h): int(n) for h, n in zip(*np.unique(home, return_counts=True), strict=True)}, 128, 40)
+    parts = {(t, leaf >> ann.SUBTREE, int(first[h])) for h, found in zip(home, forest.search(asked), strict=True) for t, leaf in found}
+    assert (many == 1).all()
+    assert len(parts) < 0.6 * 6 * (128 >> ann.SUBTREE) * (int(first.max()) + 1)
