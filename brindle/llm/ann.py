@@ -306,7 +306,8 @@ def nearest(vectors: DataFrame, queries: str, k: int = 20, recall: float = RECAL
     key = ["tree", "part", "block"]
     placed = placed.join(small(stored(routed.select(*key).distinct())), ["tree", "part"]).select(*key, "leaf", "rep", "vec")
     scored = placed.groupBy(*key).cogroup(routed.groupBy(*key)).applyInPandas(_rank(k), "query long, found array<struct<score:double,neg:long>>")
-    best = F.sort_array(F.array_distinct(F.flatten(F.collect_list("found"))), asc=False)
+    # a pair is found once in a tree at most, always with the same score, so the nearest k + 1 are among so many
+    best = F.array_distinct(F.slice(F.sort_array(F.flatten(F.collect_list("found")), asc=False), 1, (k + 1) * trees))
     near = scored.groupBy("query").agg(F.slice(best, 1, k + 1).alias("found")).select("query", F.explode("found").alias("x")).select("query", (-F.col("x.neg")).alias("rep"), "x.score")
     near = near.join(found.select("rep", "ids"), "rep").groupBy("query").agg(F.collect_list(F.struct("score", "ids")).alias("near"))
     flat = asked.join(near, "query").select("query_id", F.explode("near").alias("x")).select("query_id", "x.score", F.explode("x.ids").alias("vec_id")).filter("vec_id <> query_id")
