@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir), works on all rows that the one before kept, and returns
 a DataFrame; all but the last return the columns of ``documents``. ``run`` applies them to
 ``documents`` and writes each stage's rows to the folder in spark.checkpoint.dir before the next reads them.
+
+Null and empty texts pass every filter and pack as pieces without words. Of equal or tied rows the smallest doc_id
+stays, a null one after all others in packing and before them in line dedup. Texts of any length are taken whole, and
+columns besides those of ``documents`` are left out. Empty tables give no rows.
 """
 
 from __future__ import annotations
