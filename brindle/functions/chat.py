@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +14,10 @@ SYNONYMS = [
     ("file", "document"), ("value", "figure"), ("check", "inspect"), ("access", "entry"), ("result", "outcome"),
 ]
 INTROS = ["Analyze this security finding:", "Review the following finding:", "Assess this report:", "Explain and fix this finding:"]
+#: A character of a word in any script, whatever the Java version takes for a word's end.
+WORD = r"[\p{L}\p{N}_]"
+# What a first line has to hold to be known as an opening; ours are known too.
+PHRASES = ["Fix the following", "Address this", *INTROS]
 SYSTEM = {
     "dependency_vulnerabilities": "You are a security engineer who fixes vulnerable dependencies.",
     "web_security": "You are a security engineer who fixes web applications.",
@@ -90,9 +97,27 @@ def replace_terms(text: Column, seed: Column) -> Column:
     return text
 
 
-def vary_intro(prompt: Column, seed: Column) -> Column:
-    """A known first line exchanged for another; other prompts stay as they are."""
-    intros = F.array(*map(F.lit, INTROS))
+def spread(key: Column, n: Column) -> Column:
+    """A number below n from the first 60 bits of the key's MD5, the same in any engine."""
+    return F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long") % n
+
+
+def other_terms(text: Column, seed: Column, terms: list[tuple[str, str]]) -> Column:
+    """30 to 50 of a hundred of these terms, chosen by a hash of the seed, replaced in their order where they stand first as whole words."""
+    most = len(terms)
+    low, high = max(1, most * 3 // 10), max(1, most // 2)
+    n = spread(F.concat(F.lit("n"), seed), F.lit(high - low + 1)) + low
+    start = spread(F.concat(F.lit("s"), seed), F.lit(most))
+    for i, (word, other) in enumerate(terms):
+        chosen = F.pmod(F.lit(i) - start, F.lit(most)) < n
+        pattern = F.when(chosen, rf"(?is)\A(.*?)(?<!{WORD}){re.escape(word)}(?!{WORD})").otherwise("(?!)")
+        text = F.regexp_replace(text, pattern, F.lit("$1" + other.replace("\\", "\\\\").replace("$", "\\$")))
+    return text
+
+
+def vary_intro(prompt: Column, seed: Column, phrases: list[str] = PHRASES, openings: list[str] = INTROS) -> Column:
+    """A first line that holds a known phrase exchanged for another opening; other prompts stay as they are."""
     first = F.substring_index(prompt, "\n", 1)
-    other = intros[small_hash(seed, len(INTROS))]
-    return F.when(F.array_contains(intros, first), F.concat(other, F.substr(prompt, F.length(first) + 1))).otherwise(prompt)
+    known = functools.reduce(Column.__or__, [F.contains(first, F.lit(p)) for p in phrases], F.lit(False))
+    other = F.array(*map(F.lit, openings))[spread(seed.cast("string"), F.lit(len(openings))).cast("int")]
+    return F.when(known, F.concat(other, F.substr(prompt, F.length(first) + 1))).otherwise(prompt)

@@ -10,6 +10,9 @@ from brindle.operators.ordering import ranked, seeded
 from brindle.operators.relational import small
 from brindle.storage import cut
 
+#: Buckets of a drawn row's interval that one task makes at a time.
+PIECE = 1000
+
 
 def split_of(rank: Column, n: Column, small_rule: bool = True) -> Column:
     """Train, validation or test by a row's rank (from 1) in its stratum of n: 80/10/10, with the rule for small strata if wanted."""
@@ -73,8 +76,12 @@ def weighted_draws(df: DataFrame, key: str, weight: Column, draws: int, seed: in
     upto = F.sum("__w").over(Window.partitionBy("__part").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)) + F.col("__before")
     placed = ranged.join(F.broadcast(before), "__part").withColumn("__hi", upto / F.col("__total")).withColumn("__lo", (upto - F.col("__w")) / F.col("__total"))
     bucket = lambda c: F.floor(c * draws).cast("long")
-    rows = placed.withColumn("__b", F.explode(F.sequence(bucket(F.col("__lo")), bucket(F.col("__hi")))))
-    points = df.sparkSession.range(draws).select(F.col("id").alias("draw"), (F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 40)) / float(1 << 40)).alias("__u")).withColumn("__b", bucket(F.col("__u")))
+    # A row of great weight has many buckets: they are made by pieces, in as many tasks as there are.
+    pieces = placed.withColumn("__last", bucket(F.col("__hi"))).withColumn("__from", F.explode(F.sequence(bucket(F.col("__lo")), "__last", F.lit(PIECE))))
+    spread_out = pieces.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "__from")
+    rows = spread_out.withColumn("__b", F.explode(F.sequence("__from", F.least(F.col("__from") + (PIECE - 1), "__last")))).drop("__from", "__last")
+    drawn = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("id").cast("string"))), 1, 10), 16, 10).cast("double") / float(1 << 40)
+    points = df.sparkSession.range(draws).select(F.col("id").alias("draw"), drawn.alias("__u")).withColumn("__b", bucket(F.col("__u")))
     met = rows.join(points, "__b").filter("__u >= __lo and __u < __hi")
     return met.drop("__w", "__part", "__before", "__total", "__hi", "__lo", "__b", "__u")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from brindle.functions import chat, keywords, packages, severity, text
-from brindle.operators import ordering, relational, sampling
+from brindle.operators import augmentation, ordering, relational, sampling
 from brindle.plans.base import query, table
 
 
@@ -215,9 +215,15 @@ def importance_diversity(spark, d):
     return sampling.diversity(rows, "lang").select("doc_id", F.round(weight * F.col("diversity"), 9).alias("weight"))
 
 
-@query()
+@query("""
+WITH x AS (SELECT doc_id, lang, CASE WHEN toxic = 1 THEN 1.3 ELSE 0.8 END AS sev, quality FROM documents JOIN labels USING (doc_id)), c AS (SELECT lang, count(*) AS n FROM x GROUP BY lang),
+w AS (SELECT doc_id, CAST(round(CAST(sev * (CASE WHEN quality = 1 THEN 1.1 ELSE 1.0 END) * (1.0 / (n + 1)) AS DOUBLE), 9) AS DOUBLE) AS weight FROM x JOIN c USING (lang)),
+s AS (SELECT doc_id, weight, sum(weight) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS upto, sum(weight) OVER () AS total FROM w),
+p AS (SELECT i AS draw, CAST('0x' || substr(md5('42|' || i), 1, 10) AS BIGINT) / 1099511627776.0 AS u FROM range(0, 1000) t(i))
+SELECT draw, doc_id FROM p JOIN s ON u >= (upto - weight) / total AND u < upto / total
+""")
 def weighted_replay(spark, d):
-    """U8: a thousand draws with replacement, weighted; hash draws, so tested by their frequencies instead of by SQL."""
+    """U8: a thousand draws with replacement, each a hash of its number, by weight."""
     rows = importance_diversity(spark, d)
     return sampling.weighted_draws(rows, "doc_id", F.col("weight"), 1000).select("draw", "doc_id")
 
@@ -247,6 +253,54 @@ def augment_expand(spark, d):
     return sampling.augment(table(spark, d, "documents").filter("lang = 'en'").select("doc_id", "text"), "doc_id", "text", 3).select("doc_id", "variant", "is_augmented", F.md5("text").alias("text_md5"))
 
 
+TERMS = {
+    "wording": [("the", "that"), ("and", "as well as"), ("of", "out of"), ("in", "within"), ("is", "may be"), ("to", "towards"), ("with", "along with"), ("for", "on behalf of"), ("on", "upon"), ("are", "may be")],
+    "detail": [("an", "one"), ("as", "such as"), ("or", "or else"), ("by", "by way of"), ("that", "which"), ("from", "out of"), ("this", "the present"), ("he", "the user"), ("we", "the team"), ("by", "next to")],
+}
+PHRASES, OPENINGS = ["The", "To ", "An"], ["Look at this.", "What of the following?", "Answer this:"]
+
+
+def sql_number(key: str, n: object) -> str:
+    return f"CAST('0x' || substr(md5({key}), 1, 15) AS BIGINT) % {n}"
+
+
+def sql_variant(kind: str, n: int) -> str:
+    """A conversation's messages with the terms of a kind exchanged; ``c`` is the conversation's key as text."""
+    text, key = "m.content", f"'42|{kind}|{n}|' || c"
+    for i, (word, other) in enumerate(TERMS[kind]):
+        text = f"regexp_replace({text}, CASE WHEN ({i} - {sql_number(f'{chr(39)}s{chr(39)} || {key}', 10)} + 10) % 10 < {sql_number(f'{chr(39)}n{chr(39)} || {key}', 3)} + 3 THEN '(^|[^\\p{{L}}\\p{{N}}_]){word}($|[^\\p{{L}}\\p{{N}}_])' ELSE '$(a)(b)' END, '\\1{other}\\2', 'i')"
+    return f"SELECT 1 AS place, -1 AS attempt, c, conv_id, {list(TERMS).index(kind)} AS nth_kind, '{kind}' AS kind, {n} AS variant, list_transform(messages, lambda m: struct_pack(role := m.role, content := CASE WHEN m.role IN ('user', 'assistant') THEN {text} ELSE m.content END)) AS messages FROM e"
+
+
+SQL_FIRST = "coalesce(list_filter(messages, lambda m: m.role = 'user')[1].content, '')"
+
+
+@query(f"""
+WITH e AS (SELECT CAST(conv_id AS VARCHAR) AS c, conv_id, CAST(count(*) AS VARCHAR) AS category, list(struct_pack(role := role, content := text) ORDER BY turn) AS messages FROM conversations GROUP BY conv_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY conv_id) AS k, count(*) OVER (PARTITION BY category) AS members, {SQL_FIRST} AS said FROM e),
+g AS (SELECT category, members, row_number() OVER (ORDER BY category) AS slot FROM (SELECT DISTINCT category, members FROM r WHERE members > 1)),
+a AS (SELECT i AS attempt, {sql_number("'42|group|' || i", "(SELECT count(*) FROM g)")} + 1 AS slot FROM (SELECT CAST(unnest(range(0, 6 * (SELECT count(*) FROM e))) AS BIGINT) AS i)),
+p AS (SELECT attempt, category, members, {sql_number("'42|first|' || attempt", "members")} + 1 AS k1 FROM a JOIN g USING (slot)),
+q AS (SELECT attempt, category, k1, (k1 + {sql_number("'42|second|' || attempt", "(members - 1)")}) % members + 1 AS k2 FROM p),
+b AS (SELECT q.attempt, x.c, x.conv_id, x.messages, split_part(x.said, chr(10), 1) || chr(10) || split_part(y.said, chr(10), 1) || chr(10) || chr(10) || 'Consider these related findings together.' AS prompt, row_number() OVER (ORDER BY q.attempt) AS n,
+ list_position(list_transform(x.messages, lambda m: m.role), 'user') AS spot FROM q JOIN r x ON x.category = q.category AND x.k = k1 JOIN r y ON y.category = q.category AND y.k = k2 WHERE x.said <> '' AND y.said <> ''),
+u AS (SELECT 0 AS place, -1 AS attempt, c, conv_id, 0 AS nth_kind, 'original' AS kind, 0 AS variant, messages FROM e
+ UNION ALL {" UNION ALL ".join(sql_variant(kind, n) for kind in TERMS for n in range(2))}
+ UNION ALL SELECT 2, -1, c, conv_id, 0, 'mixed', 0, list_transform(messages, lambda m: struct_pack(role := m.role, content := CASE WHEN m.role = 'user' AND ({" OR ".join(f"contains(split_part(m.content, chr(10), 1), '{p}')" for p in PHRASES)})
+  THEN list_extract([{", ".join(f"'{o}'" for o in OPENINGS)}], CAST({sql_number("'42|mixed|0|' || c", 3)} + 1 AS BIGINT)) || substr(m.content, length(split_part(m.content, chr(10), 1)) + 1) ELSE m.content END)) FROM e
+ UNION ALL SELECT 3, attempt, c, conv_id, 0, 'blend', attempt, list_transform(messages, lambda m, i: struct_pack(role := m.role, content := CASE WHEN i = spot THEN prompt ELSE m.content END)) FROM b WHERE n <= 3 * (SELECT count(*) FROM e)),
+d AS (SELECT *, row_number() OVER (PARTITION BY array_to_string(list_transform(messages, lambda m: m.role || ':' || left(m.content, 150)), '|') ORDER BY place, attempt, conv_id, nth_kind, variant) AS nth FROM u)
+SELECT conv_id, kind, CAST(variant AS INT) AS variant, md5(array_to_string(list_transform(messages, lambda m: m.role || ':' || m.content), '|')) AS said FROM d WHERE nth = 1 AND place > 0
+""")
+def augmented_examples(spark, d):
+    """Conversations made nine times as many: variants with other terms, other openings, blends within those of equal length."""
+    turns = table(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"), F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("m"))
+    examples = turns.select("conv_id", "turns", F.transform("m", lambda m: F.struct(m.role.alias("role"), m.content.alias("content"))).alias("messages"))
+    made = augmentation.augmented_examples(examples, "conv_id", "turns", multiplier=9, kinds=TERMS, phrases=PHRASES, openings=OPENINGS)
+    said = F.array_join(F.transform("messages", lambda m: F.concat(m.role, F.lit(":"), m.content)), "|")
+    return made.select("conv_id", "kind", "variant", F.md5(said).alias("said"))
+
+
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def known_id_anti_join(spark, d):
     """Documents that have no label."""
