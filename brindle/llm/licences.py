@@ -12,7 +12,7 @@ and notices besides. A document that is one at ``WHOLE`` or above, or of whose w
 licence file too; one with only some such paragraphs has a header.
 
 Everything is joins and aggregations of DataFrames: sentences are scored once each however many
-documents hold them, tables by sentence or directory are broadcast only after a count, and what
+documents hold them, tables by sentence or directory are broadcast only after a look at their rows and bytes, and what
 is shuffled is ids, words of cue sentences and of documents with a cue, and paths, never texts.
 
 Null and empty texts have no sentences and can only inherit; a null path neither gives nor
@@ -22,21 +22,23 @@ directory the best, then the first in the alphabet. Rows that repeat give a row
 
 from __future__ import annotations
 
+import functools
+import json
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from importlib import resources
+from itertools import accumulate
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.store import shared_folder
+from brindle.llm.store import checkpointed, shared_folder, small
 
 THRESHOLD, FILE_SHARE, WHOLE = 0.6, 0.5, 0.9
-#: Scored sentences, or directories with a licence, up to which a join gets them by broadcast.
-BROADCAST_ROWS = 200_000
+#: Words that a text about licences holds, as a pattern for SQL and as plain words, equal in what they take.
 CUE = r"(?i)licen[sc]e|copyright|permission|warrant|redistribut|public domain"
+CUES = ["license", "licence", "copyright", "permission", "warrant", "redistribut", "public domain"]
 TOKEN = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 
 # Names of public licences and sentences of their notices.
@@ -97,14 +99,31 @@ def sentences(text: Column) -> Column:
 
 
 def table_of(spark, rows: list[tuple], schema: str) -> DataFrame:
-    """A small table of constants, as literals of the plan."""
+    """A table of constants, as one literal that is read by column name."""
     names = [c.split()[0] for c in schema.split(",")]
-    return spark.range(1).select(F.inline(F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(r, names, strict=True)]) for r in rows])))
+    said = json.dumps([dict(zip(names, r, strict=True)) for r in rows])
+    fields = schema.replace(" ", ":")
+    return spark.range(0, 1, 1, 1).select(F.inline(F.from_json(F.lit(said), f"array<struct<{fields}>>")))
 
 
-def small(df: DataFrame) -> DataFrame:
-    """``df``, to be broadcast if a count shows that it has at most BROADCAST_ROWS rows."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+def cued(text: str | Column) -> Column:
+    """Whether a text holds one of CUES in whatever case; plain searches, which take a fraction of a pattern's time on texts without any."""
+    lower = F.lower(text)
+    return functools.reduce(Column.__or__, [F.contains(lower, F.lit(c)) for c in CUES])
+
+
+def fewest_words(vectors: list[tuple[str, str, str, float]], cosine: float) -> int:
+    """Distinct words that a text must have at least to come to ``cosine`` with any of the templates.
+
+    By Cauchy and Schwarz a cosine is at most the root of the squared weights of those of the template's
+    words that the text has; so many of its heaviest words are needed, whatever else the text holds.
+    """
+    own = defaultdict(list)
+    for template, _, _, weight in vectors:
+        own[template].append(weight * weight)
+    least = (cosine - 1e-6) ** 2  # cosines are rounded to six places
+    needed = [next((n for n, held in enumerate(accumulate(sorted(weights, reverse=True)), 1) if held >= least), len(weights)) for weights in own.values()]
+    return min(needed)
 
 
 def score_sentences(found: DataFrame) -> DataFrame:
@@ -122,31 +141,31 @@ def score_sentences(found: DataFrame) -> DataFrame:
     return best.groupBy("sentence", "words").agg(F.min(F.struct((-F.col("cosine")).alias("minus"), "licence")).alias("b")).select("sentence", "words", "b.licence", (-F.col("b.minus")).alias("cosine"))
 
 
-def arrow_table(spark, rows: list[tuple], schema: str) -> DataFrame:
-    """A table of constants too large for literals of the plan."""
-    names = [c.split()[0] for c in schema.split(",")]
-    return spark.createDataFrame(pa.table(dict(zip(names, map(list, zip(*rows, strict=True)), strict=True))))
+def score_whole(docs: DataFrame, sizes: DataFrame, file_share: float) -> DataFrame:
+    """text_hash, whole_licence, whole_score, whole_file of the texts of which all or a paragraph is a licence's text or notice.
 
-
-def score_whole(docs: DataFrame, file_share: float) -> DataFrame:
-    """text_hash, whole_licence, whole_score, whole_file of the texts of which all or a paragraph is a licence's text or notice."""
+    ``sizes`` (text_hash, doc_words) has the words of each text with a cue. A text of one paragraph is one unit, as it would score alike twice;
+    units with fewer distinct words than any template asks for are left out before their words are rows.
+    """
     spark = docs.sparkSession
     rows, idf, other = template_vectors(whole_texts())
-    vectors = F.broadcast(arrow_table(spark, rows, "template string,licence string,word string,weight double"))
-    known = F.broadcast(arrow_table(spark, sorted(idf.items()), "word string,idf double"))
-    tokens = lambda c: F.regexp_extract_all(F.lower(c), F.lit(TOKEN), 0)
-    bodies = docs.filter(F.col("text").rlike(CUE)).select(F.xxhash64("text").alias("text_hash"), F.posexplode(F.concat(F.array("text"), F.split("text", r"\n[^A-Za-z0-9\n]*\n"))).alias("unit", "body")).filter(F.col("body").rlike(CUE))
-    words = bodies.select("text_hash", "unit", tokens("body").alias("all")).select("text_hash", "unit", F.size("all").alias("words"), F.explode("all").alias("word"))
+    vectors = F.broadcast(table_of(spark, rows, "template string,licence string,word string,weight double"))
+    known = F.broadcast(table_of(spark, sorted(idf.items()), "word string,idf double"))
+    parts = F.split("text", r"\n[^A-Za-z0-9\n]*\n")
+    units = F.when(F.size(parts) > 1, F.concat(F.array("text"), F.filter(parts, cued))).otherwise(F.array("text"))
+    bodies = docs.filter(cued("text")).select(F.xxhash64("text").alias("text_hash"), F.posexplode(units).alias("unit", "body"))
+    words = bodies.select("text_hash", "unit", F.regexp_extract_all(F.lower("body"), F.lit(TOKEN), 0).alias("all")).filter(F.size(F.array_distinct("all")) >= fewest_words(rows, WHOLE))
+    words = words.select("text_hash", "unit", F.size("all").alias("words"), F.explode("all").alias("word"))
     unit = ["text_hash", "unit", "words"]
     # Of a text on several rows all words count as often, which leaves cosines as they are.
     tf = words.groupBy(*unit, "word").agg(F.count("*").alias("tf")).join(known, "word", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(other)))
     norms = tf.groupBy(*unit).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     dots = tf.join(vectors, "word").groupBy(*unit, "template", "licence").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
     close = dots.join(norms, unit).withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 6)).filter(F.col("cosine") >= WHOLE)
-    best = close.groupBy(*unit).agg(F.min(F.struct((-F.col("cosine")).alias("minus"), "licence")).alias("b"))
-    sizes = bodies.filter("unit = 0").select("text_hash", F.size(tokens("body")).alias("doc_words")).join(small(best.select("text_hash").distinct()), "text_hash", "left_semi").distinct()
+    best = checkpointed(close.groupBy(*unit).agg(F.min(F.struct((-F.col("cosine")).alias("minus"), "licence")).alias("b")))
+    held = sizes.join(small(best.select("text_hash").distinct()), "text_hash", "left_semi").distinct()
     # The whole text's licence before a paragraph's.
-    found = best.groupBy("text_hash").agg(F.min(F.struct((F.col("unit") > 0).alias("part"), "b")).alias("f"), F.sum(F.when(F.col("unit") > 0, F.col("words")).otherwise(0)).alias("held")).join(sizes, "text_hash")
+    found = best.groupBy("text_hash").agg(F.min(F.struct((F.col("unit") > 0).alias("part"), "b")).alias("f"), F.sum(F.when(F.col("unit") > 0, F.col("words")).otherwise(0)).alias("held")).join(held, "text_hash")
     return found.select("text_hash", F.col("f.b.licence").alias("whole_licence"), (-F.col("f.b.minus")).alias("whole_score"), (~F.col("f.part") | (F.col("held") >= file_share * F.col("doc_words"))).alias("whole_file"))
 
 
@@ -164,31 +183,33 @@ def above(directory_col: str) -> Column:
 def scan(docs: DataFrame, threshold: float = THRESHOLD, file_share: float = FILE_SHARE) -> DataFrame:
     """doc_id, path, licence, origin (header, file, inherited or none), score, n_sentences (licence sentences) of each row of ``docs`` (doc_id, text, path)."""
     shared_folder(docs.sparkSession)
-    has = F.coalesce(F.col("text").rlike(CUE), F.lit(False))
-    slim = docs.select(
+    has = F.coalesce(cued("text"), F.lit(False))
+    slim = checkpointed(docs.select(
         "doc_id", "path", F.xxhash64("text").alias("text_hash"), directory("path").alias("dir"),
         F.when(has, F.size(F.regexp_extract_all(F.lower("text"), F.lit(TOKEN), 0))).alias("doc_words"),
-        F.when(has, F.filter(sentences(F.col("text")), lambda s: s.rlike(CUE))).alias("cues"),
-    ).checkpoint()
+        F.when(has, F.filter(sentences(F.col("text")), cued)).alias("cues"),
+    ))
     cues = slim.filter("cues is not null").select("doc_id", "text_hash", "doc_words", F.explode("cues").alias("sentence"))
-    scored = score_sentences(cues).filter(F.col("cosine") >= threshold)
+    scored = checkpointed(score_sentences(cues).filter(F.col("cosine") >= threshold))
     hits = cues.join(small(scored), "sentence").select("doc_id", "text_hash", "sentence", "doc_words", "words", "licence", "cosine").distinct()
     own = hits.groupBy("doc_id", "text_hash").agg(
         F.min(F.struct((-F.col("cosine")).alias("minus"), "licence")).alias("b"),
         (F.sum("words") >= file_share * F.max("doc_words")).alias("is_file"),
         F.count("*").alias("n_sentences"),
     )
-    own = own.select("doc_id", "text_hash", F.col("b.licence").alias("own_licence"), (-F.col("b.minus")).alias("own_score"), "is_file", "n_sentences").checkpoint()
+    own = checkpointed(own.select("doc_id", "text_hash", F.col("b.licence").alias("own_licence"), (-F.col("b.minus")).alias("own_score"), "is_file", "n_sentences"))
     same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & a["text_hash"].eqNullSafe(b["text_hash"])
+    sizes = slim.filter("doc_words is not null").select("text_hash", "doc_words")
     marked = slim.join(own, same(slim, own), "left").select(slim["doc_id"], slim["text_hash"], slim["path"], slim["dir"], "own_licence", "own_score", "is_file", "n_sentences")
-    marked = marked.join(small(score_whole(docs, file_share).checkpoint()), "text_hash", "left")
+    marked = marked.join(small(checkpointed(score_whole(docs, sizes, file_share))), "text_hash", "left")
     whole = F.col("whole_licence").isNotNull() & (F.col("whole_file") | F.col("own_licence").isNull())
     pick = lambda a, b: F.when(whole, F.col(a)).otherwise(F.col(b)).alias(b)
     marked = marked.select("doc_id", "path", "dir", pick("whole_licence", "own_licence"), pick("whole_score", "own_score"), F.coalesce(F.col("whole_file") | F.coalesce("is_file", F.lit(False)), "is_file").alias("is_file"), "n_sentences")
     files = marked.filter("is_file and dir is not null").groupBy("dir").agg(F.min(F.struct((-F.col("own_score")).alias("minus"), F.col("own_licence").alias("licence"))).alias("f"))
     dirs = slim.filter("dir is not null").select("dir").distinct().select("dir", F.posexplode(above("dir")).alias("steps", "up"))
-    givers = files.select(F.col("dir").alias("up"), F.col("f.licence").alias("dir_licence"), (-F.col("f.minus")).alias("dir_score"))
+    givers = checkpointed(files.select(F.col("dir").alias("up"), F.col("f.licence").alias("dir_licence"), (-F.col("f.minus")).alias("dir_score")))
     nearest = dirs.join(small(givers), "up").groupBy("dir").agg(F.min(F.struct("steps", "dir_licence", "dir_score")).alias("n")).select("dir", "n.dir_licence", "n.dir_score")
+    nearest = checkpointed(nearest)
     full = marked.join(small(nearest), "dir", "left")
     origin = F.when(F.col("is_file"), "file").when(F.col("own_licence").isNotNull(), "header").when(F.col("dir_licence").isNotNull(), "inherited").otherwise("none")
     return full.select("doc_id", "path", F.coalesce("own_licence", "dir_licence", F.lit("")).alias("licence"), origin.alias("origin"), F.coalesce("own_score", "dir_score", F.lit(0.0)).alias("score"), F.coalesce("n_sentences", F.lit(0)).cast("long").alias("n_sentences"))
