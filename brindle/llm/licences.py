@@ -33,7 +33,7 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.store import checkpointed, shared_folder, small
+from brindle.llm.store import shared_folder, small, stored
 
 THRESHOLD, FILE_SHARE, WHOLE = 0.6, 0.5, 0.9
 #: Words that a text about licences holds, as a pattern for SQL and as plain words, equal in what they take.
@@ -162,7 +162,7 @@ def score_whole(docs: DataFrame, sizes: DataFrame, file_share: float) -> DataFra
     norms = tf.groupBy(*unit).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     dots = tf.join(vectors, "word").groupBy(*unit, "template", "licence").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
     close = dots.join(norms, unit).withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 6)).filter(F.col("cosine") >= WHOLE)
-    best = checkpointed(close.groupBy(*unit).agg(F.min(F.struct((-F.col("cosine")).alias("minus"), "licence")).alias("b")))
+    best = stored(close.groupBy(*unit).agg(F.min(F.struct((-F.col("cosine")).alias("minus"), "licence")).alias("b")))
     held = sizes.join(small(best.select("text_hash").distinct()), "text_hash", "left_semi").distinct()
     # The whole text's licence before a paragraph's.
     found = best.groupBy("text_hash").agg(F.min(F.struct((F.col("unit") > 0).alias("part"), "b")).alias("f"), F.sum(F.when(F.col("unit") > 0, F.col("words")).otherwise(0)).alias("held")).join(held, "text_hash")
@@ -184,32 +184,32 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, file_share: float = FILE
     """doc_id, path, licence, origin (header, file, inherited or none), score, n_sentences (licence sentences) of each row of ``docs`` (doc_id, text, path)."""
     shared_folder(docs.sparkSession)
     has = F.coalesce(cued("text"), F.lit(False))
-    slim = checkpointed(docs.select(
+    slim = stored(docs.select(
         "doc_id", "path", F.xxhash64("text").alias("text_hash"), directory("path").alias("dir"),
         F.when(has, F.size(F.regexp_extract_all(F.lower("text"), F.lit(TOKEN), 0))).alias("doc_words"),
         F.when(has, F.filter(sentences(F.col("text")), cued)).alias("cues"),
     ))
     cues = slim.filter("cues is not null").select("doc_id", "text_hash", "doc_words", F.explode("cues").alias("sentence"))
-    scored = checkpointed(score_sentences(cues).filter(F.col("cosine") >= threshold))
+    scored = stored(score_sentences(cues).filter(F.col("cosine") >= threshold))
     hits = cues.join(small(scored), "sentence").select("doc_id", "text_hash", "sentence", "doc_words", "words", "licence", "cosine").distinct()
     own = hits.groupBy("doc_id", "text_hash").agg(
         F.min(F.struct((-F.col("cosine")).alias("minus"), "licence")).alias("b"),
         (F.sum("words") >= file_share * F.max("doc_words")).alias("is_file"),
         F.count("*").alias("n_sentences"),
     )
-    own = checkpointed(own.select("doc_id", "text_hash", F.col("b.licence").alias("own_licence"), (-F.col("b.minus")).alias("own_score"), "is_file", "n_sentences"))
+    own = stored(own.select("doc_id", "text_hash", F.col("b.licence").alias("own_licence"), (-F.col("b.minus")).alias("own_score"), "is_file", "n_sentences"))
     same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & a["text_hash"].eqNullSafe(b["text_hash"])
     sizes = slim.filter("doc_words is not null").select("text_hash", "doc_words")
     marked = slim.join(own, same(slim, own), "left").select(slim["doc_id"], slim["text_hash"], slim["path"], slim["dir"], "own_licence", "own_score", "is_file", "n_sentences")
-    marked = marked.join(small(checkpointed(score_whole(docs, sizes, file_share))), "text_hash", "left")
+    marked = marked.join(small(stored(score_whole(docs, sizes, file_share))), "text_hash", "left")
     whole = F.col("whole_licence").isNotNull() & (F.col("whole_file") | F.col("own_licence").isNull())
     pick = lambda a, b: F.when(whole, F.col(a)).otherwise(F.col(b)).alias(b)
     marked = marked.select("doc_id", "path", "dir", pick("whole_licence", "own_licence"), pick("whole_score", "own_score"), F.coalesce(F.col("whole_file") | F.coalesce("is_file", F.lit(False)), "is_file").alias("is_file"), "n_sentences")
     files = marked.filter("is_file and dir is not null").groupBy("dir").agg(F.min(F.struct((-F.col("own_score")).alias("minus"), F.col("own_licence").alias("licence"))).alias("f"))
     dirs = slim.filter("dir is not null").select("dir").distinct().select("dir", F.posexplode(above("dir")).alias("steps", "up"))
-    givers = checkpointed(files.select(F.col("dir").alias("up"), F.col("f.licence").alias("dir_licence"), (-F.col("f.minus")).alias("dir_score")))
+    givers = stored(files.select(F.col("dir").alias("up"), F.col("f.licence").alias("dir_licence"), (-F.col("f.minus")).alias("dir_score")))
     nearest = dirs.join(small(givers), "up").groupBy("dir").agg(F.min(F.struct("steps", "dir_licence", "dir_score")).alias("n")).select("dir", "n.dir_licence", "n.dir_score")
-    nearest = checkpointed(nearest)
+    nearest = stored(nearest)
     full = marked.join(small(nearest), "dir", "left")
     origin = F.when(F.col("is_file"), "file").when(F.col("own_licence").isNotNull(), "header").when(F.col("dir_licence").isNotNull(), "inherited").otherwise("none")
     return full.select("doc_id", "path", F.coalesce("own_licence", "dir_licence", F.lit("")).alias("licence"), origin.alias("origin"), F.coalesce("own_score", "dir_score", F.lit(0.0)).alias("score"), F.coalesce("n_sentences", F.lit(0)).cast("long").alias("n_sentences"))
