@@ -106,9 +106,13 @@ def changed_paths(diff: Column) -> Column:
 
 def diff_language(diff: Column) -> Column:
     """The language of the commonest suffix in a diff, of equally common ones the first in the alphabet; Unknown without paths, Other for suffixes not listed."""
-    suffixes = F.transform(changed_paths(diff), extension)
-    ranked = F.array_sort(F.transform(F.array_distinct(suffixes), lambda s: F.struct((-F.size(F.filter(suffixes, lambda t: t == s))).alias("n"), s.alias("s"))))
-    return F.when(F.size(suffixes) > 0, lookup(EXTENSION_LANGUAGES, ranked[0].s, "Other")).otherwise("Unknown")
+    suffixes = F.sort_array(F.transform(changed_paths(diff), extension))
+    # a suffix's first place in the sorted list and the next one's say how often it stands there; the list is made once, as a lambda's variable
+    first = lambda a: F.filter(F.sequence(F.lit(1), F.size(a)), lambda i: (i == 1) | (F.get(a, i - 1) != F.get(a, i - 2)))
+    counted = lambda a: F.transform(F.array(first(a)), lambda at: F.transform(at, lambda i, j: F.struct((i - F.coalesce(F.get(at, j + 1), F.size(a) + 1)).alias("n"), F.get(a, i - 1).alias("s"))))[0]
+    best = F.transform(F.array(suffixes), lambda a: F.when(F.size(a) > 0, F.array_min(counted(a)).s))
+    language = lambda s: F.when(s.isNotNull(), lookup(EXTENSION_LANGUAGES, s, "Other")).otherwise("Unknown")
+    return F.transform(best, language)[0]
 
 
 def diff_side(diff: Column, sign: str) -> Column:
@@ -122,8 +126,10 @@ def numstat(text: Column) -> Column:
     rows = F.filter(F.transform(F.split(text, "\n"), lambda l: F.split(l, "\t")), lambda p: F.size(p) >= 3)
     number = lambda s: F.coalesce(s.try_cast("int"), F.lit(0))
     entries = F.transform(rows, lambda p: F.struct(p[2].alias("k"), F.struct(number(p[0]).alias("added"), number(p[1]).alias("deleted")).alias("v")))
-    last = F.filter(entries, lambda x, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda y: y.k == x.k))
-    return F.map_from_entries(last)
+    ordered = F.sort_array(F.transform(entries, lambda x, i: F.struct(x.k.alias("k"), i.alias("i"), x.v.alias("v"))))
+    # bound to a lambda's variable, so that the list is made once, and of each file's run the last is taken: a sort's work, not a square's
+    last = F.transform(F.array(ordered), lambda a: F.filter(a, lambda x, i: ~F.coalesce(F.get(a, i + 1).k == x.k, F.lit(False))))[0]
+    return F.map_from_entries(F.transform(last, lambda x: F.struct(x.k.alias("k"), x.v.alias("v"))))
 
 
 def context(text: Column, line: Column, around: int = 10) -> Column:

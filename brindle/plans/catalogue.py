@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from brindle.plans import corpus, findings, readers, scalars, streams, tables, texts, vectors  # noqa: F401  each registers its own
+from brindle.plans import corpus, findings, readers, scalars, streams, tables, texts, vectors, written  # noqa: F401  each registers its own
 from brindle.plans.base import QUERIES
 
 
