@@ -2,10 +2,13 @@ from __future__ import annotations
 
 import datetime as dt
 
+import duckdb
+from compare import assert_same
 from pyspark.sql import functions as F
 
 from brindle.functions import advisories, analysis, severity
 from brindle.functions.code import code_scope, enclosing
+from brindle.plans import catalogue
 
 
 def test_notices(spark):
@@ -17,6 +20,25 @@ def test_notices(spark):
     assert [(r["id"], r["severity"], r["score"]) for r in found] == [("FIDO-MDS-REVOKED-01234567-2024-05-01", "high", 7.5)]
 
 
+def test_notices_of_ids_that_begin_alike(spark):
+    """A known report hides itself only, not others whose notices have the same id."""
+    day = dt.date(2024, 5, 1)
+    rows = [("REVOKED", "aaid1234", str(i), day, name) for i, name in enumerate("AABC")] + [("REVOKED", "aaid1234", None, day, "D"), ("REVOKED", "aaid1234", "1", day, "A")]
+    reports = spark.createDataFrame(rows, "status string, aaid string, aaguid string, effective date, authenticator string")
+    found = advisories.new_notices(reports, reports.filter("authenticator in ('B', 'D')"), F.lit("2024-01-01").cast("date"))
+    assert found.columns == ["id", "name", "severity", "score"]
+    assert sorted((r["id"], r["name"]) for r in found.collect()) == [("FIDO-MDS-REVOKED-aaid1234-2024-05-01", f"FIDO REVOKED: {n}") for n in "AAC"]
+
+
+def test_notices_of_many_suppliers(spark, tmp_path):
+    """Keys of five digits, of which a notice's id holds the first four, against the query's SQL."""
+    keys = [*range(12340, 12350), *range(100_000, 100_040), 5, 6, 7]
+    spark.createDataFrame([(k, f"Supplier#{k % 1000}") for k in keys], "s_suppkey long, s_name string").coalesce(1).write.parquet(str(tmp_path / "supplier.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW supplier AS SELECT * FROM '{tmp_path}/supplier.parquet/*.parquet'")
+    assert_same(catalogue.queries()["metadata_notices"](spark, str(tmp_path)), con, catalogue.oracle_sql()["metadata_notices"])
+
+
 def test_updates(spark):
     now = F.lit("2024-06-01").cast("timestamp")
     rows = [("2.6.0", "Security fix", dt.datetime(2024, 5, 1)), ("2.5.4", "docs", dt.datetime(2024, 1, 1)), ("2.4.0", "CVE-1", dt.datetime(2020, 1, 1))]
