@@ -121,11 +121,15 @@ def diff_side(diff: Column, sign: str) -> Column:
     return F.array_join(F.transform(own, lambda l: F.substr(l, F.lit(2))), "\n")
 
 
+def stat_number(text: Column) -> Column:
+    """The number in a column of a line of numbers, 0 if there is none. A dash isn't cast, since a cast that fails costs an exception."""
+    return F.when(text == "-", F.lit(0)).otherwise(F.coalesce(text.try_cast("int"), F.lit(0)))
+
+
 def numstat(text: Column) -> Column:
     """A map from file to lines added and deleted; a dash, for binary files, is 0; of a repeated file the last counts."""
     rows = F.filter(F.transform(F.split(text, "\n"), lambda l: F.split(l, "\t")), lambda p: F.size(p) >= 3)
-    number = lambda s: F.coalesce(s.try_cast("int"), F.lit(0))
-    entries = F.transform(rows, lambda p: F.struct(p[2].alias("k"), F.struct(number(p[0]).alias("added"), number(p[1]).alias("deleted")).alias("v")))
+    entries = F.transform(rows, lambda p: F.struct(p[2].alias("k"), F.struct(stat_number(p[0]).alias("added"), stat_number(p[1]).alias("deleted")).alias("v")))
     ordered = F.sort_array(F.transform(entries, lambda x, i: F.struct(x.k.alias("k"), i.alias("i"), x.v.alias("v"))))
     # bound to a lambda's variable, so that the list is made once, and of each file's run the last is taken: a sort's work, not a square's
     last = F.transform(F.array(ordered), lambda a: F.filter(a, lambda x, i: ~F.coalesce(F.get(a, i + 1).k == x.k, F.lit(False))))[0]

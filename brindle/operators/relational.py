@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from brindle.functions.packages import PLACEHOLDER, route_pattern, source_candidates
+from brindle.functions.packages import PLACEHOLDER, route_pattern, source_candidates, stat_number
 from brindle.functions.severity import ORDER
 from brindle.operators.search import mentions
 from brindle.schemas import parsed
@@ -206,3 +206,11 @@ def extraction_totals(results: DataFrame) -> DataFrame:
         n.alias("total"), ok.alias("successful"), (n - ok).alias("failed"), F.coalesce(F.try_divide(ok.cast("double"), n), F.lit(0.0)).alias("success_rate"),
         F.count_distinct(F.when(F.col("success"), F.col("path"))).alias("unique_files"),
     )
+
+
+def numstats(diffs: DataFrame, key: str, text: str) -> DataFrame:
+    """Key, file, added and deleted of each file in texts of numbers, as ``packages.numstat`` has them in a map; a row a line, grouped in one hash pass where the key's texts are."""
+    lines = diffs.select(key, text).repartition(key).select(key, F.posexplode(F.split(text, "\n")).alias("at", "line")).filter(F.substring_index("line", "\t", 2) != F.col("line"))
+    part = lambda i: F.split_part("line", F.lit("\t"), F.lit(i))
+    parts = lines.select(key, part(3).alias("file"), stat_number(part(1)).alias("added"), stat_number(part(2)).alias("deleted"), "at")
+    return parts.groupBy(key, "file").agg(F.max_by("added", "at").alias("added"), F.max_by("deleted", "at").alias("deleted"))

@@ -20,7 +20,7 @@ SELECT doc_id, n, unnest(ws) AS w, unnest(range(1, n + 1)) AS i FROM (SELECT doc
 def words(spark, d) -> DataFrame:
     """doc_id and ws of each document with a word."""
     found = F.regexp_extract_all("text", F.lit(f"({LETTERS})"), 1)
-    return table(spark, d, "documents").filter("text is not null").select("doc_id", found.alias("ws")).filter("size(ws) > 0")
+    return table(spark, d, "documents").filter(F.col("text").rlike("[A-Za-z]")).select("doc_id", found.alias("ws"))
 
 
 def lines(rows: DataFrame, line: str, *columns: str) -> DataFrame:
@@ -53,8 +53,7 @@ FROM (SELECT doc_id, w, arg_max(strlen(w) + i, i) AS added, arg_max(CASE WHEN i
 def numstats_of_texts(spark, d):
     """The totals of numbers of a diff in which each word is a file; of a repeated one the last line counts."""
     rows = lines(words(spark, d), "concat_ws('\\t', length(w) + i + 1, if(i % 2 = 0, string(i), '-'), w)")
-    stats = rows.select("doc_id", F.explode(packages.numstat(F.col("body"))).alias("file", "s"))
-    return stats.groupBy("doc_id").agg(F.count("*").alias("files"), F.sum("s.added").alias("added"), F.sum("s.deleted").alias("deleted"))
+    return relational.numstats(rows, "doc_id", "body").groupBy("doc_id").agg(F.count("*").alias("files"), F.sum("added").alias("added"), F.sum("deleted").alias("deleted"))
 
 
 SUFFIX = "CASE length(w) % 6 WHEN 0 THEN '.py' WHEN 1 THEN '.kt' WHEN 2 THEN '.rs' WHEN 3 THEN '.go' WHEN 4 THEN '' ELSE '.odd' END"

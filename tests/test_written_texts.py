@@ -8,6 +8,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from brindle.functions import packages
+from brindle.operators import relational
 
 
 def test_numstat_takes_the_last_line_of_a_file(spark):
@@ -21,6 +22,16 @@ def test_numstat_takes_the_last_line_of_a_file(spark):
     assert rows[-1]["m"] is None
 
 
+def test_numstats_are_the_maps_rows(spark):
+    rng = random.Random(4)
+    texts = ["", "bad line", "1\t2\ta\n-\t-\ta", "1\t2\t\n3\t4\t", " 7\t+8\tb\textra\n9.5\t99999999999\tc\n\t\t", None]
+    texts += ["\n".join(f"{rng.choice(['-', '', '7', str(i)])}\t{i}\tf{rng.randrange(40)}" for i in range(300)) for _ in range(3)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    maps = frame.select("i", F.explode(packages.numstat(F.col("t"))).alias("file", "s")).select("i", "file", "s.added", "s.deleted").collect()
+    assert len(maps) > 50
+    assert sorted(map(tuple, relational.numstats(frame, "i", "t").collect())) == sorted(map(tuple, maps))
+
+
 def test_language_of_the_commonest_suffix(spark):
     rng = random.Random(5)
     known = {".py": "Python", ".kt": "Kotlin", ".rs": "Rust"}
