@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import operator
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,47 +54,31 @@ def newest_releases(found: DataFrame, newest: int = 10) -> DataFrame:
 # receiver's where none is named), which quotes a path may have, and what follows it.
 METHODS = ["get", "post", "put", "delete", "patch"]
 ROUTING = {".kt": ("kotlin_ktor", None, "\"", ")"), ".ts": ("typescript_express", ["app", "router"], "\"'", ",")}
-#: Opening brackets that a call's first argument may hold, and one more.
-BRACKETS = 8
-
-
 def routes(spark: SparkSession, folder: str) -> DataFrame:
     """The routes that the source files below a folder define."""
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{kt,ts}").text(folder, wholetext=True)
     return routes_in(files.select(F.col("_metadata.file_path").alias("file"), "value"))
 
 
-def _calls(line: Column) -> Column:
-    """What stands before and after each opening bracket of a line: array of struct (before, after)."""
-    pieces = F.split(line, r"\(", -1)
-    calls = F.transform(pieces, lambda p, i: F.struct(F.rtrim(p).alias("before"), F.ltrim(F.array_join(F.slice(pieces, i + 2, BRACKETS), "(")).alias("after")))
-    return F.slice(calls, 1, F.size(pieces) - 1)
-
-
-def _route(call: Column, receivers: list[str] | None, quotes: str, then: str) -> Column:
-    """struct (method, path) of a call of a method's name with a quoted path that isn't empty and is followed by ``then``; else null."""
-    name = F.regexp_extract(call.before, r"[\w.\s]*$", 0)
-    method, receiver = F.trim(F.substring_index(name, ".", -1)), F.trim(F.substring_index(F.substring_index(name, ".", -2), ".", 1))
-    method = F.element_at(F.split(method, r"\s+"), -1)
-    receiver = F.element_at(F.split(receiver, r"\s+"), -1)
-    quote = F.left(call.after, F.lit(1))
-    path = F.call_function("substring_index", F.substr(call.after, F.lit(2)), quote, F.lit(1))
-    rest = F.ltrim(F.substr(call.after, F.length(path) + 3))
-    fits = method.isin(METHODS) & quote.isin(*quotes) & (path != "") & F.startswith(rest, F.lit(then))
-    if receivers:
-        fits &= F.contains(name, F.lit(".")) & receiver.isin(receivers)
-    return F.when(fits, F.struct(F.upper(method).alias("method"), path.alias("path")))
+def _routes(line: Column, receivers: list[str] | None, quotes: str, then: str) -> Column:
+    """array of struct (method, path) of a line's calls of a method's name with a quoted path that isn't empty and is followed by ``then``. What follows a bracket is only looked at, so calls within calls are found too."""
+    owner = rf"(?<!\w)(?:{'|'.join(receivers)}) *\.(?:[\w\s]*\s)?" if receivers else r"(?<!\w)"
+    found = []
+    for quote in quotes:
+        call = F.lit(rf"{owner}({'|'.join(METHODS)}) *\( *(?={quote}([^{quote}]+){quote} *{re.escape(then)})")
+        both = F.arrays_zip(F.regexp_extract_all(line, call, 1).alias("method"), F.regexp_extract_all(line, call, 2).alias("path"))
+        found.append(F.when(F.rlike(line, call), F.transform(both, lambda c: F.struct(F.upper(c["method"]).alias("method"), c["path"].alias("path")))).otherwise(F.array().cast("array<struct<method:string,path:string>>")))
+    return F.concat(*found)
 
 
 def routes_in(files: DataFrame) -> DataFrame:
-    """Method, path, file, line (from 1) and handler of each route in ``files`` (file, value): calls within a line, found bracket by bracket."""
-    lines = files.select("file", F.posexplode(F.split("value", "\n")).alias("at", "body"))
-    out = []
-    for suffix, (handler, receivers, quotes, then) in ROUTING.items():
-        found = F.array_compact(F.transform(_calls(F.col("body")), lambda c: _route(c, receivers, quotes, then)))  # noqa: B023
-        own = lines.filter(F.endswith("file", F.lit(suffix)) & F.contains("body", F.lit("(")))
-        out.append(own.select("file", "at", F.inline(found)).select("method", "path", "file", (F.col("at") + 1).alias("line"), F.lit(handler).alias("handler")))
-    return out[0].unionByName(out[1])
+    """Method, path, file, line (from 1) and handler of each route in ``files`` (file, value): calls within a line. The files are read once for all kinds of sources."""
+    ends = {suffix: F.endswith("file", F.lit(suffix)) for suffix in ROUTING}
+    own = files.filter(reduce(operator.or_, ends.values())).select("file", F.posexplode(F.split("value", "\n")).alias("at", "body"))
+    of = lambda value: F.coalesce(*[F.when(ends[suffix], value(*rule)) for suffix, rule in ROUTING.items()])
+    found = of(lambda handler, *rule: _routes(F.col("body"), *rule))
+    lines = own.filter(F.contains("body", F.lit("("))).select("file", "at", F.inline(found))
+    return lines.select("method", "path", "file", (F.col("at") + 1).alias("line"), of(lambda handler, *rule: F.lit(handler)).alias("handler"))
 
 
 def commits_about(commits: DataFrame, words: str, newest: int = 20, most: int = 2000) -> DataFrame:

@@ -19,6 +19,16 @@ def test_route_calls(spark):
     ])
 
 
+def test_routes_of_odd_lines(spark):
+    """Paths with many brackets, and long lines of calls that come to nothing."""
+    many = "/a" + "(" * 30
+    kotlin = f'get("{many}")\n\tget ("/t")\nx.get\t("/no")\n' + 'get("' * 20_000 + "\n" + "get(" * 20_000 + '\nforgét("/no") get( "/b" )get("/c")'
+    typescript = f"router.put('{many}', h)\nmyapp.get('/no', h)\na.b(app . \tget('/d\"', h))\n" + "app." * 20_000 + "\napp.get(\"/e\" , h); app.get('/f\", h)"
+    files = spark.createDataFrame([("a.kt", kotlin), ("b.ts", typescript)], "file string, value string")
+    got = sorted((r["file"], r["line"], r["method"], r["path"]) for r in corpora.routes_in(files).collect())
+    assert got == sorted([("a.kt", 1, "GET", many), ("a.kt", 2, "GET", "/t"), ("a.kt", 6, "GET", "/b"), ("a.kt", 6, "GET", "/c"), ("b.ts", 1, "PUT", many), ("b.ts", 3, "GET", '/d"'), ("b.ts", 5, "GET", "/e")])
+
+
 def test_python_blocks():
     lines = ["def f():", "    a", "", "      b", "x", "def g():", "    c"]
     assert [block_end(lines, i, "python") for i in (0, 1, 4, 5)] == [3, 3, 4, 6]
