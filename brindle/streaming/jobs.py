@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
@@ -22,18 +22,21 @@ class ReadOnce(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._value = handle.getValueState("value", "value string, expires_at double")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        out = []
-        for row in pd.concat(list(rows)).sort_values(["at", "seq"]).itertuples():
-            if row.op == "put":
-                self._value.update((row.value, row.at + row.ttl))
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        # state is read and written once for all rows of a key, as each access asks the JVM
+        before = held = self._value.get()
+        # rows without a time come last, and neither live nor find anything
+        for at, _, row in sorted(((math.inf if r["at"] is None else r["at"], r["seq"], r) for r in rows), key=lambda x: x[:2]):
+            if row["op"] == "put":
+                held = (row["value"], -math.inf if row["at"] is None else at + row["ttl"])
                 continue
-            held = self._value.get() if self._value.exists() else None
-            live = held is not None and held[1] > row.at
-            if held is not None:
-                self._value.clear()
-            out.append((key[0], row.seq, held[0] if live else None))
-        yield pd.DataFrame(out, columns=["key", "seq", "value"])
+            live = held is not None and held[1] > at
+            yield Row(key=key[0], seq=row["seq"], value=held[0] if live else None)
+            held = None
+        if held is not None:
+            self._value.update(tuple(held))
+        elif before is not None:
+            self._value.clear()
 
     def close(self) -> None:
         pass
@@ -41,7 +44,7 @@ class ReadOnce(StatefulProcessor):
 
 def read_once(operations: DataFrame) -> DataFrame:
     """Key, seq and value of each get; ``operations`` has key, seq, op (put or get), value, at and ttl (seconds). Per key all is serial, so a value is read once at most. The time to live is kept with the value, because the built-in one never lets a run over available data end."""
-    return operations.groupBy("key").transformWithStateInPandas(statefulProcessor=ReadOnce(), outputStructType="key string, seq long, value string", outputMode="Append", timeMode="None")
+    return operations.groupBy("key").transformWithState(statefulProcessor=ReadOnce(), outputStructType="key string, seq long, value string", outputMode="Append", timeMode="None")
 
 
 def run_available(df: DataFrame, path: str, checkpoint: str, seconds: int | None = None, mode: str = "append") -> None:

@@ -15,8 +15,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -49,7 +48,8 @@ class KeyLife(StatefulProcessor):
         self._state = handle.getValueState("life", "status string, since long, timer long")
 
     def _read(self) -> tuple[str | None, int, int]:
-        return tuple(self._state.get()) if self._state.exists() else (None, 0, 0)
+        held = self._state.get()
+        return (None, 0, 0) if held is None else tuple(held)
 
     def _age(self, status: str | None, since: int, until: int, out: list) -> tuple[str | None, int]:
         """Steps by age that are due up to a moment."""
@@ -58,37 +58,41 @@ class KeyLife(StatefulProcessor):
             out.append((since, before, status, "age"))
         return (None, 0) if status == DELETED else (status, since)
 
-    def _keep(self, status: str | None, since: int, timer: int) -> None:
+    def _keep(self, status: str | None, since: int, timer: int, held: bool) -> None:
         due = -(-(since + self._stay[status]) // 1000) if status else 0
         if timer and timer != due:
             self._handle.deleteTimer(timer)
         if due and timer != due:
             self._handle.registerTimer(due)
-        self._state.update((status, since, due)) if status else self._state.clear()
+        if status:
+            self._state.update((status, since, due))
+        elif held:
+            self._state.clear()
 
-    def _rows(self, key, out: list) -> Iterator[pd.DataFrame]:
-        columns = ("key_id", "us", "before", "after", "cause")
-        yield pd.DataFrame([(key[0], *x) for x in out], columns=columns, dtype=object)
+    def _rows(self, key, out: list) -> Iterator[Row]:
+        return (Row(key_id=key[0], us=us, before=before, after=after, cause=cause) for us, before, after, cause in out)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
         status, since, timer = self._read()
+        held = status is not None
         out: list[tuple] = []
-        for row in pd.concat(list(rows)).sort_values(["us", "seq"]).itertuples():
-            status, since = self._age(status, since, int(row.us), out)
-            allowed, after = EVENTS.get(row.event, ((), None))
+        for us, _, event in sorted((row["us"], row["seq"], row["event"]) for row in rows):
+            status, since = self._age(status, since, us, out)
+            allowed, after = EVENTS.get(event, ((), None))
             if status in allowed:
-                out.append((int(row.us), status, after, "event"))
-                status, since = (None, 0) if after == DELETED else (after, int(row.us))
+                out.append((us, status, after, "event"))
+                status, since = (None, 0) if after == DELETED else (after, us)
         status, since = self._age(status, since, timerValues.getCurrentWatermarkInMs() * 1000, out)
-        self._keep(status, since, timer)
+        self._keep(status, since, timer, held)
         yield from self._rows(key, out)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
         status, since, timer = self._read()
+        held = status is not None
         out: list[tuple] = []
         status, since = self._age(status, since, timerValues.getCurrentWatermarkInMs() * 1000, out)
         fired = expiredTimerInfo.getExpiryTimeInMs()
-        self._keep(status, since, 0 if timer == fired else timer)
+        self._keep(status, since, 0 if timer == fired else timer, held)
         yield from self._rows(key, out)
 
     def close(self) -> None:
@@ -102,6 +106,6 @@ def key_life(events: DataFrame, grace: int, rotation: int, retention: int, laten
     """
     own = events.filter("key_id is not null and at is not null").withWatermark("at", lateness)
     own = own.select(F.col("key_id").cast("string").alias("key_id"), F.col("seq").cast("long").alias("seq"), "event", "at", F.unix_micros("at").alias("us"))
-    return own.groupBy("key_id").transformWithStateInPandas(
+    return own.groupBy("key_id").transformWithState(
         statefulProcessor=KeyLife(grace, rotation, retention), outputStructType="key_id string, us long, before string, after string, cause string", outputMode="Append", timeMode="EventTime"
     )

@@ -5,8 +5,10 @@ from __future__ import annotations
 import datetime as dt
 import random
 
+from pyspark.sql import Row
+
 from brindle.streaming import jobs
-from brindle.streaming.lifecycle import key_life, state_in_rocksdb
+from brindle.streaming.lifecycle import KeyLife, key_life, state_in_rocksdb
 
 GRACE, ROTATION, RETENTION, LATE = 100, 300, 200, 10
 BEGIN = dt.datetime(2024, 1, 1)
@@ -56,3 +58,52 @@ def test_goes_on_from_its_checkpoint(spark, tmp_path):
     first = [("a", 1, "created", 0.0), ("b", 2, "created", 10.0), ("b", 3, "activated", 20.0), ("clock", 4, "odd", 150.0)]
     second = [("a", 5, "retired", 160.0), ("clock", 6, "odd", 900.0)]
     assert run(spark, str(tmp_path), [first, second]) == replay(first + second, 900.0 - LATE)
+
+
+class Held:
+    """State of one value that counts the calls, each of which asks the JVM."""
+
+    def __init__(self):
+        self.value, self.calls = None, 0
+
+    def getValueState(self, name, schema):  # noqa: N802
+        return self
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def exists(self):
+        self.calls += 1
+        return self.value is not None
+
+    def update(self, value):
+        self.calls, self.value = self.calls + 1, value
+
+    def clear(self):
+        self.calls, self.value = self.calls + 1, None
+
+    def registerTimer(self, at):  # noqa: N802
+        pass
+
+    deleteTimer = registerTimer
+
+
+class Watermark:
+    def getCurrentWatermarkInMs(self):  # noqa: N802
+        return 0
+
+
+def test_state_is_asked_twice_a_key_whatever_its_rows():
+    held, reader = Held(), jobs.ReadOnce()
+    reader.init(held)
+    rows = [Row(key="k", seq=i, op=("put", "get", "get")[i % 3], value=str(i), at=float(i), ttl=10.0) for i in range(300)] + [Row(key="k", seq=300, op="put", value="last", at=300.0, ttl=5.0), Row(key="k", seq=301, op="get", value=None, at=None, ttl=5.0)]
+    found = {r["seq"]: r["value"] for r in reader.handleInputRows(("k",), iter(rows[::-1]), None)}
+    assert found == {i: str(i - 1) if i % 3 == 1 else None for i in range(300) if i % 3} | {301: None}
+    assert (held.calls, held.value) == (1, None)
+    list(reader.handleInputRows(("k",), iter(rows[-2:-1]), None))
+    assert (held.calls, held.value) == (3, ("last", 305.0))
+    held, life = Held(), KeyLife(GRACE, ROTATION, RETENTION)
+    life.init(held)
+    list(life.handleInputRows(("k",), iter([Row(us=i, seq=i, event="created") for i in range(100)]), Watermark()))
+    assert (held.calls, held.value[:2]) == (2, ("PENDING", 0))
