@@ -11,7 +11,9 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
@@ -19,6 +21,8 @@ from pyspark.sql.types import ArrayType, LongType
 from brindle.functions import lcs
 
 ORDER = 4
+#: Tokens of pairs that a task has as Python objects at a time; a pair of more is alone.
+SLICE_TOKENS = 1 << 17
 TOKEN = r"[A-Za-z0-9_]+|[^A-Za-z0-9_\s]"
 
 
@@ -33,16 +37,27 @@ def matched(a: list[str], b: list[str]) -> list[int]:
     return [(runs(a, n) & runs(b, n)).total() for n in range(1, ORDER + 1)]
 
 
+def slices(batch: pa.RecordBatch, lists: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch, in order, with SLICE_TOKENS elements of their lists at most, or one row."""
+    upto = np.cumsum(sum(np.asarray(pa.compute.list_value_length(batch.column(c)), np.int64) for c in lists))
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + SLICE_TOKENS, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def token_overlap(pairs: DataFrame, generated: str, expected: str, keep: list[str]) -> DataFrame:
     """Columns ``keep``, n_generated, n_expected, common (length of the longest common subsequence) and matches (by length of run)."""
     own = pairs.select(*keep, tokens(generated).alias("__a"), tokens(expected).alias("__b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            both = list(zip(*(batch.column(c).to_pylist() for c in ("__a", "__b")), strict=True))
-            columns = [[len(a) for a, _ in both], [len(b) for _, b in both], [lcs.length(a, b) for a, b in both]]
-            counts = pa.array([matched(a, b) for a, b in both], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *[pa.array(c, pa.int64()) for c in columns], counts], [*keep, "n_generated", "n_expected", "common", "matches"])
+        for whole in batches:
+            for batch in slices(whole, ("__a", "__b")):
+                both = list(zip(*(batch.column(c).to_pylist() for c in ("__a", "__b")), strict=True))
+                columns = [[len(a) for a, _ in both], [len(b) for _, b in both], [lcs.length(a, b) for a, b in both]]
+                counts = pa.array([matched(a, b) for a, b in both], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *[pa.array(c, pa.int64()) for c in columns], counts], [*keep, "n_generated", "n_expected", "common", "matches"])
 
     schema = own.select(*keep).schema.add("n_generated", "long").add("n_expected", "long").add("common", "long").add("matches", ArrayType(LongType()))
     return own.mapInArrow(run, schema)

@@ -6,6 +6,7 @@ import math
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,3 +89,12 @@ def test_similarity(spark):
             want = math.exp(sum(map(math.log, p)) / 4) * (math.exp(1 - len(b) / len(a)) if len(a) < len(b) else 1)
         assert abs(got[i]["score"] - want) < 1e-9
     assert got[500]["ratio"] == got[500]["score"] == 1.0 and got[501]["common"] == 19_000
+
+
+def test_slices_hold_few_tokens(monkeypatch):
+    monkeypatch.setattr(evaluation, "SLICE_TOKENS", 10)
+    sizes = [0, 3, 4, 3, 11, 0, 1, 9, 0, 2]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(sizes))), pa.array([["x"] * n for n in sizes]), pa.array([[] for _ in sizes], pa.list_(pa.string()))], ["i", "a", "b"])
+    parts = [p.column("i").to_pylist() for p in evaluation.slices(batch, ("a", "b"))]
+    assert parts == [[0, 1, 2, 3], [4], [5, 6, 7, 8], [9]]
+    assert list(evaluation.slices(batch.slice(0, 0), ("a", "b"))) == []
