@@ -47,3 +47,25 @@ def test_clashing_names(spark):
     out = {r["doc_id"]: r for r in lines.dedup_lines(df).collect()}
     assert out[1]["text"] == "alone stands this line" and out[1]["gone"] == 3 and out[1]["text_hash"] == 3
     assert set(df.columns) | {"gone_lines"} == set(lines.dedup_lines(df).columns)
+
+
+def test_no_python_on_executors(spark):
+    join = lines.Join(docs(spark, ["one two three four five\nsix", "one two three four five six"]).localCheckpoint(), 80, 100, 1)
+    plans = [df._jdf.queryExecution().toString() for df in (join.docs, join.known, join.similar())]
+    assert not any(word in plan for plan in plans for word in ("InArrow", "InPandas", "PythonUDF"))
+    assert not hasattr(lines, "np") and not hasattr(lines, "pa")  # sets were made in numpy
+
+
+def test_posts_of_similar_sets_meet(spark):
+    """Sets at the threshold, with the words that differ anywhere in the order, have a post in common."""
+    rng, rows = random.Random(7), []
+    for i in range(400):
+        o, cut = rng.randint(4, 40), 0.25 * rng.random()
+        x = rng.randint(0, int(o * cut))
+        y = int(o * 0.25) - x
+        words = rng.sample(range(-(10**6), 10**6), o + x + max(y, 0))
+        rows += [(i, sorted(words[: o + x])), (i, sorted(words[:o] + words[o + x :]))]
+    sets = spark.createDataFrame(rows, "i int, keys array<long>").selectExpr("i", "keys", "size(keys) n").withColumn("posts", lines.posts(80, 100))
+    met = sets.groupBy("i").agg(F.collect_list("posts").alias("p"), F.collect_list("keys").alias("k")).collect()
+    wide = [r for r in met if r["k"][0] != r["k"][1]]
+    assert wide and all(set(r["p"][0]) & set(r["p"][1]) for r in wide)
