@@ -20,7 +20,7 @@ NOT_SPACE[[0x20, *range(0x09, 0x0E)]] = False
 ALNUM = np.zeros(256, bool)
 ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
-STEP = 1 << 20
+STEP = 1 << 18
 _R = 0x9E3779B97F4A7C15
 
 
@@ -151,7 +151,7 @@ def lists(first: np.ndarray, values: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(values, kind))
 
 
-def parts(batches, most: int = 4 << 20, column: str = "text"):
+def parts(batches, most: int = 1 << 20, column: str = "text"):
     """The rows of Arrow batches in slices of about so many bytes of text; a longer text is a slice of its own."""
     for batch in batches:
         if not batch.num_rows:
